@@ -17,13 +17,11 @@ SHOWN = 3
 def _targets(signals: DataFrame) -> DataFrame:
     """(id, kind, folded): 1 molecule, 2 sub-segment, 3 segment, 4 keyword; lower case."""
     lists = [(1, "molecules"), (2, "sub_segments"), (3, "segments"), (4, "keywords")]
-    items = [
-        F.transform(
-            column,
-            lambda t, k=kind: F.struct(F.lit(k).alias("kind"), F.lower(F.trim(t)).alias("folded")),
-        )
-        for kind, column in lists
-    ]
+
+    def tagged(kind: int):
+        return lambda t: F.struct(F.lit(kind).alias("kind"), F.lower(F.trim(t)).alias("folded"))
+
+    items = [F.transform(column, tagged(kind)) for kind, column in lists]
     each = signals.select("id", F.inline(F.concat(*items)))
     return each.where("folded <> ''").distinct()
 

@@ -39,8 +39,12 @@ def split_survivors(spaces: DataFrame, config: ScoreConfig) -> tuple[DataFrame,
 
 
 def _long_metrics(spaces: DataFrame) -> DataFrame:
+    """Metrics at nine decimals: the order in which partial sums met must not split a tie."""
     pairs = [
-        F.struct(F.lit(m).alias("metric"), F.col(METRIC_COLUMNS[m]).cast("double").alias("value"))
+        F.struct(
+            F.lit(m).alias("metric"),
+            F.round(F.col(METRIC_COLUMNS[m]).cast("double"), 9).alias("value"),
+        )
         for m in METRICS
     ]
     return spaces.select(*SPACE_KEYS, F.inline(F.array(*pairs)))

@@ -15,13 +15,14 @@ SEED = 3
 
 def _pieces(text: Column) -> Column:
     n = F.length(text)
-    out = []
-    for size in range(1, SEED + 1):
+
+    def of_size(size: int) -> Column:
         starts = F.sequence(F.lit(1), n - size + 1)
-        out.append(
-            F.when(n >= size, F.transform(starts, lambda i, s=size: F.substring(text, i, F.lit(s))))
-            .otherwise(F.array().cast("array<string>"))
-        )
+        return F.when(
+            n >= size, F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))
+        ).otherwise(F.array().cast("array<string>"))
+
+    out = [of_size(size) for size in range(1, SEED + 1)]
     return F.array_distinct(F.flatten(F.array(*out)))
 
 
