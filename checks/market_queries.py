@@ -257,7 +257,7 @@ def metric_percentiles(spark, sf):
 
 def pillar_scores(spark, sf):
     return rounded(
-        market(spark, sf).scored.select(*KEYS, *["pillar_" + p for p in scoring.PILLARS]), 4
+        market(spark, sf).scored.select(*KEYS, *["pillar_" + p for p in scoring.PILLARS]), 9
     )
 
 
@@ -267,7 +267,7 @@ SCORES = ["market_opportunity_index", "right_to_win_score", "rtw_gate", "priorit
 
 def scorecard(spark, sf):
     scored, _ = market(spark, sf).scorecard()
-    return rounded(scored.select(*KEYS, "space_label", "value_t2", *SCORES), 4)
+    return rounded(scored.select(*KEYS, "space_label", "value_t2", *SCORES), 9)
 
 
 def verdicts(spark, sf):
@@ -276,7 +276,7 @@ def verdicts(spark, sf):
 
 def scorecard_whatif(spark, sf):
     scored, _ = market(spark, sf).scorecard(SCORE.with_weights(WHAT_IF))
-    return rounded(scored.select(*KEYS, *SCORES), 4)
+    return rounded(scored.select(*KEYS, *SCORES), 9)
 
 
 def explain_score(spark, sf):
@@ -289,7 +289,7 @@ def rank_spaces(spark, sf):
             *KEYS, "space_label", "value_t2", "market_opportunity_index", "priority_score",
             "cps_rank", "strategic_verdict",
         ),
-        4,
+        9,
     )
 
 

@@ -624,15 +624,15 @@ ORACLE = {
                             f"AS exclusion_reason FROM enriched WHERE value_t2 < {SCORE.min_value} OR n_players < {SCORE.min_players}"),
     "winsorised": _sql(SCORED_CTES, "SELECT level, space_id, metric, " + r("clipped") + " FROM clipped"),
     "metric_percentiles": _sql(SCORED_CTES, "SELECT level, space_id, metric, " + r("pct") + " FROM pcts"),
-    "pillar_scores": _sql(SCORED_CTES, "SELECT level, space_id, " + rounded(["pillar_" + p for p in METRIC_WEIGHTS], 4) + " FROM scored"),
+    "pillar_scores": _sql(SCORED_CTES, "SELECT level, space_id, " + rounded(["pillar_" + p for p in METRIC_WEIGHTS], 9) + " FROM scored"),
     "scorecard": _sql(SCORED_CTES, "SELECT level, space_id, space_label, moi_rank, cps_rank, "
-                      + rounded(["value_t2"] + SCORE_COLUMNS, 4) + " FROM scored"),
+                      + rounded(["value_t2"] + SCORE_COLUMNS, 9) + " FROM scored"),
     "verdicts": _sql(SCORED_CTES, "SELECT level, space_id, moi_band, rtw_band, strategic_verdict FROM scored"),
     "scorecard_whatif": _sql(ENRICHED_CTES + scoring(SCORE.with_weights(WHAT_IF)),
-                             "SELECT level, space_id, moi_rank, cps_rank, " + rounded(SCORE_COLUMNS, 4) + " FROM scored"),
+                             "SELECT level, space_id, moi_rank, cps_rank, " + rounded(SCORE_COLUMNS, 9) + " FROM scored"),
     "explain_score": _sql(SCORED_CTES, explain_sql()),
     "rank_spaces": _sql(SCORED_CTES, "SELECT level, space_id, space_label, cps_rank, strategic_verdict, "
-                        + rounded(["value_t2", "market_opportunity_index", "priority_score"], 4)
+                        + rounded(["value_t2", "market_opportunity_index", "priority_score"], 9)
                         + " FROM scored WHERE level = 'molecule_combination' ORDER BY round(scored.priority_score, 9) DESC, space_id LIMIT 10"),
     "forecast": _sql(SCORED_CTES + "," + forecast_sql(), "SELECT " + FORECAST_COLUMNS + " FROM fore"),
     "weight_draws": _sql(sensitivity_sql(), "SELECT w.draw AS draw, (SELECT count(*) FROM scored) AS spaces, "

@@ -145,7 +145,8 @@ cites AS MATERIALIZED (
     list_filter({SENTENCES}, lambda s: NOT regexp_matches(s, '\\[(S-\\d+)\\]')
       AND len(list_filter({MARKERS}, lambda m: contains(lower(s), m))) > 0) AS uncited FROM answers),
 checked AS MATERIALIZED (
-  SELECT *, list_filter(cited, lambda t: NOT list_contains((SELECT list(upper(id)) FROM signals), t)) AS unknown FROM cites)"""
+  SELECT *, list_filter(cited, lambda t: NOT list_contains(ids, t)) AS unknown
+  FROM cites CROSS JOIN (SELECT list(upper(id)) AS ids FROM signals))"""
 
 
 def pick(phrases, by):

@@ -149,7 +149,7 @@ def trade_offs(spaces: DataFrame) -> DataFrame:
         )
 
     def number(c, digits):
-        return F.format_number(F.round(c, digits), f"0.{'0' * digits}" if digits else "0")
+        return F.format_string(f"%.{digits}f", F.round(c, digits))
 
     return picks.select(
         F.when(
