@@ -94,6 +94,16 @@ def signal_links(
     )
 
 
+def neutral_trend(spaces: DataFrame) -> DataFrame:
+    """Without signals every multiplier is 1."""
+    return spaces.withColumns(
+        {
+            "trend_tilt_raw": F.lit(0.0), "trend_signal_ids": F.lit(""),
+            "trend_tilt_baseline": F.lit(0.0), "trend_multiplier": F.lit(1.0),
+        }
+    )
+
+
 def add_trend_multiplier(
     spaces: DataFrame, links: DataFrame, config: LinkConfig = LinkConfig()
 ) -> DataFrame:

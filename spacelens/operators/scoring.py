@@ -185,8 +185,8 @@ def score_percentiles(
 def build_scorecard(
     spaces: DataFrame, config: ScoreConfig, levels: list[str] | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(scored, excluded). ``spaces`` carries growth, competition, right-to-win and, if signals
-    were linked, ``trend_multiplier`` (1 otherwise)."""
+    """(scored, excluded). ``spaces`` is a written table with every metric; the multiplier reads
+    as 1 where no signals were linked."""
     if levels:
         spaces = spaces.where(F.col("level").isin(*levels))
     if "trend_multiplier" not in spaces.columns:

@@ -11,7 +11,7 @@ from spacelens.config import LinkConfig, ScoreConfig
 from spacelens.operators import spaces as sp
 from spacelens.operators.competition import add_competition_metrics
 from spacelens.operators.growth import add_growth_metrics, market_totals
-from spacelens.operators.linking import add_trend_multiplier, signal_links
+from spacelens.operators.linking import add_trend_multiplier, neutral_trend, signal_links
 from spacelens.operators.rightowin import add_right_to_win_metrics, space_molecules
 from spacelens.operators.scoring import build_scorecard
 from spacelens.sources.stage import stage
@@ -78,10 +78,12 @@ class Market:
 
     @cached_property
     def enriched(self) -> DataFrame:
-        """Spaces with growth, competition, right to win and (with signals) the multiplier."""
+        """Spaces with growth, competition, right to win and the trend multiplier."""
         out = add_competition_metrics(self.grown, self.company_facts)
         out = add_right_to_win_metrics(out, self.cells, self.molecules)
-        if self.signals is not None:
+        if self.signals is None:
+            out = neutral_trend(out)
+        else:
             out = add_trend_multiplier(out, self.links, self.link)
         return stage(out, "enriched")
 

@@ -127,9 +127,8 @@ def parse_signals(documents: DataFrame) -> DataFrame:
 
 def read_signals(spark: SparkSession, directory: str) -> DataFrame:
     documents = (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", "*.md")
-        .text(directory)
+        spark.read.option("pathGlobFilter", "*.md")
+        .text(directory, wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"), "value")
     )
     return parse_signals(documents)

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 
+_local_roots: dict[str, str] = {}
+
 
 def stage_root(spark: SparkSession) -> str:
     """The folder the cluster names; a private temporary one only in local mode."""
@@ -19,10 +21,11 @@ def stage_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {SETTING} to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="spacelens-stage-")
-    atexit.register(shutil.rmtree, root, ignore_errors=True)
-    spark.conf.set(SETTING, root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _local_roots:
+        _local_roots[app] = tempfile.mkdtemp(prefix="spacelens-stage-")
+        atexit.register(shutil.rmtree, _local_roots[app], ignore_errors=True)
+    return _local_roots[app]
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
