@@ -9,6 +9,7 @@ from spacelens.config import ScoreConfig, WhitespaceConfig
 from spacelens.operators.chunks import chunk_documents
 from spacelens.operators.index import TextIndex
 from spacelens.plans.market import Market
+from spacelens.sources.stage import spread
 
 FOCAL = "NATION_0*"
 YEARS = (1998, 1999, 2000)
@@ -41,7 +42,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.coalesce(F.sum(F.when(when, F.col(column))), F.lit(0)).cast(money)
 
     sold = (
-        lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+        spread(lines).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         .groupBy("l_partkey", "s_nationkey")
         .agg(
             *[total("v", F.col("y") == y).alias(f"value_t{i}") for i, y in enumerate(YEARS)],

@@ -38,10 +38,13 @@ def text_index(spark, sf):
     words = ix.postings.groupBy(*index.CHUNK).agg(
         F.sum("tf").alias("length"), F.count(F.lit(1)).alias("terms")
     )
-    grams = ix.grams.groupBy(*index.CHUNK).agg(
-        F.count(F.lit(1)).alias("grams"), F.sum("weight").alias("weight_sum")
+    grams = ix.grams.join(ix.idf, "gram").groupBy(*index.CHUNK).agg(
+        F.count(F.lit(1)).alias("grams"), F.sum(index.gram_weight()).alias("w")
     )
-    return rounded(words.join(grams, index.CHUNK))
+    scaled = grams.join(ix.norms, index.CHUNK).select(
+        *index.CHUNK, "grams", (F.col("w") / F.col("norm")).alias("weight_sum")
+    )
+    return rounded(words.join(scaled, index.CHUNK))
 
 
 def term_frequency(spark, sf):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -99,7 +101,8 @@ def numbers(c: Column) -> Column:
 
 def claims(c: Column, ignore_below: float) -> Column:
     """Numbers a reader takes as facts: structural constructs blanked, small ones dropped."""
-    cleaned = F.coalesce(c, F.lit(""))
+    # Without a digit there is neither a number nor a construct to blank.
+    cleaned = F.when(c.rlike("[0-9]"), c).otherwise("")
     for pattern in STRUCTURAL:
         cleaned = F.regexp_replace(cleaned, pattern, " ")
     return F.filter(numbers(cleaned), lambda v: F.abs(v) >= ignore_below)
@@ -126,10 +129,17 @@ def any_of(words) -> str:
     return "|".join(r"\Q" + w + r"\E" for w in words)
 
 
+def _mentions(lowered: Column, words) -> Column:
+    return reduce(lambda a, b: a | b, [lowered.contains(w) for w in words])
+
+
 def uncited_claims(c: Column) -> Column:
+    """Sentences that speak of the outside world without naming a source."""
+    # Most texts hold no marker at all; only the others are cut into sentences.
+    marked = F.when(_mentions(F.lower(c), CLAIM_MARKERS), c)
     return F.filter(
-        sentences(c),
-        lambda s: ~s.rlike(CITATION) & F.lower(s).rlike(any_of(CLAIM_MARKERS)),
+        sentences(marked),
+        lambda s: ~s.rlike(CITATION) & _mentions(F.lower(s), CLAIM_MARKERS),
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spacelens.config import RetrievalConfig
 from spacelens.functions.text import squash, word_count
 from spacelens.sources.facts import strip
+from spacelens.sources.stage import spread
 
 
 def _starts(counts: Column, config: RetrievalConfig) -> Column:
@@ -44,7 +45,7 @@ def chunk_documents(
     of the passage before it; the title goes in front. A document without a body gives its
     title.
     """
-    pieces = documents.withColumn(
+    pieces = spread(documents).withColumn(
         "_p",
         F.filter(
             F.transform(F.split(F.coalesce("body", F.lit("")), paragraph), strip), lambda p: p != ""

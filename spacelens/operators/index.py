@@ -1,10 +1,10 @@
-"""Inverted text index: word postings and weighted character trigrams."""
+"""Inverted text index: word postings and character-trigram counts."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spacelens.functions.text import tokens, trigrams
@@ -13,40 +13,39 @@ from spacelens.sources.stage import stage
 CHUNK = ["doc_id", "chunk_no"]
 
 
-def word_postings(chunks: DataFrame) -> DataFrame:
-    """(doc_id, chunk_no, term, tf, length): one row per distinct term of a passage."""
-    each = chunks.select(*CHUNK, tokens("text").alias("t"))
+def _counted(texts: DataFrame, keys: list[str], items: Column, name: str) -> DataFrame:
+    """(keys, item, tf, length): occurrences per text.
+
+    The texts are placed by key first. The far larger exploded rows then stay where they are:
+    counting by (keys, item) needs no further shuffle.
+    """
+    each = texts.repartition(*keys).select(*keys, items.alias("_i"))
     return (
-        each.select(*CHUNK, F.size("t").alias("length"), F.explode("t").alias("term"))
-        .groupBy(*CHUNK, "term")
+        each.select(*keys, F.size("_i").alias("length"), F.explode("_i").alias(name))
+        .groupBy(*keys, name)
         .agg(F.count(F.lit(1)).alias("tf"), F.max("length").alias("length"))
     )
 
 
-def word_stats(chunks: DataFrame) -> DataFrame:
-    """One row: number of passages and their average length in tokens."""
-    return chunks.select(F.size(tokens("text")).alias("n")).agg(
-        F.count(F.lit(1)).alias("passages"), F.avg("n").alias("avg_length")
-    )
+def word_postings(chunks: DataFrame) -> DataFrame:
+    """(doc_id, chunk_no, term, tf, length): one row per distinct term of a passage."""
+    return _counted(chunks, CHUNK, tokens("text"), "term")
 
 
-def document_frequency(postings: DataFrame, key: str) -> DataFrame:
-    return postings.groupBy(key).agg(F.count(F.lit(1)).alias("df"))
+def gram_counts(texts: DataFrame, keys: list[str]) -> DataFrame:
+    return _counted(texts, keys, trigrams("text"), "gram").drop("length")
 
 
-def gram_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return (
-        rows.select(*keys, F.explode(trigrams("text")).alias("gram"))
-        .groupBy(*keys, "gram")
-        .agg(F.count(F.lit(1)).alias("tf"))
+def word_stats(chunks: DataFrame, postings: DataFrame) -> DataFrame:
+    """One row: number of passages and their average length in tokens."""
+    total = postings.agg(F.coalesce(F.sum("tf"), F.lit(0))).scalar()
+    return chunks.agg(F.count(F.lit(1)).alias("passages")).select(
+        "passages", F.coalesce(F.try_divide(total, F.col("passages")), F.lit(0.0)).alias("avg_length")
     )
 
 
-def _normalised(weighted: DataFrame, keys: list[str]) -> DataFrame:
-    norms = weighted.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(norms, keys).select(
-        *keys, "gram", F.when(F.col("norm") > 0, F.col("w") / F.col("norm")).otherwise(F.col("w")).alias("weight")
-    )
+def document_frequency(postings: DataFrame, key: str) -> DataFrame:
+    return postings.groupBy(key).agg(F.count(F.lit(1)).alias("df"))
 
 
 def gram_idf(counts: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -56,12 +55,15 @@ def gram_idf(counts: DataFrame, chunks: DataFrame) -> DataFrame:
     )
 
 
-def weigh_grams(counts: DataFrame, idf: DataFrame, keys: list[str]) -> DataFrame:
-    """(1 + ln tf) x idf, scaled to unit length per row; unknown grams weigh nothing."""
-    weighted = counts.join(idf, "gram").select(
-        *keys, "gram", ((1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf")).alias("w")
-    )
-    return _normalised(weighted, keys)
+def gram_weight() -> Column:
+    return (1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf")
+
+
+def gram_norms(counts: DataFrame, idf: DataFrame, keys: list[str]) -> DataFrame:
+    """Euclidean length of each text's weighted grams; unknown grams weigh nothing."""
+    w = gram_weight()
+    sums = counts.join(idf, "gram").groupBy(*keys).agg(F.sqrt(F.sum(w * w)).alias("norm"))
+    return sums.withColumn("norm", F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0))
 
 
 @dataclass
@@ -74,13 +76,15 @@ class TextIndex:
     stats: DataFrame
     grams: DataFrame
     idf: DataFrame
+    norms: DataFrame
 
     @classmethod
     def build(cls, chunks: DataFrame) -> "TextIndex":
         chunks = stage(chunks, "chunks")
         postings = stage(word_postings(chunks), "postings")
         terms = stage(document_frequency(postings, "term"), "terms")
-        counts = stage(gram_counts(chunks, CHUNK), "gram_counts")
-        idf = stage(gram_idf(counts, chunks), "gram_idf")
-        grams = stage(weigh_grams(counts, idf, CHUNK), "grams")
-        return cls(chunks, postings, terms, word_stats(chunks), grams, idf)
+        grams = stage(gram_counts(chunks, CHUNK), "gram_counts")
+        idf = stage(gram_idf(grams, chunks), "gram_idf")
+        norms = stage(gram_norms(grams, idf, CHUNK), "gram_norms")
+        stats = stage(word_stats(chunks, postings), "text_stats")
+        return cls(chunks, postings, terms, stats, grams, idf, norms)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spacelens.config import RetrievalConfig
 from spacelens.functions.text import tokens
-from spacelens.operators.index import CHUNK, TextIndex, gram_counts, weigh_grams
+from spacelens.operators.index import CHUNK, TextIndex, gram_counts, gram_norms, gram_weight
 
 HIT = ["query_id", *CHUNK]
 
@@ -39,9 +39,16 @@ def bm25_scores(index: TextIndex, queries: DataFrame, config: RetrievalConfig) -
 
 def cosine_scores(index: TextIndex, queries: DataFrame) -> DataFrame:
     """Trigram cosine of every passage that shares a gram with the query."""
-    asked = weigh_grams(gram_counts(queries, ["query_id"]), index.idf, ["query_id"])
-    pairs = index.grams.join(asked.withColumnRenamed("weight", "q"), "gram")
-    return pairs.groupBy(*HIT).agg(F.sum(F.col("weight") * F.col("q")).alias("score"))
+    counts = gram_counts(queries, ["query_id"])
+    asked = (
+        counts.join(index.idf, "gram")
+        .join(gram_norms(counts, index.idf, ["query_id"]), "query_id")
+        .select("query_id", "gram", "idf", (gram_weight() / F.col("norm")).alias("q"))
+    )
+    # Passage weights come unscaled; the passage's length divides the finished sum once.
+    pairs = index.grams.join(asked, "gram")
+    sums = pairs.groupBy(*HIT).agg(F.sum(gram_weight() * F.col("q")).alias("dot"))
+    return sums.join(index.norms, CHUNK).select(*HIT, (F.col("dot") / F.col("norm")).alias("score"))
 
 
 def top_passages(scores: DataFrame, k: int, digits: int = 9) -> DataFrame:

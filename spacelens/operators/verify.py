@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spacelens.config import VerifyConfig
 from spacelens.functions import verify_text as vt
 from spacelens.operators.substring import substring_join
+from spacelens.sources.stage import spread, stage
 
 
 def evidence_numbers(
@@ -96,27 +97,34 @@ def grounding_report(
     """Per answer: passed, numbers checked, and the ungrounded ones in reading order.
 
     ``answers`` holds (key, evidence_key, text); ``evidence`` distinct (evidence_key, value).
+    The texts are read once: their numbers are written out, and both sides start from those.
     """
-    claims = numeric_claims(answers, [key, "evidence_key"], "text", config)
+    found = vt.claims(F.col("text"), config.ignore_below)
+    read = stage(spread(answers).select(key, "evidence_key", found.alias("claims")), "claims")
+    claims = read.select(
+        key, "evidence_key", F.posexplode("claims").alias("claim_no", "claim")
+    )
     missing = ungrounded_claims(claims, evidence, config).groupBy(key).agg(
         # The list of one answer's own numbers.
         F.array_sort(F.collect_list(F.struct("claim_no", "claim"))).alias("m")
     )
-    counted = answers.select(key, F.size(vt.claims(F.col("text"), config.ignore_below)).alias("checked"))
-    return counted.join(missing, key, "left").select(
+    return read.join(missing, key, "left").select(
         key,
         F.col("m").isNull().alias("passed"),
-        "checked",
+        F.size("claims").alias("checked"),
         F.coalesce(F.col("m.claim"), F.array().cast("array<double>")).alias("ungrounded"),
     )
 
 
 def citation_report(answers: DataFrame, known_ids: DataFrame, key: str = "answer_id") -> DataFrame:
     """Per answer: cited ids, ids that do not exist (invalid), claims without a citation (warned)."""
-    parts = answers.select(
-        key,
-        vt.cited_ids(F.col("text")).alias("cited"),
-        vt.uncited_claims(F.col("text")).alias("uncited"),
+    parts = stage(
+        spread(answers).select(
+            key,
+            vt.cited_ids(F.col("text")).alias("cited"),
+            vt.uncited_claims(F.col("text")).alias("uncited"),
+        ),
+        "citations",
     )
     known = known_ids.select(F.upper("id").alias("cite")).distinct()
     unknown = (

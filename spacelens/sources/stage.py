@@ -38,3 +38,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out when the source has fewer splits than there are cores.
+
+    Only ever touches small inputs: a large one has many splits and is left as it lies.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
