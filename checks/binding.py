@@ -172,7 +172,7 @@ def market(spark: SparkSession, sf_dir: str) -> Market:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents; single line breaks part their paragraphs."""
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         "doc_id", F.concat_ws(" ", "lang", "source").alias("title"), F.col("text").alias("body")
     )
 
@@ -195,7 +195,7 @@ def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents read as answers: the whole text plus a sentence with numbers and a citation."""
     n = F.col("doc_id") % 40
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("answer_id"),
         F.col("lang").alias("evidence_key"),
         F.concat(
@@ -238,7 +238,7 @@ def _phrase(by, phrases):
 
 def retrieved_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and pages as retrieved text, some with an instruction-like tail."""
-    docs = table(spark, sf_dir, "documents").select(
+    docs = spread(table(spark, sf_dir, "documents")).select(
         F.concat(F.lit("d"), "doc_id").alias("text_id"),
         F.concat("text", F.lit(" "), _phrase(F.col("doc_id"), PHRASES)).alias("text"),
     )

@@ -26,12 +26,12 @@ WHAT_IF = {"moi_weights": {"market_attractiveness": 0.2, "future_potential": 0.2
                            "competitive_headroom": 0.6}}
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
     """Doubles at a fixed number of decimals, so both engines compare equal."""
     return df.select(
         *[
             # Adding zero turns -0.0 into 0.0.
-            (F.round(f.name, digits) + F.lit(0.0)).alias(f.name)
+            (F.round(f.name, special.get(f.name, digits)) + F.lit(0.0)).alias(f.name)
             if isinstance(f.dataType, T.DoubleType)
             else F.col(f.name)
             for f in df.schema.fields
@@ -267,7 +267,7 @@ SCORES = ["market_opportunity_index", "right_to_win_score", "rtw_gate", "priorit
 
 def scorecard(spark, sf):
     scored, _ = market(spark, sf).scorecard()
-    return rounded(scored.select(*KEYS, "space_label", "value_t2", *SCORES), 9)
+    return rounded(scored.select(*KEYS, "space_label", "value_t2", *SCORES), 9, value_t2=6)
 
 
 def verdicts(spark, sf):
@@ -290,6 +290,7 @@ def rank_spaces(spark, sf):
             "cps_rank", "strategic_verdict",
         ),
         9,
+        value_t2=6,
     )
 
 
@@ -304,6 +305,9 @@ def forecast(spark, sf):
             "outperforms_market", "verdict",
         ),
         3,
+        base_cagr=6,
+        market_cagr=6,
+        trend_multiplier=6,
     )
 
 

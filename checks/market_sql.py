@@ -201,7 +201,7 @@ totals AS (
     t2 / t1 - 1 AS market_yoy, sqrt(t2 / t0) - 1 AS market_cagr_2y,
     c2 / t1 - 1 AS market_real_growth, q2 / q1 - 1 AS market_volume_growth,
     (t2 / t1 - 1) - (c2 / t1 - 1) AS market_price_effect,
-    f2 AS focal_value_t2, f2 / t2 AS focal_share, f2 / f1 - 1 AS focal_yoy
+    f2 AS focal_value_t2, f2 / t2 AS focal_share, coalesce(f2 / nullif(f1, 0) - 1, 0.0) AS focal_yoy
   FROM (SELECT sum(value_t0) t0, sum(value_t1) t1, sum(value_t2) t2, sum(cp_t2) c2, sum(qty_t1) q1,
           sum(qty_t2) q2, sum(focal_value_t1) f1, sum(focal_value_t2) f2
         FROM space_f WHERE level = 'segment')),
@@ -477,9 +477,9 @@ fore AS (
 
 FORECAST_COLUMNS = (
     "level, space_id, round(value_t2, 3) + 0.0 AS base_value, 5 AS horizon_years, "
-    + rounded(["base_cagr", "projected_value", "bull_value", "bear_value"], 3)
-    + ", round(market_cagr_2y, 3) + 0.0 AS market_cagr, "
-    + rounded(["outperformance_pp", "trend_multiplier"], 3)
+    + rounded(["projected_value", "bull_value", "bear_value", "outperformance_pp"], 3)
+    + ", round(market_cagr_2y, 6) + 0.0 AS market_cagr, "
+    + rounded(["base_cagr", "trend_multiplier"])
     + ", outperformance_pp > 0 AS outperforms_market, CASE WHEN outperformance_pp > 0 THEN "
     "'Projected to outperform the market' ELSE 'Projected to lag the market' END AS verdict"
 )
@@ -626,13 +626,13 @@ ORACLE = {
     "metric_percentiles": _sql(SCORED_CTES, "SELECT level, space_id, metric, " + r("pct") + " FROM pcts"),
     "pillar_scores": _sql(SCORED_CTES, "SELECT level, space_id, " + rounded(["pillar_" + p for p in METRIC_WEIGHTS], 9) + " FROM scored"),
     "scorecard": _sql(SCORED_CTES, "SELECT level, space_id, space_label, moi_rank, cps_rank, "
-                      + rounded(["value_t2"] + SCORE_COLUMNS, 9) + " FROM scored"),
+                      + r("value_t2") + ", " + rounded(SCORE_COLUMNS, 9) + " FROM scored"),
     "verdicts": _sql(SCORED_CTES, "SELECT level, space_id, moi_band, rtw_band, strategic_verdict FROM scored"),
     "scorecard_whatif": _sql(ENRICHED_CTES + scoring(SCORE.with_weights(WHAT_IF)),
                              "SELECT level, space_id, moi_rank, cps_rank, " + rounded(SCORE_COLUMNS, 9) + " FROM scored"),
     "explain_score": _sql(SCORED_CTES, explain_sql()),
     "rank_spaces": _sql(SCORED_CTES, "SELECT level, space_id, space_label, cps_rank, strategic_verdict, "
-                        + rounded(["value_t2", "market_opportunity_index", "priority_score"], 9)
+                        + r("scored.value_t2", "value_t2") + ", " + rounded(["market_opportunity_index", "priority_score"], 9)
                         + " FROM scored WHERE level = 'molecule_combination' ORDER BY round(scored.priority_score, 9) DESC, space_id LIMIT 10"),
     "forecast": _sql(SCORED_CTES + "," + forecast_sql(), "SELECT " + FORECAST_COLUMNS + " FROM fore"),
     "weight_draws": _sql(sensitivity_sql(), "SELECT w.draw AS draw, (SELECT count(*) FROM scored) AS spaces, "

@@ -99,7 +99,7 @@ ORACLE = {
         + " FROM company_f JOIN chosen USING (company_clean) WHERE level = 'sub_segment' ORDER BY company_f.value_t2 DESC, space_id LIMIT 8"),
     "competitor_brands": _sql(SPACE_CTES.rstrip().rstrip(",") + RESOLVED, "SELECT space_id, brand, " + rounded(["value_t2", "value_t1"])
         + " FROM brand_f JOIN chosen USING (company_clean) WHERE level = 'segment' ORDER BY brand_f.value_t2 DESC, space_id, brand LIMIT 8"),
-    "focal_portfolio": _sql(GROWN_CTES, f"""SELECT round(CAST(sum(value_t2) AS DOUBLE), 1) AS value, count(*) AS sku_count,
+    "focal_portfolio": _sql(GROWN_CTES, f"""SELECT round(coalesce(CAST(sum(value_t2) AS DOUBLE), 0.0), 1) AS value, count(*) AS sku_count,
         count(DISTINCT brand) AS brand_count, (SELECT count(DISTINCT m) FROM (SELECT unnest(molecules) AS m FROM {OWN})) AS molecule_count,
         (SELECT round(focal_share * 100.0, 2) FROM totals) AS share_pct, (SELECT round(focal_yoy * 100.0, 2) FROM totals) AS growth_pct,
         (SELECT round(market_yoy * 100.0, 2) FROM totals) AS market_growth_pct FROM {OWN}"""),
@@ -127,7 +127,7 @@ ORACLE = {
     "build_metadata": _sql(SPACE_CTES, f"""SELECT 'sku_rows' AS key, count(*)::DOUBLE AS value FROM sku
         UNION ALL SELECT 'space_rows', count(*) FROM space_f UNION ALL SELECT 'membership_rows', count(*) FROM member
         UNION ALL SELECT 'market_value_latest', round(CAST(sum(value_t2) AS DOUBLE), 2) FROM sku
-        UNION ALL SELECT 'focal_value_latest', round(CAST(sum(value_t2) AS DOUBLE), 2) FROM {OWN}
+        UNION ALL SELECT 'focal_value_latest', round(coalesce(CAST(sum(value_t2) AS DOUBLE), 0.0), 2) FROM {OWN}
         UNION ALL SELECT 'focal_share_pct', round(100.0 * CAST(sum(CASE WHEN is_focal THEN value_t2 ELSE 0 END) AS DOUBLE) / CAST(sum(value_t2) AS DOUBLE), 4) FROM sku"""),
     "warehouse_counts": _sql(SPACE_CTES, """SELECT 'sku_facts' AS "table", count(*) AS rows FROM sku UNION ALL SELECT 'space_membership', count(*) FROM member
         UNION ALL SELECT 'space_facts', count(*) FROM space_f UNION ALL SELECT 'company_facts', count(*) FROM company_f

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spacelens.config import RetrievalConfig
 from spacelens.functions.text import tokens
 from spacelens.operators.index import CHUNK, TextIndex, gram_counts, gram_norms, gram_weight
+from spacelens.sources.stage import stage
 
 HIT = ["query_id", *CHUNK]
 
@@ -26,10 +27,14 @@ def bm25_scores(index: TextIndex, queries: DataFrame, config: RetrievalConfig) -
     average = index.stats.select("avg_length").scalar()
     asked = _query_terms(queries).join(index.terms, "term")
     df = F.col("df").cast("double")
-    rated = asked.select(
-        "query_id", "term", "qf",
-        F.log(1.0 + (passages - df + 0.5) / (df + 0.5)).alias("idf"),
-        average.alias("avg_length"),
+    # Written first, so that its known size decides how the postings are met.
+    rated = stage(
+        asked.select(
+            "query_id", "term", "qf",
+            F.log(1.0 + (passages - df + 0.5) / (df + 0.5)).alias("idf"),
+            average.alias("avg_length"),
+        ),
+        "query_terms",
     )
     tf = F.col("tf").cast("double")
     length = 1.0 - config.b + config.b * (F.col("length") / F.col("avg_length"))
@@ -40,10 +45,11 @@ def bm25_scores(index: TextIndex, queries: DataFrame, config: RetrievalConfig) -
 def cosine_scores(index: TextIndex, queries: DataFrame) -> DataFrame:
     """Trigram cosine of every passage that shares a gram with the query."""
     counts = gram_counts(queries, ["query_id"])
-    asked = (
+    asked = stage(
         counts.join(index.idf, "gram")
         .join(gram_norms(counts, index.idf, ["query_id"]), "query_id")
-        .select("query_id", "gram", "idf", (gram_weight() / F.col("norm")).alias("q"))
+        .select("query_id", "gram", "idf", (gram_weight() / F.col("norm")).alias("q")),
+        "query_grams",
     )
     # Passage weights come unscaled; the passage's length divides the finished sum once.
     pairs = index.grams.join(asked, "gram")
@@ -168,6 +174,7 @@ def term_relevance(
     best = bm25_scores(index, queries, config).groupBy("query_id", "doc_id").agg(
         F.max("score").alias("score")
     )
+    best = stage(best, "best_scores")
     peak = best.groupBy("query_id").agg(F.max("score").alias("peak"))
     return best.where("score > 0").join(peak, "query_id").select(
         "query_id", "doc_id", (F.col("score") / F.col("peak")).alias("relevance")

@@ -13,6 +13,7 @@ from spacelens.config import EPS
 from spacelens.functions.ratios import clip, safe_ratio
 from spacelens.functions.text import is_placeholder
 from spacelens.operators.spaces import explode_spaces
+from spacelens.sources.stage import stage
 
 SPACE_KEYS = ["level", "space_id"]
 BRANDS_SHOWN = 4
@@ -139,11 +140,15 @@ def add_right_to_win_metrics(
     spaces: DataFrame, cells: DataFrame, molecules: DataFrame
 ) -> DataFrame:
     """``molecules`` is the result of :func:`space_molecules` over the same cells."""
-    estate = focal_estate(cells)
-    marked = cells.join(_ingredient_hits(cells, estate), "molecules", "left")
+    # The lookup tables are written first: the planner then knows that they are small (or not)
+    # and need not shuffle the cells to meet them.
+    estate = stage(focal_estate(cells), "focal_estate")
+    hits = stage(_ingredient_hits(cells, estate), "ingredient_hits")
+    shares = stage(sub_segment_shares(cells), "sub_segment_shares")
+    marked = cells.join(hits, "molecules", "left")
     for kind in ("subgroup", "sub_segment", "segment"):
         marked = _flag(marked, estate, kind, kind)
-    marked = marked.join(sub_segment_shares(cells), ["segment", "sub_segment"], "left")
+    marked = marked.join(shares, ["segment", "sub_segment"], "left")
 
     value = F.col("value_t2").cast("double")
     per_space = explode_spaces(marked).groupBy(*SPACE_KEYS).agg(

@@ -21,6 +21,7 @@ MEASURES = (
 )
 FOCAL_MEASURES = ("value_t0", "value_t1", "value_t2", "qty_t2")
 SPACE = ("level", "space_id", "space_label")
+SPACE_KEYS = ("level", "space_id")
 
 
 def collapse(facts: DataFrame, focal_company: str) -> DataFrame:
@@ -77,7 +78,17 @@ def space_array() -> Column:
         "molecules",
         lambda m: _space("anchor_molecule", "ANC", m, F.concat(m, F.lit(" (all forms)"))),
     )
-    return F.array_compact(F.concat(hierarchy, anchors))
+    return F.array_compact(F.concat(hierarchy, _one_per_id(anchors)))
+
+
+def _one_per_id(spaces: Column) -> Column:
+    """Names that differ only in punctuation share an id; a pack enters that space once."""
+
+    def first(bound: Column) -> Column:
+        ids = F.transform(bound, lambda s: s["space_id"])
+        return F.filter(bound, lambda s, i: F.array_position(ids, s["space_id"]) == i + 1)
+
+    return F.transform(F.array(spaces), first).getItem(0)
 
 
 def explode_spaces(rows: DataFrame) -> DataFrame:
@@ -95,12 +106,16 @@ def membership(sku_facts: DataFrame) -> DataFrame:
 
 
 def company_cells(cells: DataFrame) -> DataFrame:
-    """(space, company) sums of every measure: the one table the space level derives from."""
+    """(space, company) sums of every measure: the one table the space level derives from.
+
+    Spellings that share an id are one space; the alphabetically first becomes its label.
+    """
     focal = [
         F.sum(F.when(F.col("is_focal"), F.col(m)).otherwise(0)).alias("focal_" + m)
         for m in FOCAL_MEASURES
     ]
-    return explode_spaces(cells).groupBy(*SPACE, "company_clean").agg(
+    return explode_spaces(cells).groupBy(*SPACE_KEYS, "company_clean").agg(
+        F.min("space_label").alias("space_label"),
         *[F.sum(m).alias(m) for m in MEASURES],
         *focal,
         F.sum("sku_count").alias("sku_count"),
@@ -130,7 +145,8 @@ def space_context(cells: DataFrame) -> DataFrame:
 def space_totals(companies: DataFrame) -> DataFrame:
     """Measures per space as doubles, from the (space, company) sums."""
     measures = [*MEASURES, *["focal_" + m for m in FOCAL_MEASURES]]
-    return companies.groupBy(*SPACE).agg(
+    return companies.groupBy(*SPACE_KEYS).agg(
+        F.min("space_label").alias("space_label"),
         *[F.sum(m).cast("double").alias(m) for m in measures],
         F.sum("sku_count").cast("long").alias("sku_count"),
     )
@@ -143,14 +159,15 @@ def space_facts(companies: DataFrame, cells: DataFrame) -> DataFrame:
     )
 
 
-def company_facts(companies: DataFrame) -> DataFrame:
-    """Company values, share and min-tie rank in each space; ``companies`` is a written table."""
-    values = companies.select(
-        *SPACE, "company_clean", "is_mnc", "value_t1", "value_t2"
-    )
-    totals = values.groupBy("level", "space_id").agg(
-        F.sum("value_t1").cast("double").alias("space_value_t1"),
-        F.sum("value_t2").cast("double").alias("space_value_t2"),
+def company_facts(companies: DataFrame, spaces: DataFrame) -> DataFrame:
+    """Company values, share and min-tie rank in each space; both inputs are written tables.
+
+    The totals come from the space table, whose known size lets the planner broadcast it.
+    """
+    values = companies.select(*SPACE_KEYS, "company_clean", "is_mnc", "value_t1", "value_t2")
+    totals = spaces.select(
+        *SPACE,
+        F.col("value_t1").alias("space_value_t1"), F.col("value_t2").alias("space_value_t2"),
     )
     shared = values.join(totals, ["level", "space_id"]).withColumn(
         "share_t2",
@@ -160,13 +177,12 @@ def company_facts(companies: DataFrame) -> DataFrame:
     ranked = rank_desc(
         shared, ["level", "space_id"], "value_t2", "rank_in_space", fits_one_task(companies)
     )
-    return ranked.withColumns(
-        {"value_t1": F.col("value_t1").cast("double"), "value_t2": F.col("value_t2").cast("double")}
-    )
+    return _as_doubles(ranked)
 
 
-def brand_facts(cells: DataFrame) -> DataFrame:
-    sums = explode_spaces(cells).groupBy(*SPACE, "brand", "brand_root", "company_clean").agg(
+def brand_facts(cells: DataFrame, spaces: DataFrame) -> DataFrame:
+    """Brand values and min-tie rank in each space; both inputs are written tables."""
+    sums = explode_spaces(cells).groupBy(*SPACE_KEYS, "brand", "brand_root", "company_clean").agg(
         F.sum("value_t1").alias("value_t1"),
         F.sum("value_t2").alias("value_t2"),
         F.max("is_focal").alias("is_focal"),
@@ -175,6 +191,10 @@ def brand_facts(cells: DataFrame) -> DataFrame:
     ranked = rank_desc(
         sums, ["level", "space_id"], "value_t2", "rank_in_space", fits_one_task(cells)
     )
+    return _as_doubles(ranked.join(spaces.select(*SPACE), list(SPACE_KEYS)))
+
+
+def _as_doubles(ranked: DataFrame) -> DataFrame:
     return ranked.withColumns(
         {"value_t1": F.col("value_t1").cast("double"), "value_t2": F.col("value_t2").cast("double")}
     )

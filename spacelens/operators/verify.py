@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spacelens.config import VerifyConfig
 from spacelens.functions import verify_text as vt
 from spacelens.operators.substring import substring_join
-from spacelens.sources.stage import spread, stage
+from spacelens.sources.stage import stage
 
 
 def evidence_numbers(
@@ -100,7 +100,7 @@ def grounding_report(
     The texts are read once: their numbers are written out, and both sides start from those.
     """
     found = vt.claims(F.col("text"), config.ignore_below)
-    read = stage(spread(answers).select(key, "evidence_key", found.alias("claims")), "claims")
+    read = stage(answers.select(key, "evidence_key", found.alias("claims")), "claims")
     claims = read.select(
         key, "evidence_key", F.posexplode("claims").alias("claim_no", "claim")
     )
@@ -119,7 +119,7 @@ def grounding_report(
 def citation_report(answers: DataFrame, known_ids: DataFrame, key: str = "answer_id") -> DataFrame:
     """Per answer: cited ids, ids that do not exist (invalid), claims without a citation (warned)."""
     parts = stage(
-        spread(answers).select(
+        answers.select(
             key,
             vt.cited_ids(F.col("text")).alias("cited"),
             vt.uncited_claims(F.col("text")).alias("uncited"),

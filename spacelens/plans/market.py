@@ -50,11 +50,11 @@ class Market:
 
     @cached_property
     def company_facts(self) -> DataFrame:
-        return stage(sp.company_facts(self.companies), "company_facts")
+        return stage(sp.company_facts(self.companies, self.space_facts), "company_facts")
 
     @cached_property
     def brand_facts(self) -> DataFrame:
-        return stage(sp.brand_facts(self.cells), "brand_facts")
+        return stage(sp.brand_facts(self.cells, self.space_facts), "brand_facts")
 
     @cached_property
     def molecules(self) -> DataFrame:

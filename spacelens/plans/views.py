@@ -288,8 +288,8 @@ def focal_portfolio(m: Market) -> DataFrame:
     """One row of portfolio totals."""
     own = _focal(m)
     sums = own.agg(
-        F.sum("value_t2").cast("double").alias("value"),
-        F.sum("sku_count").alias("sku_count"),
+        F.coalesce(F.sum("value_t2").cast("double"), F.lit(0.0)).alias("value"),
+        F.coalesce(F.sum("sku_count"), F.lit(0)).alias("sku_count"),
         F.count_distinct("brand").alias("brand_count"),
     )
     molecules = own.select(F.explode("molecules").alias("x")).agg(F.count_distinct("x")).scalar()

@@ -41,9 +41,10 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out when the source has fewer splits than there are cores.
+    """Deal the rows of a plain scan out when it has fewer splits than there are cores.
 
-    Only ever touches small inputs: a large one has many splits and is left as it lies.
+    Only ever touches small inputs: a large one has many splits and is left as it lies. Meant
+    for scans; counting the splits of a plan with shuffles would run them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -9,6 +9,7 @@ from spacelens.operators.competition import top_competitors
 from spacelens.operators.derive import derive
 from spacelens.operators.growth import add_growth_metrics, market_totals
 from spacelens.operators.spaces import membership
+from spacelens.plans.market import Market
 
 
 def by_id(df, level):
@@ -150,3 +151,25 @@ def test_a_high_floor_excludes_with_the_size_reason_first(six_packs):
     _, closed = six_packs.scorecard(ScoreConfig(min_value=500.0, min_players=4))
     reasons = {(r["level"], r["space_id"]): r["exclusion_reason"] for r in closed.collect()}
     assert reasons["segment", "SEG_LIPID_REGULATORS"] == "fewer than 4 active players"
+
+
+def test_spellings_that_share_an_id_are_one_space(packs):
+    odd = packs.withColumn(
+        "ingredient_desc",
+        F.when(F.col("brand") == "BRAND-C", "AMLO-DIPINE + AMLO DIPINE + X")
+        .otherwise(F.col("ingredient_desc")),
+    ).withColumn(
+        "molecule_class",
+        F.when(F.col("brand") == "BRAND-E", "c10a-statins").otherwise(F.col("molecule_class")),
+    )
+    market = Market.build(odd, "CIPLA*", score=ScoreConfig(min_value=0.0, min_players=1))
+    anchors = by_id(market.space_facts, "anchor_molecule")
+    assert anchors["ANC_AMLO_DIPINE"]["sku_count"] == 1
+    assert anchors["ANC_AMLO_DIPINE"]["value_t2"] == 250
+    classes = by_id(market.space_facts, "molecule_class")
+    assert classes["CLS_C10A_STATINS"]["value_t2"] == 588
+    assert classes["CLS_C10A_STATINS"]["space_label"] == "C10A STATINS"
+    keys = [(r["level"], r["space_id"]) for r in market.scored.collect()]
+    assert len(keys) == len(set(keys)) == market.space_facts.count()
+    labels = {r["space_label"] for r in market.brand_facts.where("space_id = 'CLS_C10A_STATINS'").collect()}
+    assert labels == {"C10A STATINS"}
