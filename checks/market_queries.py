@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,7 +16,7 @@ from spacelens.operators.forecast import forecast_spaces
 from spacelens.operators.ranking import fits_one_task
 from spacelens.operators.spaces import membership
 from spacelens.operators.whitespace import find_whitespace
-from spacelens.plans import views, warehouse
+from spacelens.plans import views
 from spacelens.sources.facts import coerce_numeric, coercion_report, trim_text
 from spacelens.sources.signals import citations, parse_signals, signed_magnitude
 

@@ -431,7 +431,6 @@ def _sql(ctes: str, select: str) -> str:
     return "WITH " + ctes.strip().rstrip(",") + "\n" + select
 
 
-SKU = FACTS
 SPACE_CTES = FACTS + MEMBER + SPACES
 GROWN_CTES = SPACE_CTES + GROWN
 ENRICHED_CTES = GROWN_CTES + COMPETITION + RTW + SIGNALS + LINKS

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from checks.binding import PHRASES, QUESTIONS
-from checks.market_sql import SCORED_CTES, SIGNALS, _sql, quoted, r, rounded
+from checks.market_sql import SCORED_CTES, SIGNALS, _sql, quoted, r
 from spacelens.functions import verify_text as vt
 from spacelens.functions.text import STOP_WORDS
 

@@ -23,7 +23,6 @@ STRUCTURAL = (
     r"\b[A-Za-z][A-Za-z]+-\d+(?:\.\d+)?\b",
 )
 CITATION = r"\[(S-\d+)\]"
-SENTENCE_END = r"([.!?])\s+([A-Z(\[])"
 CLAIM_MARKERS = (
     "guideline", "guidance", "prevalence", "epidemiolog", "who ", "government", "policy",
     "regulat", "nlem", "nppa", "price control", "patent", "approval", "trial", "study",

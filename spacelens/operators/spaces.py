@@ -1,7 +1,8 @@
 """Opportunity spaces: collapse packs to cells, map cells to spaces, aggregate.
 
-A cell is one distinct combination of the text columns of a pack. Packs are summed to cells before the fan-out to spaces, so the roughly seven-fold explode
-runs over the catalogue's combinations and not over the fact rows.
+A cell is one distinct combination of the text columns of a pack. Packs are summed to cells
+before the fan-out to spaces, so the roughly seven-fold explode runs over the catalogue's
+combinations and not over the fact rows.
 """
 
 from __future__ import annotations
@@ -86,7 +87,8 @@ def _one_per_id(spaces: Column) -> Column:
 
     def first(bound: Column) -> Column:
         ids = F.transform(bound, lambda s: s["space_id"])
-        return F.filter(bound, lambda s, i: F.array_position(ids, s["space_id"]) == i + 1)
+        kept = F.filter(bound, lambda s, i: F.array_position(ids, s["space_id"]) == i + 1)
+        return F.when(F.size(F.array_distinct(ids)) == F.size(bound), bound).otherwise(kept)
 
     return F.transform(F.array(spaces), first).getItem(0)
 

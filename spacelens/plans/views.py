@@ -7,14 +7,20 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spacelens.config import EPS, ForecastConfig
+from spacelens.config import LEVELS, ForecastConfig, RetrievalConfig, SensitivityConfig, WhitespaceConfig
 from spacelens.functions.ratios import plain_growth
+from spacelens.operators.chunks import chunk_documents
 from spacelens.operators.competition import top_competitors
 from spacelens.operators.forecast import forecast_spaces
+from spacelens.operators.index import TextIndex
 from spacelens.operators.ranking import fits_one_task, rank_desc
+from spacelens.operators.retrieval import search
 from spacelens.operators.scoring import top_spaces
+from spacelens.operators.sensitivity import sensitivity, weight_draws
 from spacelens.operators.substring import substring_join
+from spacelens.operators.whitespace import find_whitespace
 from spacelens.plans.market import Market
+from spacelens.sources.stage import stage
 
 SPACE_KEYS = ["level", "space_id"]
 RANK_BY = ("priority_score", "market_opportunity_index", "value_t2", "value_yoy")
@@ -62,6 +68,8 @@ def rank_opportunity_spaces(
     rank_by: str = "priority_score",
     min_value: float | None = None,
 ) -> DataFrame:
+    if level not in LEVELS:
+        raise ValueError(f"level must be one of {', '.join(LEVELS)}")
     if rank_by not in RANK_BY:
         raise ValueError(f"rank_by must be one of {', '.join(RANK_BY)}")
     scored = m.scored if min_value is None else m.scored.where(F.col("value_t2") >= min_value)
@@ -186,12 +194,16 @@ def trade_offs(spaces: DataFrame) -> DataFrame:
     )
 
 
-def compare_spaces(scored: DataFrame, space_ids: list[str], level: str | None = None):
-    """(side-by-side rows, trade-offs) of the named spaces."""
-    chosen = scored.where(F.col("space_id").isin(*space_ids))
-    if level:
-        chosen = chosen.where(F.col("level") == level)
-    return chosen, trade_offs(chosen)
+def compare_spaces(
+    scored: DataFrame, texts: list[str], level: str | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(side-by-side rows, trade-offs, texts without a space) for ids, labels or label parts."""
+    frame = scored.where(F.col("level") == level) if level else scored
+    asked = scored.sparkSession.createDataFrame([(t, t) for t in texts], "lookup string, text string")
+    found = find_spaces(frame, asked)
+    chosen = frame.join(found.select(*SPACE_KEYS).distinct(), SPACE_KEYS)
+    missing = asked.join(found, "lookup", "left_anti").select("lookup")
+    return chosen, trade_offs(chosen), missing
 
 
 def resolve_company(m: Market, text: str) -> DataFrame:
@@ -358,6 +370,50 @@ def forecast_horizon(m: Market, years: int) -> DataFrame:
     return forecast_spaces(m.scored, m.totals, replace(ForecastConfig(), horizon_years=years))
 
 
+WHITESPACE_LEVELS = ["sub_segment", "molecule_combination", "anchor_molecule"]
+
+
+def whitespace_scan(
+    m: Market,
+    levels: list[str] | None = None,
+    limit: int = 8,
+    config: WhitespaceConfig = WhitespaceConfig(),
+) -> DataFrame:
+    return find_whitespace(m.scored, m.totals, config, levels or WHITESPACE_LEVELS, limit)
+
+
+def sensitivity_analysis(
+    m: Market, level: str = "molecule_combination", config: SensitivityConfig = SensitivityConfig()
+) -> DataFrame:
+    """Position stability of one level's spaces, scored on their own, best first."""
+    if level not in LEVELS:
+        raise ValueError(f"level must be one of {', '.join(LEVELS)}")
+    scored, _ = m.scorecard(levels=[level])
+    scored = stage(scored, "level_scores")
+    draws = weight_draws(config, m.score)
+    stability = sensitivity(scored, scored, draws, config, m.score, small=fits_one_task(scored))
+    return stability.orderBy(F.desc("top_k_frequency"), "mean_rank", "space_id")
+
+
+def signal_index(signals: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> TextIndex:
+    """A passage index over the bodies of signal documents."""
+    return TextIndex.build(
+        chunk_documents(signals.select(F.col("id").alias("doc_id"), "title", "body"), config)
+    )
+
+
+def search_signals(
+    index: TextIndex, signals: DataFrame, queries: DataFrame, config: RetrievalConfig = RetrievalConfig()
+) -> DataFrame:
+    """Citable passages per query: one per signal, best first."""
+    hits = search(index, queries, config).withColumnRenamed("doc_id", "id")
+    return hits.join(signals.select("id", "publisher", "url"), "id").select(
+        "query_id", "rank", F.concat(F.lit("["), "id", F.lit("]")).alias("citation"),
+        F.col("id").alias("signal_id"), "title", "publisher", "url",
+        F.col("text").alias("excerpt"), F.round("score", 4).alias("score"),
+    )
+
+
 def register_views(m: Market) -> None:
     """Expose the market's tables to SQL."""
     for name in ("cells", "space_facts", "company_facts", "brand_facts", "enriched", "scored"):

@@ -49,6 +49,7 @@ AUDIT_EXTRA_COLUMNS = (
 )
 NUMERIC_PREFIXES = ("MAT", "Sales", "QTY", "PR_")
 # End of fixed values.
+AUDIT_REQUIRED = (*AUDIT_ROLES.values(), *AUDIT_EXTRA_COLUMNS)
 
 
 class SchemaError(ValueError):
@@ -151,5 +152,15 @@ def read_facts(
     return bind_roles(assert_rows(raw), roles)
 
 
+def audit_numeric_columns(df: DataFrame) -> list[str]:
+    """Columns of an audit extract that must hold numbers, by their prefix."""
+    return [c for c in df.columns if c.startswith(NUMERIC_PREFIXES)]
+
+
+def read_audit(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """An audit extract in its published layout: every published column must be there."""
+    return read_facts(spark, path, AUDIT_ROLES, fmt, required=AUDIT_REQUIRED)
+
+
 def recent_sales():
     return reduce(lambda a, b: a + b, [F.col(f"month_{i}") for i in (1, 2, 3)])

@@ -151,10 +151,3 @@ def citations(signals: DataFrame) -> DataFrame:
         F.when(F.col("url").startswith("internal://"), "Derived from supplied data")
         .otherwise("External source").alias("type"),
     ).orderBy("id")
-
-
-def searchable_text():
-    applies = F.array_join(F.concat(*[F.col(t) for t in TARGETS]), " ")
-    return F.concat(
-        F.col("title"), F.lit("\n"), F.col("category"), F.lit(" "), applies, F.lit("\n"), F.col("body")
-    )

@@ -145,6 +145,16 @@ def test_draws_repeat_and_sum_to_one():
             assert sum(v for k, v in row.items() if k.startswith(block + "__")) == pytest.approx(1.0)
 
 
+def test_rescoring_with_the_configured_weights_gives_the_scorecard(six_packs):
+    score = ScoreConfig(min_value=0.0, min_players=1)
+    blocks = {"moi_weights": score.pillar_weights, **score.metric_weights}
+    draw = {f"{b}__{n}": w for b, block in blocks.items() for n, w in block.items()}
+    again = sensitivity.rescore(six_packs.scored, [{"draw": 0, **draw}], score)
+    want = {(r["level"], r["space_id"]): r["priority_score"] for r in six_packs.scored.collect()}
+    got = {(r["level"], r["space_id"]): r["priority_score"] for r in again.collect()}
+    assert got == pytest.approx(want, rel=1e-12)
+
+
 @pytest.mark.parametrize("small", [True, False])
 def test_sensitivity_against_a_loop(six_packs, small):
     config = SensitivityConfig(iterations=25, top_k=2)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import audit_rows
-from spacelens.config import ScoreConfig
+from spacelens.config import ScoreConfig, SensitivityConfig, WhitespaceConfig
 from spacelens.plans import views, warehouse
 from spacelens.sources import facts as fs
 from spacelens.sources.stage import stage, stage_root
@@ -47,6 +47,19 @@ def test_parquet_source_prunes_columns(spark, tmp_path):
     assert "unused" not in plan and "FINAL NFC" not in plan
 
 
+def test_the_published_layout_is_checked_in_full(spark, tmp_path):
+    df = spark.createDataFrame(audit_rows())
+    df.write.parquet(str(tmp_path / "short"))
+    with pytest.raises(fs.SchemaError) as err:
+        fs.read_audit(spark, str(tmp_path / "short"))
+    assert all(c in str(err.value) for c in fs.AUDIT_EXTRA_COLUMNS)
+    full = df.withColumns({c: F.lit("10") for c in fs.AUDIT_EXTRA_COLUMNS})
+    full.write.parquet(str(tmp_path / "full"))
+    assert fs.read_audit(spark, str(tmp_path / "full")).count() == 6
+    assert len(fs.AUDIT_REQUIRED) == 30
+    assert len(fs.audit_numeric_columns(full)) == 15
+
+
 def test_coercion(spark):
     df = spark.createDataFrame([("1.5 ", "x"), ("bad", "y"), (None, "z")], "MAT string, t string")
     assert [r["MAT"] for r in fs.coerce_numeric(df, ["MAT"]).collect()] == [1.5, 0.0, 0.0]
@@ -120,9 +133,10 @@ def test_views(spark, six_packs):
     }
     portfolio = views.focal_portfolio(six_packs).first()
     assert portfolio["sku_count"] == 2 and portfolio["molecule_count"] == 2
-    chosen, tensions = views.compare_spaces(
-        six_packs.scored, ["SEG_LIPID_REGULATORS", "SEG_ANTI_HYPERTENSIVES"]
+    chosen, tensions, missing = views.compare_spaces(
+        six_packs.scored, ["SEG_LIPID_REGULATORS", "anti hypertens", "nothing"], "segment"
     )
+    assert [r["lookup"] for r in missing.collect()] == ["nothing"]
     assert chosen.count() == 2 and tensions.first()["size_growth"].startswith("Size versus growth: Anti")
     with pytest.raises(ValueError):
         views.rank_opportunity_spaces(six_packs, rank_by="space_id")
@@ -134,3 +148,25 @@ def test_adhoc_sql_is_capped_and_read_only(spark, six_packs):
     assert views.adhoc_sql(spark, "WITH a AS (SELECT 1 x) SELECT * FROM a;", 0).count() == 1
     with pytest.raises(ValueError):
         views.adhoc_sql(spark, "DROP VIEW space_facts")
+
+
+def test_level_views(spark, six_packs):
+    with pytest.raises(ValueError):
+        views.rank_opportunity_spaces(six_packs, level="shelf")
+    stable = views.sensitivity_analysis(six_packs, "sub_segment", SensitivityConfig(iterations=10))
+    assert [r["level"] for r in stable.collect()] == ["sub_segment"] * 4
+    loose = WhitespaceConfig(min_moi=0.0, penetration_ratio=10.0, min_value=0.0)
+    levels = {r["level"] for r in views.whitespace_scan(six_packs, config=loose).collect()}
+    assert levels and levels <= set(views.WHITESPACE_LEVELS)
+
+
+def test_signal_search(spark):
+    signals = spark.createDataFrame(
+        [("S-01", "Lipids", "Ezetimibe is an add-on to a statin.", "Pub", "https://a"),
+         ("S-02", "Prices", "The ceiling price binds.", "Gov", "https://b")],
+        "id string, title string, body string, publisher string, url string",
+    )
+    queries = spark.createDataFrame([(1, "ezetimib add-on")], "query_id int, text string")
+    rows = views.search_signals(views.signal_index(signals), signals, queries).orderBy("rank").collect()
+    assert rows[0]["citation"] == "[S-01]" and rows[0]["publisher"] == "Pub"
+    assert rows[0]["excerpt"].startswith("Lipids")
