@@ -29,8 +29,7 @@ def _finish(df: DataFrame) -> None:
 def market_build(spark, sf):
     """Facts to cells to space, company and brand tables."""
     m = binding.market(spark, sf)
-    for name in ("space_facts", "company_facts", "brand_facts", "molecules"):
-        getattr(m, name)
+    m.write_facts()
     return m.space_facts
 
 

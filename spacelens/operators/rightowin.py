@@ -136,19 +136,31 @@ def _adjacent_brands(molecules: DataFrame, estate: DataFrame) -> DataFrame:
     )
 
 
+def write_reach(cells: DataFrame) -> dict[str, DataFrame]:
+    """The lookup tables the cells are marked with.
+
+    They are written first: the planner then knows that they are small (or not) and need not
+    shuffle the cells to meet them.
+    """
+    estate = stage(focal_estate(cells), "focal_estate")
+    return {
+        "estate": estate,
+        "hits": stage(_ingredient_hits(cells, estate), "ingredient_hits"),
+        "shares": stage(sub_segment_shares(cells), "sub_segment_shares"),
+        "solids": stage(solids_share(cells), "solids_share"),
+    }
+
+
 def add_right_to_win_metrics(
-    spaces: DataFrame, cells: DataFrame, molecules: DataFrame
+    spaces: DataFrame, cells: DataFrame, molecules: DataFrame, reach: dict[str, DataFrame]
 ) -> DataFrame:
-    """``molecules`` is the result of :func:`space_molecules` over the same cells."""
-    # The lookup tables are written first: the planner then knows that they are small (or not)
-    # and need not shuffle the cells to meet them.
-    estate = stage(focal_estate(cells), "focal_estate")
-    hits = stage(_ingredient_hits(cells, estate), "ingredient_hits")
-    shares = stage(sub_segment_shares(cells), "sub_segment_shares")
-    marked = cells.join(hits, "molecules", "left")
+    """``molecules`` and ``reach`` are :func:`space_molecules` and :func:`write_reach` of the
+    same cells."""
+    estate = reach["estate"]
+    marked = cells.join(reach["hits"], "molecules", "left")
     for kind in ("subgroup", "sub_segment", "segment"):
         marked = _flag(marked, estate, kind, kind)
-    marked = marked.join(shares, ["segment", "sub_segment"], "left")
+    marked = marked.join(reach["shares"], ["segment", "sub_segment"], "left")
 
     value = F.col("value_t2").cast("double")
     per_space = explode_spaces(marked).groupBy(*SPACE_KEYS).agg(
@@ -169,7 +181,7 @@ def add_right_to_win_metrics(
         .when(F.col("_has_segment") == 1, 0.30)
         .otherwise(0.0)
     )
-    own_solids = solids_share(cells).scalar()
+    own_solids = reach["solids"].scalar()
     profile = per_space.select(
         *SPACE_KEYS,
         F.when(live, F.col("_solid") / F.col("_t")).otherwise(1.0).alias("space_solids_share"),

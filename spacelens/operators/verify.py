@@ -165,14 +165,31 @@ def guard_verdict(grounding: DataFrame, citations: DataFrame, key: str = "answer
 def mentioned_spaces(
     questions: DataFrame, spaces: DataFrame, key: str = "question_id", limit: int = 3
 ) -> DataFrame:
-    """Spaces whose label holds most of the question's longer words, larger spaces first."""
-    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[A-Za-z][A-Za-z\-]{4,}"), F.lit(0))
-    asked = questions.select(key, F.explode(F.array_distinct(F.transform(words, F.upper))).alias("word"))
+    """Spaces whose label holds most of the question's longer words, larger spaces first.
+
+    Only words that occur in a label matter, and questions with the same such words have the
+    same answer: it is worked out once per distinct word list, however many questions share it.
+    """
+    words = F.regexp_extract_all(
+        F.coalesce("text", F.lit("")), F.lit(r"[A-Za-z][A-Za-z\-]{4,}"), F.lit(0)
+    )
+    each = F.array_distinct(F.transform(words, F.upper))
+    asked = questions.select(key, F.explode(each).alias("word"))
     labels = spaces.select("level", "space_id", "value_t2", F.upper("space_label").alias("label"))
-    found = substring_join(labels, "label", asked, "word")
-    hits = asked.join(found, "word").join(labels, "label")
-    scored = hits.groupBy(key, "level", "space_id").agg(
+    found = stage(substring_join(labels, "label", asked, "word"), "label_words")
+    known = asked.join(found.select("word").distinct(), "word", "left_semi")
+    # At most the words of one question.
+    lists = known.groupBy(key).agg(F.array_sort(F.collect_list("word")).alias("words"))
+    lists = stage(lists, "question_words")
+    hits = (
+        lists.select("words").distinct()
+        .select("words", F.explode("words").alias("word"))
+        .join(found, "word")
+        .join(labels, "label")
+    )
+    scored = hits.groupBy("words", "level", "space_id").agg(
         F.round(F.count(F.lit(1)) * 1000.0 + F.max("value_t2"), 6).alias("score")
     )
-    order = Window.partitionBy(key).orderBy(F.desc("score"), F.desc("space_id"), "level")
-    return scored.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit)
+    order = Window.partitionBy("words").orderBy(F.desc("score"), F.desc("space_id"), "level")
+    best = scored.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit)
+    return lists.join(best, "words").drop("words")
