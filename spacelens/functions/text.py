@@ -93,20 +93,11 @@ def tokens(c) -> Column:
 def trigrams(c) -> Column:
     """Character trigrams of the squashed lower-case text; shorter texts give themselves."""
     clean = squash(F.lower(_c(c)))
-
-    # Binding the character array to a lambda variable keeps this linear: inlining the split
-    # into the inner lambda would repeat it for every position.
-    def grams(chars: Column) -> Column:
-        n = F.size(chars)
-        return F.when(
-            n >= 3,
-            F.transform(
-                F.sequence(F.lit(0), n - 3),
-                lambda i: F.concat(F.get(chars, i), F.get(chars, i + 1), F.get(chars, i + 2)),
-            ),
-        ).otherwise(F.filter(F.array(F.array_join(chars, "")), lambda g: g != ""))
-
-    return F.transform(F.array(F.split(clean, "")), grams).getItem(0)
+    # Looks three characters ahead and moves on by one, so one linear pass finds all of them.
+    found = F.regexp_extract_all(clean, F.lit("(?s)(?=(.{3}))."), F.lit(1))
+    return F.when(F.length(clean) >= 3, found).otherwise(
+        F.filter(F.array(clean), lambda g: g != "")
+    )
 
 
 def word_count(c) -> Column:
