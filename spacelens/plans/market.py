@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -77,17 +76,10 @@ class Market:
             signal_links(self.space_facts, self.signals, self.molecules, self.link), "links"
         )
 
-    def _write_together(self, *names: str) -> None:
-        """Write tables that do not depend on each other at the same time."""
-        todo = [n for n in names if n not in self.__dict__]
-        with ThreadPoolExecutor(max_workers=max(1, len(todo))) as pool:
-            for done in [pool.submit(getattr, self, n) for n in todo]:
-                done.result()
-
     def write_facts(self) -> None:
-        """Write the space, molecule, company and brand tables."""
-        self._write_together("space_facts", "molecules")
-        self._write_together("company_facts", "brand_facts")
+        """Write the space, company, brand and molecule tables now."""
+        for name in ("space_facts", "company_facts", "brand_facts", "molecules"):
+            getattr(self, name)
 
     @cached_property
     def reach(self) -> dict[str, DataFrame]:
@@ -96,8 +88,6 @@ class Market:
     @cached_property
     def enriched(self) -> DataFrame:
         """Spaces with growth, competition, right to win and the trend multiplier."""
-        self._write_together("space_facts", "molecules", "reach")
-        self._write_together("company_facts", *(["links"] if self.signals is not None else []))
         out = add_competition_metrics(self.grown, self.company_facts)
         out = add_right_to_win_metrics(out, self.cells, self.molecules, self.reach)
         if self.signals is None:
