@@ -3,14 +3,53 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spacelens.llm import adaptive_rules, curriculum, vector_pack
+from spacelens.llm import adaptive_rules, byte_cnn, curriculum, ftrl_quality, html_paths, vector_pack
+from spacelens.llm.words import id_fold
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    out = html_paths.extract(pages, carry=["page_id", "url"])
+    return out.select(
+        "page_id",
+        "url",
+        F.col("main_text").alias("text"),
+        F.length("main_text").cast("long").alias("n_chars"),
+    )
+
+
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = id_fold(F.col("doc_id"), 5)
+    model = byte_cnn.fit(docs, fold != 0)
+    out = byte_cnn.predict(docs.select("doc_id", "text"), model, carry=["doc_id"])
+    held_out = F.coalesce(fold == 0, F.lit(False))
+    return out.select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score")
+    )
+
+
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    fold = id_fold(F.col("doc_id"), 4)
+    model = ftrl_quality.fit(docs, labels, fold != 2)
+    out = ftrl_quality.score(docs, model, carry=["doc_id"])
+    score = F.col("quality_score")
+    return out.select(
+        "doc_id",
+        F.coalesce(fold == 2, F.lit(False)).alias("held_out"),
+        score.alias("score"),
+        F.when(score >= 0.7, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = curriculum.mix_plan(_table(spark, sf_dir, "documents"))
     return plan.select(
@@ -32,7 +71,10 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_extraction": html_extraction,
+    "op3_language_id": language_id,
     "op4_source_mixing": mixing,
+    "op5_quality_classifier": quality_classifier,
     "op8_sharding": sharding,
     "op10_quality_rules": quality_rules,
 }
