@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spacelens.llm import adaptive_rules, byte_cnn, curriculum, ftrl_quality, html_paths, vector_pack
+from spacelens.llm import (
+    adaptive_rules,
+    byte_cnn,
+    cover_search,
+    curriculum,
+    dart_dedup,
+    ftrl_quality,
+    html_paths,
+    piece_viterbi,
+    vector_pack,
+)
 from spacelens.llm.words import id_fold
 
 
@@ -24,6 +34,12 @@ def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dart_dedup.classes(_table(spark, sf_dir, "documents"))
+    kept = F.col("doc_id").eqNullSafe(F.col("class_id"))
+    return out.select("doc_id", "class_id", kept.alias("kept"))
+
+
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     fold = id_fold(F.col("doc_id"), 5)
@@ -57,6 +73,19 @@ def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_search.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    vocabulary = piece_viterbi.read_vocabulary(piece_viterbi.MODEL)
+    out = piece_viterbi.encode(docs, vocabulary, carry=["doc_id", "n_chars"])
+    return out.select(
+        "doc_id", "n_chars", F.size("piece_ids").alias("n_ids"), "piece_ids", "round_trip"
+    )
+
+
 def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_pack.shard_table(_table(spark, sf_dir, "documents"))
 
@@ -72,9 +101,12 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_html_extraction": html_extraction,
+    "op2_near_dedup": near_dedup,
     "op3_language_id": language_id,
     "op4_source_mixing": mixing,
     "op5_quality_classifier": quality_classifier,
+    "op6_exact_top_k": exact_top_k,
+    "op7_sentencepiece": sentencepiece,
     "op8_sharding": sharding,
     "op10_quality_rules": quality_rules,
 }
