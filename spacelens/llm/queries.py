@@ -14,6 +14,7 @@ from spacelens.llm import (
     ftrl_quality,
     html_paths,
     piece_viterbi,
+    suffix_tree_lm,
     vector_pack,
 )
 from spacelens.llm.words import id_fold
@@ -90,6 +91,21 @@ def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_pack.shard_table(_table(spark, sf_dir, "documents"))
 
 
+def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = id_fold(F.col("doc_id"), 7)
+    out = suffix_tree_lm.scored(docs, fold != 2)
+    return out.select(
+        "doc_id",
+        F.coalesce(fold == 2, F.lit(False)).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
+
+
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     q = adaptive_rules.judged(docs)
@@ -108,5 +124,6 @@ QUERIES = {
     "op6_exact_top_k": exact_top_k,
     "op7_sentencepiece": sentencepiece,
     "op8_sharding": sharding,
+    "op9_lm_scoring": lm_scoring,
     "op10_quality_rules": quality_rules,
 }
