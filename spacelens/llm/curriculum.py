@@ -111,7 +111,7 @@ def placed(docs: DataFrame, config: MixConfig = MixConfig(), payload: bool = Tru
     def reading(k):
         start = k * F.col("source_size") + F.col("slice_start") + F.col("_before")
         words = F.greatest(F.lit(0), F.least(F.col("size"), demand - start))
-        middle = (start + words / 2) / demand
+        middle = F.when(words > 0, (start + words / 2) / demand)
         return F.struct(words.alias("words"), inverse_demand(middle, F.col("slope")).alias("position"))
 
     readings = F.filter(F.array(*[reading(k) for k in range(config.most)]), lambda r: r["words"] > 0)

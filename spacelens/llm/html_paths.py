@@ -105,7 +105,7 @@ def _said(attributes: str) -> tuple[bool, str]:
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             aside = True
             continue
-        parts = {p.lower() for p in _NAME_PART.findall(_CAMEL.sub(" ", value))}
+        parts = {p.lower() for p in _NAME_PART.findall(_CAMEL.sub(" ", value)) + _NAME_PART.findall(value)}
         aside = aside or bool(parts & ASIDE_WORDS)
         if name == "class" and not label:
             label = "." + value.split(" ")[0] if value else ""
