@@ -13,7 +13,6 @@ from spacelens.operators import rightowin, scoring, sensitivity
 from spacelens.operators.competition import top_competitors
 from spacelens.operators.derive import derive
 from spacelens.operators.forecast import forecast_spaces
-from spacelens.operators.ranking import fits_one_task
 from spacelens.operators.spaces import membership
 from spacelens.operators.whitespace import find_whitespace
 from spacelens.plans import views
@@ -39,14 +38,20 @@ def rounded(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
 
 # ---- derived fields ------------------------------------------------------------------------
 
+#: Texts that a lenient cast would take for numbers, and numbers in less common notation.
+ODD_CELLS = ["1d", "5f", "0x1p3", "NaN", "1_000", "2e3", "-.5", "+7.", "1e", "--1", "12 34"]
+
+
 def _raw_cells(spark, sf):
     """Untrimmed text cells, some of them not numbers, made from orders."""
     price = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+    odd = F.array(*map(F.lit, ODD_CELLS))
     return table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("row_id"),
         F.concat(F.lit("  "), "o_orderpriority", F.lit(" ")).alias("label"),
         F.when(F.col("o_orderkey") % 7 == 0, F.lit("n/a"))
         .when(F.col("o_orderkey") % 11 == 0, F.lit(None))
+        .when(F.col("o_orderkey") % 13 == 0, F.get(odd, (F.col("o_orderkey") % len(ODD_CELLS)).cast("int")))
         .otherwise(F.concat(F.lit(" "), price)).alias("price"),
     )
 
@@ -240,17 +245,17 @@ def excluded_spaces(spark, sf):
 
 def _kept(spark, sf):
     kept, _ = scoring.split_survivors(market(spark, sf).enriched, SCORE)
-    return kept, fits_one_task(kept)
+    return kept
 
 
 def winsorised(spark, sf):
-    kept, small = _kept(spark, sf)
-    return rounded(scoring.winsorise(kept, SCORE, small).select(*KEYS, "metric", "clipped"))
+    kept = _kept(spark, sf)
+    return rounded(scoring.winsorise(kept, SCORE).select(*KEYS, "metric", "clipped"))
 
 
 def metric_percentiles(spark, sf):
-    kept, small = _kept(spark, sf)
-    return rounded(scoring.percentile_scores(kept, SCORE, small).select(*KEYS, "metric", "pct"))
+    kept = _kept(spark, sf)
+    return rounded(scoring.percentile_scores(kept, SCORE).select(*KEYS, "metric", "pct"))
 
 
 def pillar_scores(spark, sf):
@@ -330,7 +335,7 @@ def sensitivity_query(spark, sf):
     scored = market(spark, sf).scored
     draws = sensitivity.weight_draws(SENSITIVITY, SCORE)
     out = sensitivity.sensitivity(
-        scored, scored, draws, SENSITIVITY, SCORE, small=fits_one_task(scored)
+        scored, scored, draws, SENSITIVITY, SCORE
     )
     return out
 

@@ -552,17 +552,20 @@ def _descr() -> str:
     return "CASE level " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LEVEL_DESCRIPTIONS.items()) + " END"
 
 
+PLAIN_NUMBER = r"regexp_full_match(trim(price), '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?')"
+
 RAW_CELLS = """
 raw AS (SELECT o_orderkey AS row_id, '  ' || o_orderpriority || ' ' AS label,
   CASE WHEN o_orderkey % 7 = 0 THEN 'n/a' WHEN o_orderkey % 11 = 0 THEN NULL
+  WHEN o_orderkey % 13 = 0 THEN ['1d', '5f', '0x1p3', 'NaN', '1_000', '2e3', '-.5', '+7.', '1e', '--1', '12 34'][(o_orderkey % 11 + 1)::INTEGER]
   ELSE ' ' || CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) END AS price FROM orders)
 """
 
 ORACLE = {
     "coerce_numeric": _sql(RAW_CELLS, "SELECT row_id, trim(label) AS label, "
-                           "coalesce(try_cast(trim(price) AS DOUBLE), 0.0) AS price FROM raw"),
+                           f"coalesce(CASE WHEN {PLAIN_NUMBER} THEN try_cast(trim(price) AS DOUBLE) END, 0.0) AS price FROM raw"),
     "coercion_counts": _sql(RAW_CELLS, "SELECT 'price' AS \"column\", count(*) AS unparseable FROM raw "
-                            "WHERE price IS NOT NULL AND try_cast(trim(price) AS DOUBLE) IS NULL"),
+                            f"WHERE price IS NOT NULL AND NOT ({PLAIN_NUMBER})"),
     "split_ingredients": _sql(DESCRIPTIONS, "SELECT row_id, array_to_string(parts, '|') AS ingredients, "
                               "CAST(len(parts) AS INTEGER) AS ingredient_count FROM i"),
     "ingredient_signature": _sql(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spacelens.operators.ranking import counts_below, fits_one_task
+from spacelens.operators.ranking import counts_below
 
 
 def check_cases(cases: DataFrame) -> DataFrame:
@@ -86,7 +86,7 @@ def check_cases(cases: DataFrame) -> DataFrame:
     )
 
 
-def summarise(results: DataFrame, small: bool | None = None) -> DataFrame:
+def summarise(results: DataFrame) -> DataFrame:
     """One row of rates and latency quantiles; a rate over nothing keeps its default."""
     relevant = ~F.col("expected_refusal")
 
@@ -110,9 +110,7 @@ def summarise(results: DataFrame, small: bool | None = None) -> DataFrame:
     timed = results.where("latency_ms > 0").select(
         F.lit(1).alias("all"), F.col("latency_ms").cast("double").alias("ms")
     )
-    if small is None:
-        small = fits_one_task(timed)
-    counted = counts_below(timed, ["all"], "ms", small)
+    counted = counts_below(timed, ["all"], "ms")
     last = F.col("total") - 1
     positions = {
         "lo": F.floor(last / 2), "hi": F.ceil(last / 2),

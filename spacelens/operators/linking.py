@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spacelens.config import LinkConfig
 from spacelens.functions.ratios import clip
+from spacelens.operators.ranking import interpolated_percentiles
 from spacelens.operators.substring import substring_join
 from spacelens.sources.signals import signed_magnitude
 
@@ -115,8 +116,8 @@ def add_trend_multiplier(
     out = spaces.join(tilts, SPACE_KEYS, "left").fillna(
         {"trend_tilt_raw": 0.0, "trend_signal_ids": ""}
     )
-    # The buffer holds distinct tilts with their counts, and the result one row per level.
-    middle = out.groupBy("level").agg(F.median("trend_tilt_raw").alias("trend_tilt_baseline"))
+    # The result has one row per level.
+    middle = interpolated_percentiles(out, ["level"], "trend_tilt_raw", {"trend_tilt_baseline": 0.5})
     return out.join(F.broadcast(middle), "level").withColumn(
         "trend_multiplier",
         clip(

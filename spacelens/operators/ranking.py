@@ -1,157 +1,129 @@
-"""Ranks and order statistics within groups, exact at any group size.
+"""Ranks and order statistics within groups, exact at any group size and by one path.
 
-Where the caller has measured that no group exceeds ``ONE_TASK_ROWS`` a plain window does.
-Beyond that a group is spread over value bands. A band is a monotone function of the value:
-rows are counted per distinct value (ties collapse in the map-side combine), then per band;
-only the short band table is accumulated per group, and values are ordered inside one band
-at a time.
+A group is spread over value bands. A band is a monotone function of the value: rows are counted
+per distinct value (ties collapse in the map-side combine), then per band; only the short band
+table is accumulated per group, and values are ordered inside one band at a time. Nulls are the
+smallest value and a group of their own as keys; NaN is the largest.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from spacelens.sources.stage import stage
-
-ONE_TASK_ROWS = 1_000_000
 BANDS_PER_UNIT = 1000
-
-
-def fits_one_task(df: DataFrame, limit: int | None = None) -> bool:
-    """Measured: does the whole table, hence any group of it, stay within one task?"""
-    return df.count() <= (ONE_TASK_ROWS if limit is None else limit)
+#: Leading characters of a text tie-breaker that deal out the rows of one value.
+TIE_PREFIX = 3
+_LAST = (1 << 63) - 1
 
 
 def value_band(value: Column) -> Column:
     """floor(sign * ln(1+|v|) * 1000): never decreases with v, at most 1.42 million bands."""
     v = value.cast("double")
-    return F.floor(F.signum(v) * F.log1p(F.abs(v)) * BANDS_PER_UNIT)
+    band = F.floor(F.signum(v) * F.log1p(F.abs(v)) * BANDS_PER_UNIT)
+    return F.when(F.isnan(v), F.lit(_LAST)).otherwise(band)
 
 
-def counts_below(df: DataFrame, keys: Sequence[str], value: str, small: bool) -> DataFrame:
-    """One row per (keys, value): ``n`` rows, ``below`` with a smaller value, ``total`` in the group."""
-    freq = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    group = Window.partitionBy(*keys)
-    start = Window.unboundedPreceding
-    if small:
-        earlier = group.orderBy(value).rowsBetween(start, -1)
-        return freq.withColumns(
-            {"below": F.coalesce(F.sum("n").over(earlier), F.lit(0)), "total": F.sum("n").over(group)}
-        )
-    banded = stage(freq.withColumn("_band", value_band(F.col(value))), "bands")
+def _met(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal or both null columns; the right side's columns of these names go."""
+    names = {c: f"_on_{i}" for i, c in enumerate(on)}
+    right = right.withColumnsRenamed(names)
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()])
+    return left.join(right, same, how).drop(*names.values())
+
+
+def _counts_below(freq: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """``freq`` (keys, value, n) with ``below`` and ``total``."""
+    group, start = Window.partitionBy(*keys), Window.unboundedPreceding
+    banded = freq.withColumn("_band", value_band(F.col(value)))
     bands = banded.groupBy(*keys, "_band").agg(F.sum("n").alias("_in_band"))
+    before = group.orderBy("_band").rowsBetween(start, -1)
     offsets = bands.select(
         *keys,
         "_band",
-        F.coalesce(F.sum("_in_band").over(group.orderBy("_band").rowsBetween(start, -1)), F.lit(0))
-        .alias("_offset"),
+        F.coalesce(F.sum("_in_band").over(before), F.lit(0)).alias("_offset"),
         F.sum("_in_band").over(group).alias("total"),
     )
     inside = Window.partitionBy(*keys, "_band").orderBy(value).rowsBetween(start, -1)
     return (
-        banded.join(offsets, [*keys, "_band"])
+        _met(banded, offsets, [*keys, "_band"])
         .withColumn("below", F.col("_offset") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
         .drop("_band", "_offset")
     )
 
 
-def rank_desc(
-    df: DataFrame, keys: Sequence[str], value: str, name: str, small: bool = False
-) -> DataFrame:
-    """Min-tie rank by ``value`` descending within ``keys``."""
-    if small:
-        order = Window.partitionBy(*keys).orderBy(F.desc(value))
-        return df.withColumn(name, F.rank().over(order))
-    counted = counts_below(df, keys, value, small)
+def counts_below(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """One row per (keys, value): ``n`` rows, ``below`` with a smaller value, ``total`` in the group."""
+    return _counts_below(df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n")), keys, value)
+
+
+def rank_desc(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """Min-tie rank by ``value`` descending within ``keys``, nulls last."""
     rank = (F.col("total") - F.col("below") - F.col("n") + 1).cast("int")
-    return df.join(counted.select(*keys, value, rank.alias(name)), [*keys, value])
+    ranks = counts_below(df, keys, value).select(*keys, value, rank.alias(name))
+    return _met(df, ranks, [*keys, value])
 
 
-def percentile_rank(
-    df: DataFrame, keys: Sequence[str], value: str, name: str, small: bool = False
-) -> DataFrame:
+def percentile_rank(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """Average-tie rank / rows of the group x 100; 50 and ``constant`` where all values are equal."""
-    if small:
-        group = Window.partitionBy(*keys)
-        below = F.rank().over(group.orderBy(value)) - 1
-        n = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
-        total = F.count(F.lit(1)).over(group)
-        counted = df.withColumns({"below": below, "n": n, "total": total})
-    else:
-        counted = df.join(counts_below(df, keys, value, small), [*keys, value])
     average = (F.col("below") + (F.col("n") + 1) / 2) / F.col("total") * 100
     constant = F.col("n") == F.col("total")
-    return counted.withColumns(
-        {name: F.when(constant, 50.0).otherwise(average), "constant": constant}
-    ).drop("below", "n", "total")
+    ranks = counts_below(df, keys, value).select(
+        *keys, value, F.when(constant, 50.0).otherwise(average).alias(name), constant.alias("constant")
+    )
+    return _met(df, ranks, [*keys, value])
 
 
-def order_statistics(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    positions: dict[str, Column],
-    small: bool = False,
-) -> DataFrame:
+def order_statistics(df: DataFrame, keys: Sequence[str], value: str, positions: dict[str, Column]) -> DataFrame:
     """Values at zero-based positions of the sorted group; positions may use column ``total``."""
-    counted = counts_below(df, keys, value, small)
     here = [
         F.max(F.when((F.col("below") <= p) & (p < F.col("below") + F.col("n")), F.col(value))).alias(name)
         for name, p in positions.items()
     ]
-    return counted.groupBy(*keys, "total").agg(*here)
+    return counts_below(df, keys, value).groupBy(*keys, "total").agg(*here)
 
 
 def interpolated_percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, fractions: dict[str, float], small: bool = False
+    df: DataFrame, keys: Sequence[str], value: str, fractions: dict[str, float]
 ) -> DataFrame:
-    """Linearly interpolated percentiles, exact."""
-    if small:
-        return df.groupBy(*keys).agg(
-            *[F.percentile(value, F.lit(p)).alias(name) for name, p in fractions.items()]
-        )
+    """Linearly interpolated percentiles, exact; nulls count as smallest, so leave them out."""
     last = F.col("total") - 1
     positions = {}
     for name, p in fractions.items():
         positions[name + "_lo"] = F.floor(last * p)
         positions[name + "_hi"] = F.ceil(last * p)
-    found = order_statistics(df, keys, value, positions, small)
     out = []
     for name, p in fractions.items():
         low, high = F.col(name + "_lo").cast("double"), F.col(name + "_hi").cast("double")
         weight = last * p - F.floor(last * p)
         out.append((low + (high - low) * weight).alias(name))
-    return found.select(*keys, *out)
-
-
-def positions_desc(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    tie: Sequence[str],
-    name: str,
-    small: bool = False,
-) -> DataFrame:
-    """Row position by ``value`` descending, then ``tie`` ascending; unique within ``keys``."""
-    if small:
-        order = Window.partitionBy(*keys).orderBy(F.desc(value), *tie)
-        return df.withColumn(name, F.row_number().over(order))
-    banded = df.withColumn("_band", value_band(F.col(value)))
-    bands = banded.groupBy(*keys, "_band").agg(F.count(F.lit(1)).alias("_in_band"))
-    later = (
-        Window.partitionBy(*keys)
-        .orderBy(F.desc("_band"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = bands.select(
-        *keys, "_band", F.coalesce(F.sum("_in_band").over(later), F.lit(0)).alias("_offset")
-    )
-    inside = Window.partitionBy(*keys, "_band").orderBy(F.desc(value), *tie)
+    return order_statistics(df, keys, value, positions).select(*keys, *out)
+
+
+def positions_desc(df: DataFrame, keys: Sequence[str], value: str, tie: Sequence[str], name: str) -> DataFrame:
+    """Row position by ``value`` descending (nulls last), then ``tie`` ascending; unique within ``keys``.
+
+    Rows of one value are dealt out by the first characters of a text tie-breaker, which keep its
+    order, so a value that most rows share is not numbered in one task.
+    """
+    text = isinstance(df.schema[tie[0]].dataType, T.StringType)
+    prefix = F.substring(tie[0], 1, TIE_PREFIX) if text else F.lit("")
+    parts = df.withColumn("_part", prefix)
+    counted = parts.groupBy(*keys, value, "_part").agg(F.count(F.lit(1)).alias("n"))
+    values = counted.groupBy(*keys, value).agg(F.sum("n").alias("n"))
+    greater = (F.col("total") - F.col("below") - F.col("n")).alias("_greater")
+    values = _counts_below(values, keys, value).select(*keys, value, greater)
+    earlier = Window.partitionBy(*keys, value).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counted = counted.withColumn("_earlier", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    starts = _met(counted, values, [*keys, value])
+    inside = Window.partitionBy(*keys, value, "_part").orderBy(*tie)
+    place = F.col("_greater") + F.col("_earlier") + F.row_number().over(inside)
     return (
-        banded.join(offsets, [*keys, "_band"])
-        .withColumn(name, (F.col("_offset") + F.row_number().over(inside)).cast("int"))
-        .drop("_band", "_offset")
+        _met(parts, starts, [*keys, value, "_part"])
+        .withColumn(name, place.cast("int"))
+        .drop("_part", "_greater", "_earlier")
     )

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from spacelens.config import INVERTED_METRICS, METRIC_COLUMNS, METRIC_WEIGHTS, ScoreConfig
 from spacelens.operators.ranking import (
-    fits_one_task,
     interpolated_percentiles,
     percentile_rank,
     rank_desc,
@@ -50,7 +49,7 @@ def _long_metrics(spaces: DataFrame) -> DataFrame:
     return spaces.select(*SPACE_KEYS, F.inline(F.array(*pairs)))
 
 
-def winsorise(spaces: DataFrame, config: ScoreConfig, small: bool = False) -> DataFrame:
+def winsorise(spaces: DataFrame, config: ScoreConfig) -> DataFrame:
     """(level, space_id, metric, value, clipped): bounds over all surviving rows of all levels."""
     long = _long_metrics(spaces)
     keys = ["level", "metric"] if config.winsor_per_level else ["metric"]
@@ -59,7 +58,6 @@ def winsorise(spaces: DataFrame, config: ScoreConfig, small: bool = False) -> Da
         keys,
         "value",
         {"low": config.winsor_low, "high": config.winsor_high},
-        small,
     )
     filled = F.coalesce(F.nanvl("value", F.lit(None).cast("double")), "low", F.lit(0.0))
     inside = F.least(F.greatest(filled, F.col("low")), F.col("high"))
@@ -72,20 +70,18 @@ def winsorise(spaces: DataFrame, config: ScoreConfig, small: bool = False) -> Da
     )
 
 
-def percentile_scores(spaces: DataFrame, config: ScoreConfig, small: bool = False) -> DataFrame:
+def percentile_scores(spaces: DataFrame, config: ScoreConfig) -> DataFrame:
     """(level, space_id, metric, value, clipped, pct): 0-100 within the level, higher is better."""
-    clipped = winsorise(spaces, config, small)
-    if not small:
-        clipped = stage(clipped, "clipped")
-    ranked = percentile_rank(clipped, ["level", "metric"], "clipped", "pct", small)
+    clipped = stage(winsorise(spaces, config), "clipped")
+    ranked = percentile_rank(clipped, ["level", "metric"], "clipped", "pct")
     flipped = F.col("metric").isin(*sorted(INVERTED_METRICS)) & ~F.col("constant")
     better = F.when(flipped, 100.0 - F.col("pct")).otherwise(F.col("pct"))
     return ranked.withColumn("pct", better).drop("constant")
 
 
-def metric_percentiles(spaces: DataFrame, config: ScoreConfig, small: bool = False) -> DataFrame:
+def metric_percentiles(spaces: DataFrame, config: ScoreConfig) -> DataFrame:
     """One row per space with one score column per metric."""
-    return percentile_scores(spaces, config, small).groupBy(*SPACE_KEYS).agg(
+    return percentile_scores(spaces, config).groupBy(*SPACE_KEYS).agg(
         *[
             F.max(F.when(F.col("metric") == m, F.col("pct"))).alias(score_column(m))
             for m in METRICS
@@ -167,18 +163,17 @@ def verdicts(scored: DataFrame, config: ScoreConfig) -> DataFrame:
 
 
 def score_percentiles(
-    percentiles: DataFrame, config: ScoreConfig, small: bool = False
+    percentiles: DataFrame, config: ScoreConfig
 ) -> DataFrame:
     """Percentiles to ranked and judged scores; what-if weights re-enter here.
 
     Ranks compare scores at nine decimals, so equal spaces tie whatever the order of sums.
     """
     scored = headline_scores(pillar_scores(percentiles, config), config)
-    if not small:
-        scored = stage(scored, "headline")
+    scored = stage(scored, "headline")
     for column, name in (("market_opportunity_index", "moi_rank"), ("priority_score", "cps_rank")):
         keyed = scored.withColumn("_key", F.round(column, 9))
-        scored = rank_desc(keyed, ["level"], "_key", name, small).drop("_key")
+        scored = rank_desc(keyed, ["level"], "_key", name).drop("_key")
     return verdicts(scored, config)
 
 
@@ -192,8 +187,7 @@ def build_scorecard(
     if "trend_multiplier" not in spaces.columns:
         spaces = spaces.withColumn("trend_multiplier", F.lit(1.0))
     kept, excluded = split_survivors(spaces, config)
-    small = fits_one_task(kept)
-    scores = score_percentiles(metric_percentiles(kept, config, small), config, small)
+    scores = score_percentiles(metric_percentiles(kept, config), config)
     return kept.join(scores, SPACE_KEYS), excluded
 
 

@@ -68,7 +68,6 @@ def sensitivity(
     config: SensitivityConfig = SensitivityConfig(),
     score: ScoreConfig = ScoreConfig(),
     score_column: str = "priority_score",
-    small: bool = False,
 ) -> DataFrame:
     """Position statistics per space over all draws, next to its baseline position.
 
@@ -77,7 +76,7 @@ def sensitivity(
     rescored = rescore(percentiles, draws, score).select(
         "level", "space_id", "draw", F.round(score_column, 9).alias("_score")
     )
-    placed = positions_desc(rescored, ["level", "draw"], "_score", ["space_id"], "position", small)
+    placed = positions_desc(rescored, ["level", "draw"], "_score", ["space_id"], "position")
     by_space = ["level", "space_id"]
     stats = placed.groupBy(*by_space).agg(
         F.round(F.count_if(F.col("position") <= config.top_k) / len(draws), 4)
@@ -89,7 +88,7 @@ def sensitivity(
         F.min("position").alias("best_rank"),
     )
     start = baseline.select(*by_space, "space_label", F.round(score_column, 9).alias("_score"))
-    ranked = positions_desc(start, ["level"], "_score", ["space_id"], "baseline_rank", small)
+    ranked = positions_desc(start, ["level"], "_score", ["space_id"], "baseline_rank")
     return ranked.drop("_score").join(stats, by_space).withColumns(
         {
             "is_robust": F.col("top_k_frequency") >= config.robust_at,

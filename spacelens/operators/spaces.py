@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from spacelens.config import EPS, LEVEL_DESCRIPTIONS
 from spacelens.functions.text import is_placeholder, slug
 from spacelens.operators.derive import derive_text
-from spacelens.operators.ranking import fits_one_task, rank_desc
+from spacelens.operators.ranking import rank_desc
 from spacelens.sources.facts import TEXT_ROLES, recent_sales
 
 MEASURES = (
@@ -176,9 +176,7 @@ def company_facts(companies: DataFrame, spaces: DataFrame) -> DataFrame:
         F.when(F.col("space_value_t2") != 0, F.col("value_t2").cast("double") / F.col("space_value_t2"))
         .otherwise(0.0),
     )
-    ranked = rank_desc(
-        shared, ["level", "space_id"], "value_t2", "rank_in_space", fits_one_task(companies)
-    )
+    ranked = rank_desc(shared, ["level", "space_id"], "value_t2", "rank_in_space")
     return _as_doubles(ranked)
 
 
@@ -189,10 +187,7 @@ def brand_facts(cells: DataFrame, spaces: DataFrame) -> DataFrame:
         F.sum("value_t2").alias("value_t2"),
         F.max("is_focal").alias("is_focal"),
     )
-    # A cell gives a space at most one brand row, so the cell count bounds every group.
-    ranked = rank_desc(
-        sums, ["level", "space_id"], "value_t2", "rank_in_space", fits_one_task(cells)
-    )
+    ranked = rank_desc(sums, ["level", "space_id"], "value_t2", "rank_in_space")
     return _as_doubles(ranked.join(spaces.select(*SPACE), list(SPACE_KEYS)))
 
 

@@ -13,7 +13,7 @@ from spacelens.operators.chunks import chunk_documents
 from spacelens.operators.competition import top_competitors
 from spacelens.operators.forecast import forecast_spaces
 from spacelens.operators.index import TextIndex
-from spacelens.operators.ranking import fits_one_task, rank_desc
+from spacelens.operators.ranking import rank_desc
 from spacelens.operators.retrieval import search
 from spacelens.operators.scoring import top_spaces
 from spacelens.operators.sensitivity import sensitivity, weight_draws
@@ -24,7 +24,6 @@ from spacelens.sources.stage import stage
 
 SPACE_KEYS = ["level", "space_id"]
 RANK_BY = ("priority_score", "market_opportunity_index", "value_t2", "value_yoy")
-MAX_SQL_ROWS = 200
 
 
 def _pct(c, digits: int = 2):
@@ -327,7 +326,7 @@ def competitive_standing(m: Market, focal_company: str, top: int = 10) -> DataFr
         F.round(F.sum("value_t1"), 6).alias("value_t1"),
     )
     named = sums.withColumn("market", F.lit(1))
-    ranked = rank_desc(named, ["market"], "value_t2", "market_rank", fits_one_task(m.companies))
+    ranked = rank_desc(named, ["market"], "value_t2", "market_rank")
     return ranked.where(
         (F.col("market_rank") <= top) | (F.upper("company_clean") == focal_company.upper())
     ).select(
@@ -391,7 +390,7 @@ def sensitivity_analysis(
     scored, _ = m.scorecard(levels=[level])
     scored = stage(scored, "level_scores")
     draws = weight_draws(config, m.score)
-    stability = sensitivity(scored, scored, draws, config, m.score, small=fits_one_task(scored))
+    stability = sensitivity(scored, scored, draws, config, m.score)
     return stability.orderBy(F.desc("top_k_frequency"), "mean_rank", "space_id")
 
 
@@ -420,8 +419,28 @@ def register_views(m: Market) -> None:
         getattr(m, name).createOrReplaceTempView(name)
 
 
-def adhoc_sql(spark: SparkSession, query: str, limit: int = 50) -> DataFrame:
-    """A SELECT over the registered tables, at most 200 rows."""
-    if query.strip().split(None, 1)[0].lower() not in ("select", "with"):
-        raise ValueError("only SELECT and WITH are permitted")
-    return spark.sql(query.strip().rstrip(";")).limit(max(1, min(limit, MAX_SQL_ROWS)))
+def _statements(plan) -> list:
+    """A parsed plan's node and all below it."""
+    children = plan.children()
+    return [plan, *(n for i in range(children.size()) for n in _statements(children.apply(i)))]
+
+
+def adhoc_sql(spark: SparkSession, query: str, limit: int | None = None) -> DataFrame:
+    """One query over the registered tables, all its rows unless ``limit`` says otherwise.
+
+    The text is parsed before anything runs; several statements, and any that is or holds a
+    command (insert, create, drop, set ...), are refused, also behind WITH.
+    """
+    text = query.strip().removesuffix(";")
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    except Exception as error:
+        raise ValueError(f"not one SQL query: {str(error).splitlines()[0]}") from error
+    find = spark._jvm.java.lang.Class.forName
+    logical = "org.apache.spark.sql.catalyst.plans.logical."
+    refused = [find(logical + name) for name in ("Command", "ParsedStatement")]
+    for node in _statements(plan):
+        if any(kind.isInstance(node) for kind in refused):
+            raise ValueError(f"only queries are permitted, not {node.nodeName()}")
+    rows = spark.sql(text)
+    return rows if limit is None else rows.limit(limit)

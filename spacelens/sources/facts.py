@@ -81,14 +81,23 @@ def assert_rows(df: DataFrame) -> DataFrame:
     return df
 
 
+#: What counts as a number in a text cell: digits with an optional point and exponent, or infinity.
+#: Suffixed ("1d"), hexadecimal and not-a-number texts do not.
+NUMBER = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?)$"
+
+
 def _number(name: str, dtype: T.DataType):
+    """The cell as a number; null where it holds none."""
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return F.nanvl(_q(name), F.lit(None).cast(dtype))
     if isinstance(dtype, T.NumericType):
         return _q(name)
-    return F.expr("try_cast(trim(`" + name.replace("`", "``") + "`) AS double)")
+    text = F.trim(_q(name).cast("string"))
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
 def coerce_numeric(df: DataFrame, columns) -> DataFrame:
-    """Text to double; unparseable and null become 0. Numeric columns keep their type."""
+    """Text to double; unparseable, not-a-number and null become 0. Numeric columns keep their type."""
     dtypes = {f.name: f.dataType for f in df.schema.fields}
     wanted = set(columns)
     return df.select(

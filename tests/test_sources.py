@@ -67,6 +67,16 @@ def test_coercion(spark):
     assert [(r["column"], r["unparseable"]) for r in report] == [("MAT", 1)]
 
 
+def test_only_plain_numbers_are_numbers(spark):
+    texts = ["1d", "5f", "0x1p3", "NaN", "1_0", "1e", "", "--1", "2e3", "-.5", "+7.", " 3 ", "inf", "-Infinity", None]
+    df = spark.createDataFrame([(t, float("nan")) for t in texts], "t string, d double")
+    got = [tuple(r) for r in fs.coerce_numeric(df, ["t", "d"]).collect()]
+    want = [0.0] * 8 + [2000.0, -0.5, 7.0, 3.0, float("inf"), float("-inf"), 0.0]
+    assert got == [(x, 0.0) for x in want]
+    report = {r["column"]: r["unparseable"] for r in fs.coercion_report(df, ["t", "d"]).collect()}
+    assert report == {"t": 8, "d": 15}
+
+
 def test_stage_uses_the_folder_the_session_names(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     root = stage_root(spark)
@@ -142,12 +152,34 @@ def test_views(spark, six_packs):
         views.rank_opportunity_spaces(six_packs, rank_by="space_id")
 
 
-def test_adhoc_sql_is_capped_and_read_only(spark, six_packs):
+def test_adhoc_sql_returns_all_rows_of_a_query(spark, six_packs):
     views.register_views(six_packs)
-    assert views.adhoc_sql(spark, "SELECT * FROM space_facts", 1000).count() == 21
-    assert views.adhoc_sql(spark, "WITH a AS (SELECT 1 x) SELECT * FROM a;", 0).count() == 1
+    assert views.adhoc_sql(spark, "SELECT * FROM space_facts").count() == 21
+    assert views.adhoc_sql(spark, "SELECT * FROM range(500)").count() == 500
+    assert views.adhoc_sql(spark, "SELECT * FROM range(500)", limit=7).count() == 7
+    assert views.adhoc_sql(spark, "WITH a AS (SELECT 1 x) SELECT * FROM a;").count() == 1
+    assert views.adhoc_sql(spark, "SELECT ';' AS c UNION ALL (VALUES ('x'))").count() == 2
+
+
+@pytest.mark.parametrize(
+    "statement",
+    [
+        "DROP VIEW space_facts",
+        "CREATE TEMP VIEW v AS SELECT 1",
+        "INSERT INTO t SELECT 1",
+        "WITH a AS (SELECT 1 AS id) INSERT INTO t SELECT * FROM a",
+        "FROM range(3) INSERT INTO t SELECT id INSERT INTO u SELECT id",
+        "SET spark.sql.shuffle.partitions = 1",
+        "SELECT 1; SELECT 2",
+        "SELECT 1; DROP VIEW space_facts",
+        "EXPLAIN SELECT 1",
+        "selec 1",
+        "",
+    ],
+)
+def test_adhoc_sql_refuses_what_is_not_one_query(spark, statement):
     with pytest.raises(ValueError):
-        views.adhoc_sql(spark, "DROP VIEW space_facts")
+        views.adhoc_sql(spark, statement)
 
 
 def test_level_views(spark, six_packs):

@@ -1,33 +1,7 @@
-"""The whole market with every group forced off the one-task path."""
-
-import math
+"""Totals of the whole market."""
 
 import pytest
 
-from spacelens.config import ScoreConfig
-from spacelens.operators import ranking
-from spacelens.plans.market import Market
-
-
-def rows(df):
-    return sorted(
-        tuple(round(v, 9) if isinstance(v, float) else v for v in r)
-        for r in df.select(sorted(c for c in df.columns)).collect()
-    )
-
-
-@pytest.mark.parametrize("name", ["company_facts", "brand_facts", "scored"])
-def test_split_market_equals_the_small_one(packs, six_packs, monkeypatch, name):
-    want = rows(getattr(six_packs, name))
-    monkeypatch.setattr(ranking, "ONE_TASK_ROWS", 0)
-    assert not ranking.fits_one_task(packs)
-    split = Market.build(packs, "CIPLA*", score=ScoreConfig(min_value=0.0, min_players=1))
-    got = rows(getattr(split, name))
-    assert len(got) == len(want) > 0
-    for a, b in zip(got, want):
-        for x, y in zip(a, b):
-            assert x == y or (isinstance(x, float) and math.isclose(x, y, abs_tol=1e-8))
-
 
 def test_segments_add_up_to_the_packs(packs, six_packs):
     total = sum(r["value_t2"] for r in packs.select("value_t2").collect())
