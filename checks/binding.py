@@ -249,12 +249,11 @@ def retrieved_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every user turn, led by a question; every other one without the turn's own text."""
+    """Every user turn, led by a question."""
     asked = _phrase(F.col("conv_id") + F.col("turn"), QUESTIONS)
-    own = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit(" "), F.col("text"))).otherwise("")
     return table(spark, sf_dir, "conversations").where("role = 'user'").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"),
-        F.concat(asked, own).alias("text"),
+        F.concat(asked, F.lit(" "), "text").alias("text"),
     )
 
 
@@ -267,28 +266,35 @@ def space_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One golden case per conversation: its first assistant turn is the answer."""
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
-        F.min_by(F.when(F.col("role") == "assistant", F.col("text")),
-                 F.when(F.col("role") == "assistant", F.col("turn"))).alias("answer"),
-        F.min_by(F.when(F.col("role") == "user", F.col("text")),
-                 F.when(F.col("role") == "user", F.col("turn"))).alias("question"),
-        F.array_sort(F.collect_set("role")).alias("tools_called"),
+    """One golden case per assistant turn; the user turn right before it is the question.
+
+    The answer must hold the question's first word and must not hold its last one.
+    """
+    turns = table(spark, sf_dir, "conversations")
+    asked = turns.where("role = 'user'").select(
+        "conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("question"), F.lit("user").alias("asker")
     )
-    i = F.col("conv_id")
+    answered = turns.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("answer"))
+    pairs = answered.join(asked, ["conv_id", "turn"], "left")
+    i = F.col("conv_id") * 1000 + F.col("turn")
     none = F.array().cast("array<string>")
     answer = F.coalesce("answer", F.lit(""))
     question = F.coalesce("question", F.lit(""))
-    return turns.select(
+
+    def word(pattern):
+        found = F.regexp_extract(question, pattern, 0)
+        return F.when(found != "", F.array(found)).otherwise(none)
+
+    return pairs.select(
         i.alias("case_id"),
         answer.alias("answer"),
         (F.length(answer) < 60).alias("refused"),
         (i % 7 == 0).alias("expect_refusal"),
-        "tools_called",
+        F.array_compact(F.array(F.lit("assistant"), F.col("asker"))).alias("tools_called"),
         F.when(i % 5 == 0, F.array(F.lit("user"), F.lit("tool"))).otherwise(F.array(F.lit("user")))
         .alias("required_tools"),
-        F.array(F.substring(question, 1, 3)).alias("must_include"),
-        F.array(F.concat(F.substring(question, 4, 4), F.lit("."))).alias("must_not_include"),
+        word(r"^[^ \n]+").alias("must_include"),
+        word(r"[^ \n]+$").alias("must_not_include"),
         F.lit(100).alias("min_length"),
         F.when(i % 9 != 0, i % 4 != 0).alias("grounded"),
         F.when(i % 6 == 0, F.array(F.lit("S-99"))).otherwise(none).alias("invalid_citations"),

@@ -170,7 +170,7 @@ def sanitised() -> str:
 
 ASKED = f"""
 asked AS MATERIALIZED (SELECT conv_id * 1000 + turn AS question_id, {pick(QUESTIONS, "conv_id + turn")}
-  || CASE WHEN conv_id % 2 = 0 THEN ' ' || text ELSE '' END AS text FROM conversations WHERE role = 'user')"""
+  || ' ' || text AS text FROM conversations WHERE role = 'user')"""
 
 
 def words_in(words) -> str:
@@ -189,17 +189,19 @@ INTENT = "SELECT question_id, CASE " + " ".join(
 ) + " ELSE 'general' END AS intent FROM asked"
 
 CASES = """
-turns AS (SELECT conv_id, coalesce(arg_min(text, turn) FILTER (role = 'assistant'), '') AS answer,
-    coalesce(arg_min(text, turn) FILTER (role = 'user'), '') AS question, list(DISTINCT role) AS tools
-  FROM conversations GROUP BY 1),
-cases AS (SELECT conv_id AS case_id, answer, length(answer) < 60 AS refused, conv_id % 7 = 0 AS expected_refusal, tools,
-    CASE WHEN conv_id % 5 = 0 THEN ['user', 'tool'] ELSE ['user'] END AS required, lower(substring(question, 1, 3)) AS must,
-    substring(question, 1, 3) AS must_raw, substring(question, 4, 4) || '.' AS mustnot,
-    CASE WHEN conv_id % 9 <> 0 THEN conv_id % 4 <> 0 END AS grounded,
-    CASE WHEN conv_id % 6 = 0 THEN 'S-99' ELSE '' END AS invalid, length(answer) * 1.5::DOUBLE AS latency_ms FROM turns),
+turns AS (SELECT a.conv_id * 1000 + a.turn AS i, coalesce(a.text, '') AS answer, coalesce(u.text, '') AS question,
+    CASE WHEN u.conv_id IS NULL THEN ['assistant'] ELSE ['assistant', 'user'] END AS tools
+  FROM conversations a LEFT JOIN conversations u ON u.conv_id = a.conv_id AND u.turn + 1 = a.turn AND u.role = 'user'
+  WHERE a.role = 'assistant'),
+cases AS (SELECT i AS case_id, answer, length(answer) < 60 AS refused, i % 7 = 0 AS expected_refusal, tools,
+    CASE WHEN i % 5 = 0 THEN ['user', 'tool'] ELSE ['user'] END AS required,
+    lower(regexp_extract(question, '^[^ \n]+')) AS must, regexp_extract(question, '^[^ \n]+') AS must_raw,
+    regexp_extract(question, '[^ \n]+$') AS mustnot,
+    CASE WHEN i % 9 <> 0 THEN i % 4 <> 0 END AS grounded,
+    CASE WHEN i % 6 = 0 THEN 'S-99' ELSE '' END AS invalid, length(answer) * 1.5::DOUBLE AS latency_ms FROM turns),
 parts AS (SELECT *, array_to_string(list_filter(required, lambda t: NOT list_contains(tools, t)), '|') AS mt,
     CASE WHEN contains(lower(answer), must) THEN '' ELSE must_raw END AS mc,
-    CASE WHEN contains(lower(answer), lower(mustnot)) THEN mustnot ELSE '' END AS fc,
+    CASE WHEN mustnot <> '' AND contains(lower(answer), lower(mustnot)) THEN mustnot ELSE '' END AS fc,
     CAST(length(answer) AS INTEGER) AS answer_length FROM cases),
 results AS MATERIALIZED (
   SELECT case_id, CASE WHEN expected_refusal THEN CASE WHEN refused THEN '' ELSE 'expected a refusal but the agent answered' END
@@ -252,7 +254,7 @@ ORACLE = {
     "bm25": rec(WORDS, "SELECT " + HIT + "CAST(position AS INTEGER) AS position, " + r("score") + " FROM bm_top"),
     "trigram_cosine": rec(WORDS + GRAMS, "SELECT " + HIT + "CAST(position AS INTEGER) AS position, " + r("score") + " FROM co_top"),
     "dense_rank": _sql(CENTRES, "SELECT " + HIT + "CAST(position AS INTEGER) AS position, " + r("score", digits=5) + """ FROM (
-      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS position FROM sim WHERE score > 0)
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS position FROM sim)
       WHERE position <= 24"""),
     "rrf_search": rec(WORDS + GRAMS + RRF, "SELECT " + HIT + "CAST(rank AS INTEGER) AS rank, " + r("score", digits=9)
                       + ", title, text FROM hits JOIN chunks USING (doc_id, chunk_no)"),

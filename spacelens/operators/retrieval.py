@@ -57,13 +57,16 @@ def cosine_scores(index: TextIndex, queries: DataFrame) -> DataFrame:
     return sums.join(index.norms, CHUNK).select(*HIT, (F.col("dot") / F.col("norm")).alias("score"))
 
 
-def top_passages(scores: DataFrame, k: int, digits: int = 9) -> DataFrame:
-    """The k best per query with their position; the filter prunes before the shuffle."""
+def top_passages(scores: DataFrame, k: int, digits: int = 9, positive: bool = True) -> DataFrame:
+    """The k best per query with their position; the filter prunes before the shuffle.
+
+    Lexical scores of 0 mean no match and are no hits; cosines of vectors (``positive`` False)
+    rank whatever their sign.
+    """
     key = F.round("score", digits)
     order = Window.partitionBy("query_id").orderBy(F.desc(key), *CHUNK)
-    return scores.where(key > 0).withColumn("position", F.row_number().over(order)).where(
-        F.col("position") <= k
-    )
+    hits = scores.where(key > 0) if positive else scores
+    return hits.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
 
 
 def bm25(index, queries, k: int, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
@@ -134,7 +137,7 @@ def dense_scores(
 
 
 def dense_rank(vectors: DataFrame, queries: DataFrame, k: int, **blocks) -> DataFrame:
-    return top_passages(dense_scores(vectors, queries, k, **blocks), k)
+    return top_passages(dense_scores(vectors, queries, k, **blocks), k, positive=False)
 
 
 def fuse(rankings: list[DataFrame], k: int, rrf_k: int = 60) -> DataFrame:

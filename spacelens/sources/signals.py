@@ -10,11 +10,6 @@ from pyspark.sql import functions as F
 
 from spacelens.config import CONFIDENCE_WEIGHTS, DIRECTION_SIGNS
 
-try:
-    import yaml
-except ImportError:  # the flat subset below is enough for the documented layout
-    yaml = None
-
 SIGNAL_SCHEMA = (
     "path string, id string, title string, category string, publisher string, source string, "
     "url string, published string, accessed string, confidence string, direction string, "
@@ -25,48 +20,97 @@ FRONT_MATTER = r"(?s)^---\s*\n(.*?)\n---\s*\n(.*)$"
 TARGETS = ("molecules", "segments", "sub_segments", "keywords")
 
 
+def _cut(text: str, at: str) -> list[str]:
+    """``text`` cut at a character outside quotes and brackets."""
+    parts, quote, depth = [""], "", 0
+    for c in text:
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "\"'" and not parts[-1].strip():
+            quote = c
+        elif c in "[]":
+            depth += 1 if c == "[" else -1
+        if c == at and not quote and depth == 0:
+            parts.append("")
+        else:
+            parts[-1] += c
+    return parts
+
+
+def _plain(line: str) -> str:
+    """The line without a comment: a mark outside quotes, at the start or after white space."""
+    quote = ""
+    for i, c in enumerate(line):
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "\"'" and (i == 0 or line[i - 1] in " [,:\t" + c):
+            quote = c
+        elif c == "#" and (i == 0 or line[i - 1].isspace()):
+            return line[:i]
+    return line
+
+
 def _scalar(text: str):
     text = text.strip()
     if text.startswith("[") and text.endswith("]"):
-        return [_scalar(t) for t in text[1:-1].split(",") if t.strip()]
+        return [_scalar(t) for t in _cut(text[1:-1], ",") if t.strip()]
     if len(text) > 1 and text[0] == text[-1] and text[0] in "\"'":
-        return text[1:-1]
-    return text
+        return text[1:-1].replace(text[0] * 2, text[0]) if text[0] == "'" else text[1:-1]
+    return None if text in ("", "~", "null") else text
+
 
+def header_fields(text: str) -> dict:
+    """Key/value lines with quoted values and comments, one nested mapping level, '- item' and
+    [a, b] lists, and indented block text after '|' (lines kept) or '>' (lines joined).
 
-def _flat_yaml(text: str) -> dict:
-    """Key/value lines, one nested mapping level, '- item' and [a, b] lists."""
+    The same reader everywhere: what a header means does not depend on a worker's packages.
+    """
     out: dict = {}
     block: dict = out
     key = None
-    for line in text.splitlines():
-        if not line.strip() or line.lstrip().startswith("#"):
+    lines = text.splitlines()
+    at = 0
+    while at < len(lines):
+        line = _plain(lines[at])
+        at += 1
+        if not line.strip():
             continue
         body, indented = line.strip(), line[:1].isspace()
-        if body.startswith("- ") and key is not None:
+        if (body.startswith("- ") or body == "-") and key is not None:
             if not isinstance(block.get(key), list):
                 block[key] = []
             block[key].append(_scalar(body[2:]))
             continue
-        if ":" not in body:
+        name, found, value = body.partition(":")
+        if not found or value and not value[0].isspace():
             raise ValueError(f"not a key/value line: {body}")
-        name, value = body.split(":", 1)
         if not indented:
             block = out
         elif block is out and key is not None:
             out[key] = {}
             block = out[key]
-        key = name.strip()
-        block[key] = _scalar(value) if value.strip() else None
+        key = name.strip().strip("\"'")
+        if value.strip() in ("|", ">", "|-", ">-"):
+            depth, kept = len(line) - len(line.lstrip()), []
+            while at < len(lines) and (not lines[at].strip() or len(lines[at]) - len(lines[at].lstrip()) > depth):
+                kept.append(lines[at].strip())
+                at += 1
+            block[key] = ("\n" if value.strip()[0] == "|" else " ").join(kept).strip()
+        else:
+            block[key] = _scalar(value)
     return out
 
 
-def _meta(text: str) -> dict | None:
+def _meta(text: str) -> tuple[dict | None, str]:
+    """(fields, "") or (None, why the document cannot be used)."""
     try:
-        meta = yaml.safe_load(text) if yaml else _flat_yaml(text)
-    except Exception:  # a malformed header drops the document, as documented
-        return None
-    return meta if isinstance(meta, dict) and "id" in meta else None
+        meta = header_fields(text)
+        if meta.get("id") is None:
+            return None, "no id"
+        float(meta.get("magnitude") or 0.0)
+    except (ValueError, TypeError) as error:
+        return None, str(error)
+    return meta, ""
 
 
 def _listed(value) -> list[str]:
@@ -81,7 +125,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for path, header, body in zip(batch["path"], batch["header"], batch["body"], strict=True):
-            meta = _meta(header)
+            meta = _meta(header)[0]
             if meta is None:
                 continue
             stem = path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
@@ -89,7 +133,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             applies = applies if isinstance(applies, dict) else {}
             targets = {t: _listed(applies.get(t)) for t in TARGETS}
             text = {
-                c: str(meta.get(c, default))
+                c: default if meta.get(c) is None else str(meta[c])
                 for c, default in (
                     ("title", stem), ("category", "general"), ("publisher", ""), ("source", ""),
                     ("url", ""), ("published", ""), ("accessed", ""), ("confidence", "medium"),
@@ -111,14 +155,32 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=columns)
 
 
-def parse_signals(documents: DataFrame) -> DataFrame:
-    """(path, value) whole-file rows to signals; bad headers dropped, first path wins an id."""
-    split = documents.select(
+def _split(documents: DataFrame) -> DataFrame:
+    return documents.select(
         "path",
         F.regexp_extract("value", FRONT_MATTER, 1).alias("header"),
         F.regexp_extract("value", FRONT_MATTER, 2).alias("body"),
         F.col("value").rlike(FRONT_MATTER).alias("ok"),
-    ).where("ok").drop("ok")
+    )
+
+
+def _faults(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        why = [_meta(h)[1] if ok else "no front matter" for h, ok in zip(batch["header"], batch["ok"], strict=True)]
+        found = pd.DataFrame({"path": batch["path"], "reason": why})
+        yield found[found["reason"] != ""]
+
+
+def signal_errors(documents: DataFrame) -> DataFrame:
+    """(path, reason) of the documents that ``parse_signals`` leaves out."""
+    checked = _split(documents).select("path", "header", F.coalesce("ok", F.lit(False)).alias("ok"))
+    return checked.mapInPandas(_faults, "path string, reason string")
+
+
+def parse_signals(documents: DataFrame) -> DataFrame:
+    """(path, value) whole-file rows to signals; documents in ``signal_errors`` are left out, the
+    first path wins an id."""
+    split = _split(documents).where("ok").drop("ok")
     parsed = split.mapInPandas(_parse, SIGNAL_SCHEMA)
     first = Window.partitionBy("id").orderBy("path")
     # The rank filter prunes before the shuffle, so many copies of one id stay cheap.

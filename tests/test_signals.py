@@ -118,14 +118,48 @@ Body text.
 """
 
 
-@pytest.mark.parametrize("with_yaml", [True, False])
-def test_corpus_files(spark, tmp_path, monkeypatch, with_yaml):
-    if not with_yaml:
-        assert sig._meta(SIGNAL_FILE.split("---\n")[1])["id"] == "S-07"
-        flat = sig._flat_yaml(SIGNAL_FILE.split("---\n")[1])
-        assert flat["applies_to"]["molecules"] == ["telmisartan"]
-        assert flat["applies_to"]["segments"] == ["Anti Hypertensives", "Lipid Regulators"]
-        return
+def test_headers_with_quotes_comments_and_blocks():
+    header = """# a comment
+id: "S, 1"   # the id
+title: 'It''s # not a comment'
+url: https://example.org/a#b
+empty:
+note: |
+  first line
+    second: line
+joined: >
+  one
+  two
+confidence: "high"
+applies_to:   # nested
+  keywords: ["a, b", 'c', d e]
+  segments:
+    - "x: y"
+    - z # gone
+"""
+    fields = sig.header_fields(header)
+    assert fields["id"] == "S, 1" and fields["title"] == "It's # not a comment"
+    assert fields["url"] == "https://example.org/a#b" and fields["empty"] is None
+    assert fields["note"] == "first line\nsecond: line" and fields["joined"] == "one two"
+    assert fields["applies_to"] == {"keywords": ["a, b", "c", "d e"], "segments": ["x: y", "z"]}
+
+
+def test_documents_left_out_are_reported(spark):
+    texts = {
+        "good.md": SIGNAL_FILE,
+        "plain.md": "no header",
+        "noid.md": SIGNAL_FILE.replace("id: S-07", "name: x"),
+        "number.md": SIGNAL_FILE.replace("0.07", "a lot"),
+        "line.md": SIGNAL_FILE.replace("category: regulation", "just words"),
+        "null.md": None,
+    }
+    df = spark.createDataFrame(list(texts.items()), "path string, value string")
+    assert [r["path"] for r in sig.parse_signals(df).collect()] == ["good.md"]
+    errors = {r["path"]: r["reason"] for r in sig.signal_errors(df).collect()}
+    assert set(errors) == set(texts) - {"good.md"} and all(errors.values())
+
+
+def test_corpus_files(spark, tmp_path):
     (tmp_path / "b.md").write_text(SIGNAL_FILE)
     (tmp_path / "c.md").write_text(SIGNAL_FILE.replace("Price control", "Copy"))
     (tmp_path / "d.md").write_text("no header")
