@@ -17,78 +17,77 @@ def by_id(df, level):
 
 
 def test_membership_counts(packs):
-    pairs = membership(derive(packs, "CIPLA*")).collect()
-    assert len(pairs) == 38
+    pairs = membership(derive(packs, "ORBIS*")).collect()
+    assert len(pairs) == 44
     spaces = {(r["level"], r["space_id"]) for r in pairs}
     counts = {}
     for level, _ in spaces:
         counts[level] = counts.get(level, 0) + 1
     assert counts == {"segment": 2, "sub_segment": 4, "molecule_class": 3,
-                      "molecule_combination": 4, "treatment_archetype": 4, "anchor_molecule": 4}
+                      "molecule_combination": 5, "treatment_archetype": 4, "anchor_molecule": 4}
 
 
-def test_levels_reconcile(six_packs):
-    segments = by_id(six_packs.space_facts, "segment")
-    assert segments["SEG_ANTI_HYPERTENSIVES"]["value_t2"] == 650
-    assert segments["SEG_LIPID_REGULATORS"]["value_t2"] == 588
-    anchors = by_id(six_packs.space_facts, "anchor_molecule")
+def test_levels_reconcile(seven_packs):
+    segments = by_id(seven_packs.space_facts, "segment")
+    assert segments["SEG_PAIN_RELIEF"]["value_t2"] == 530
+    assert segments["SEG_ALLERGY"]["value_t2"] == 375
+    anchors = by_id(seven_packs.space_facts, "anchor_molecule")
     assert {k: v["value_t2"] for k, v in anchors.items()} == {
-        "ANC_TELMISARTAN": 650, "ANC_AMLODIPINE": 250, "ANC_ROSUVASTATIN": 588, "ANC_EZETIMIBE": 120
+        "ANC_IBUPROFEN": 480, "ANC_PARACETAMOL": 230, "ANC_CETIRIZINE": 375, "ANC_LORATADINE": 75
     }
-    totals = six_packs.totals.first()
-    assert totals["market_value_t2"] == 1238 and totals["focal_value_t2"] == 208
-    assert sum(v["value_t2"] for v in anchors.values()) == 1608
+    totals = seven_packs.totals.first()
+    assert totals["market_value_t2"] == 905 and totals["focal_value_t2"] == 150
+    assert sum(v["value_t2"] for v in anchors.values()) == 1160
 
 
-def test_growth_by_hand(six_packs):
-    arbs = by_id(six_packs.grown, "sub_segment")["SUB_ANTI_HYPERTENSIVES_ARBS"]
-    assert arbs["value_yoy"] == pytest.approx(400 / 330 - 1)
-    assert arbs["real_growth"] == pytest.approx(376 / 330 - 1)
-    assert arbs["price_effect"] == pytest.approx(24 / 330)
-    rows = six_packs.grown.collect()
+def test_growth_by_hand(seven_packs):
+    plain = by_id(seven_packs.grown, "sub_segment")["SUB_PAIN_RELIEF_PLAIN_PAIN"]
+    assert plain["value_yoy"] == pytest.approx(350 / 240 - 1)
+    assert plain["real_growth"] == pytest.approx(329 / 240 - 1)
+    assert plain["price_effect"] == pytest.approx(21 / 240)
+    rows = seven_packs.grown.collect()
     assert all(abs(r["momentum"]) < 1e-9 for r in rows)
-    comb = by_id(six_packs.grown, "sub_segment")["SUB_LIPID_REGULATORS_STATINS_COMB"]
-    assert comb["value_yoy"] == pytest.approx(2.0)
+    dual = by_id(seven_packs.grown, "sub_segment")["SUB_ALLERGY_DUAL_ALLERGY"]
+    assert dual["value_yoy"] == pytest.approx(1.5)
 
 
-def test_competition_by_hand(six_packs):
-    subs = by_id(six_packs.enriched, "sub_segment")
-    arbs = subs["SUB_ANTI_HYPERTENSIVES_ARBS"]
-    assert (arbs["n_players"], arbs["leader_company"]) == (2, "TORRENT")
-    assert arbs["leader_share"] == pytest.approx(0.75)
-    assert arbs["hhi"] == pytest.approx(6250)
-    assert arbs["share_churn"] == pytest.approx(abs(0.25 - 90 / 330))
-    comb = subs["SUB_LIPID_REGULATORS_STATINS_COMB"]
-    assert comb["n_players"] == 1 and comb["hhi"] == pytest.approx(10000)
-    assert comb["is_structurally_closed"]
+def test_competition_by_hand(seven_packs):
+    subs = by_id(seven_packs.enriched, "sub_segment")
+    plain = subs["SUB_PAIN_RELIEF_PLAIN_PAIN"]
+    assert (plain["n_players"], plain["leader_company"]) == (2, "NORDA")
+    assert plain["leader_share"] == pytest.approx(260 / 350)
+    assert plain["hhi"] == pytest.approx((260**2 + 90**2) / 350**2 * 10000)
+    assert plain["share_churn"] == pytest.approx(abs(90 / 350 - 60 / 240))
+    dual = subs["SUB_ALLERGY_DUAL_ALLERGY"]
+    assert dual["n_players"] == 1 and dual["hhi"] == pytest.approx(10000)
+    assert dual["is_structurally_closed"]
 
 
-def test_company_facts_share_and_rank(six_packs):
-    rows = [r for r in six_packs.company_facts.collect() if r["space_id"] == "SEG_LIPID_REGULATORS"]
+def test_company_facts_share_and_rank(seven_packs):
+    rows = [r for r in seven_packs.company_facts.collect() if r["space_id"] == "SEG_ALLERGY"]
     assert sum(r["share_t2"] for r in rows) == pytest.approx(1.0)
     ranks = {r["company_clean"]: r["rank_in_space"] for r in rows}
-    assert ranks == {"LUPIN": 1, "ZYDUS": 2, "CIPLA": 3}
-    top = top_competitors(six_packs.company_facts, 1).where("space_id = 'SEG_LIPID_REGULATORS'")
-    assert [r["company_clean"] for r in top.collect()] == ["LUPIN"]
-
-
-def test_right_to_win_by_hand(six_packs):
-    subs = by_id(six_packs.enriched, "sub_segment")
-    comb = subs["SUB_LIPID_REGULATORS_STATINS_COMB"]
-    # Half of the one dual pack is rosuvastatin, which the focal company sells as BRAND.
-    assert comb["rtw_molecule_adjacency"] == pytest.approx(0.5)
-    assert comb["rtw_brand_franchise"] == 1.0
-    assert comb["adjacent_focal_brands"] == "BRAND"
-    assert comb["rtw_detailing_adjacency"] == 0.0
-    arbs = subs["SUB_ANTI_HYPERTENSIVES_ARBS"]
-    assert arbs["rtw_detailing_adjacency"] == pytest.approx(0.25)
-    assert arbs["rtw_formulation_fit"] == pytest.approx(1.0)
-    segment = by_id(six_packs.enriched, "segment")["SEG_LIPID_REGULATORS"]
-    assert segment["rtw_detailing_adjacency"] == pytest.approx(108 / 468)
-
-
-def test_composition_sums_to_one(six_packs):
-    weights = rightowin.space_composition(six_packs.molecules, six_packs.space_facts)
+    assert ranks == {"MERIDIAN": 1, "QUILL": 2, "ORBIS": 3}
+    top = top_competitors(seven_packs.company_facts, 1).where("space_id = 'SEG_ALLERGY'")
+    assert [r["company_clean"] for r in top.collect()] == ["MERIDIAN"]
+
+
+def test_right_to_win_by_hand(seven_packs):
+    subs = by_id(seven_packs.enriched, "sub_segment")
+    dual = subs["SUB_ALLERGY_DUAL_ALLERGY"]
+    # Half of the one dual pack is cetirizine, which the focal company sells as DELTA.
+    assert dual["rtw_molecule_adjacency"] == pytest.approx(0.5)
+    assert dual["adjacent_focal_brands"] == "DELTA"
+    assert dual["rtw_detailing_adjacency"] == 0.0
+    plain = subs["SUB_PAIN_RELIEF_PLAIN_PAIN"]
+    assert plain["rtw_detailing_adjacency"] == pytest.approx(90 / 350)
+    assert plain["rtw_formulation_fit"] == pytest.approx(1.0)
+    segment = by_id(seven_packs.enriched, "segment")["SEG_ALLERGY"]
+    assert segment["rtw_detailing_adjacency"] == pytest.approx(60 / 300)
+
+
+def test_composition_sums_to_one(seven_packs):
+    weights = rightowin.space_composition(seven_packs.molecules, seven_packs.space_facts)
     sums = weights.groupBy("level", "space_id").agg(F.sum("weight").alias("w")).collect()
     assert all(r["w"] == pytest.approx(1.0) for r in sums)
 
@@ -135,41 +134,41 @@ def test_totals_of_no_rows(spark):
 
 def test_unclassified_rows_keep_their_spaces(spark, packs):
     odd = packs.withColumn(
-        "sub_segment", F.when(F.col("brand") == "BRAND-F", "-").otherwise(F.col("sub_segment"))
-    ).withColumn("segment", F.when(F.col("brand") == "BRAND-F", None).otherwise(F.col("segment")))
-    rows = membership(derive(odd, "CIPLA*")).collect()
+        "sub_segment", F.when(F.col("brand") == "FOXTROT", "-").otherwise(F.col("sub_segment"))
+    ).withColumn("segment", F.when(F.col("brand") == "FOXTROT", None).otherwise(F.col("segment")))
+    rows = membership(derive(odd, "ORBIS*")).collect()
     # The placeholder loses its sub-segment and combination space.
-    assert len(rows) == 36
+    assert len(rows) == 42
     assert any(r["space_id"] == "SEG_NAN" for r in rows)
 
 
-def test_a_high_floor_excludes_with_the_size_reason_first(six_packs):
-    _, excluded = six_packs.scorecard(ScoreConfig(min_value=500.0, min_players=3))
+def test_a_high_floor_excludes_with_the_size_reason_first(seven_packs):
+    _, excluded = seven_packs.scorecard(ScoreConfig(min_value=500.0, min_players=3))
     reasons = {(r["level"], r["space_id"]): r["exclusion_reason"] for r in excluded.collect()}
-    assert reasons["sub_segment", "SUB_ANTI_HYPERTENSIVES_ARBS"] == "below size floor of 500"
-    assert reasons["molecule_class", "CLS_C02C_ARB"] == "below size floor of 500"
-    _, closed = six_packs.scorecard(ScoreConfig(min_value=500.0, min_players=4))
+    assert reasons["sub_segment", "SUB_PAIN_RELIEF_PLAIN_PAIN"] == "below size floor of 500"
+    assert reasons["molecule_class", "CLS_N02_PLAIN"] == "below size floor of 500"
+    _, closed = seven_packs.scorecard(ScoreConfig(min_value=500.0, min_players=4))
     reasons = {(r["level"], r["space_id"]): r["exclusion_reason"] for r in closed.collect()}
-    assert reasons["segment", "SEG_LIPID_REGULATORS"] == "fewer than 4 active players"
+    assert reasons["segment", "SEG_PAIN_RELIEF"] == "fewer than 4 active players"
 
 
 def test_spellings_that_share_an_id_are_one_space(packs):
     odd = packs.withColumn(
         "ingredient_desc",
-        F.when(F.col("brand") == "BRAND-C", "AMLO-DIPINE + AMLO DIPINE + X")
+        F.when(F.col("brand") == "CHARLIE", "PARA-CET + PARA CET + X")
         .otherwise(F.col("ingredient_desc")),
     ).withColumn(
         "molecule_class",
-        F.when(F.col("brand") == "BRAND-E", "c10a-statins").otherwise(F.col("molecule_class")),
+        F.when(F.col("brand") == "ECHO", "r06-antihistamines").otherwise(F.col("molecule_class")),
     )
-    market = Market.build(odd, "CIPLA*", score=ScoreConfig(min_value=0.0, min_players=1))
+    market = Market.build(odd, "ORBIS*", score=ScoreConfig(min_value=0.0, min_players=1))
     anchors = by_id(market.space_facts, "anchor_molecule")
-    assert anchors["ANC_AMLO_DIPINE"]["sku_count"] == 1
-    assert anchors["ANC_AMLO_DIPINE"]["value_t2"] == 250
+    assert anchors["ANC_PARA_CET"]["sku_count"] == 1
+    assert anchors["ANC_PARA_CET"]["value_t2"] == 180
     classes = by_id(market.space_facts, "molecule_class")
-    assert classes["CLS_C10A_STATINS"]["value_t2"] == 588
-    assert classes["CLS_C10A_STATINS"]["space_label"] == "C10A STATINS"
+    assert classes["CLS_R06_ANTIHISTAMINES"]["value_t2"] == 375
+    assert classes["CLS_R06_ANTIHISTAMINES"]["space_label"] == "R06 ANTIHISTAMINES"
     keys = [(r["level"], r["space_id"]) for r in market.scored.collect()]
     assert len(keys) == len(set(keys)) == market.space_facts.count()
-    labels = {r["space_label"] for r in market.brand_facts.where("space_id = 'CLS_C10A_STATINS'").collect()}
-    assert labels == {"C10A STATINS"}
+    labels = {r["space_label"] for r in market.brand_facts.where("space_id = 'CLS_R06_ANTIHISTAMINES'").collect()}
+    assert labels == {"R06 ANTIHISTAMINES"}

@@ -15,8 +15,8 @@ def test_weights_must_sum_to_one():
         ScoreConfig(pillar_weights={"market_attractiveness": 0.5})
 
 
-def test_invariants(six_packs):
-    rows = six_packs.scored.collect()
+def test_invariants(seven_packs):
+    rows = seven_packs.scored.collect()
     assert rows
     for r in rows:
         assert 0 <= r["market_opportunity_index"] <= 100
@@ -35,11 +35,11 @@ def test_gate_is_convex(spark):
     assert steps == sorted(steps)
 
 
-def test_what_if_changes_only_the_blend(six_packs):
+def test_what_if_changes_only_the_blend(seven_packs):
     even = {"moi_weights": {"market_attractiveness": 1.0, "future_potential": 0.0,
                             "competitive_headroom": 0.0}}
     base = ScoreConfig(min_value=0.0, min_players=1)
-    scored, _ = six_packs.scorecard(base.with_weights(even))
+    scored, _ = seven_packs.scorecard(base.with_weights(even))
     for r in scored.collect():
         assert r["market_opportunity_index"] == pytest.approx(r["pillar_market_attractiveness"])
 
@@ -117,18 +117,18 @@ def test_null_values_and_keys_keep_their_rows(spark):
     assert pct["x"] == pytest.approx(100 / 204) and pct["n000"] == pytest.approx((2 + 201 / 2) / 204 * 100)
 
 
-def test_forecast_band_and_reversion(six_packs):
-    rows = forecast_spaces(six_packs.scored, six_packs.totals).collect()
+def test_forecast_band_and_reversion(seven_packs):
+    rows = forecast_spaces(seven_packs.scored, seven_packs.totals).collect()
     for r in rows:
         assert r["bear_value"] <= r["projected_value"] + 1e-9 <= r["bull_value"] + 1e-6
         assert r["base_cagr"] <= 0.45 + 1e-9
     one = ForecastConfig(horizon_years=1)
-    by_year = {y: forecast_spaces(six_packs.scored, six_packs.totals, replace(one, horizon_years=y))
-               .where("space_id = 'SUB_LIPID_REGULATORS_STATINS_COMB'").first()["base_cagr"]
+    by_year = {y: forecast_spaces(seven_packs.scored, seven_packs.totals, replace(one, horizon_years=y))
+               .where("space_id = 'SUB_ALLERGY_DUAL_ALLERGY'").first()["base_cagr"]
                for y in (1, 5)}
     assert by_year[5] < by_year[1]
     with pytest.raises(ValueError):
-        forecast_spaces(six_packs.scored, six_packs.totals, ForecastConfig(horizon_years=11))
+        forecast_spaces(seven_packs.scored, seven_packs.totals, ForecastConfig(horizon_years=11))
 
 
 def test_draws_repeat_and_sum_to_one():
@@ -139,24 +139,24 @@ def test_draws_repeat_and_sum_to_one():
             assert sum(v for k, v in row.items() if k.startswith(block + "__")) == pytest.approx(1.0)
 
 
-def test_rescoring_with_the_configured_weights_gives_the_scorecard(six_packs):
+def test_rescoring_with_the_configured_weights_gives_the_scorecard(seven_packs):
     score = ScoreConfig(min_value=0.0, min_players=1)
     blocks = {"moi_weights": score.pillar_weights, **score.metric_weights}
     draw = {f"{b}__{n}": w for b, block in blocks.items() for n, w in block.items()}
-    again = sensitivity.rescore(six_packs.scored, [{"draw": 0, **draw}], score)
-    want = {(r["level"], r["space_id"]): r["priority_score"] for r in six_packs.scored.collect()}
+    again = sensitivity.rescore(seven_packs.scored, [{"draw": 0, **draw}], score)
+    want = {(r["level"], r["space_id"]): r["priority_score"] for r in seven_packs.scored.collect()}
     got = {(r["level"], r["space_id"]): r["priority_score"] for r in again.collect()}
     assert got == pytest.approx(want, rel=1e-12)
 
 
-def test_sensitivity_against_a_loop(six_packs):
+def test_sensitivity_against_a_loop(seven_packs):
     config = SensitivityConfig(iterations=25, top_k=2)
     score = ScoreConfig(min_value=0.0, min_players=1)
     draws = sensitivity.weight_draws(config, score)
     got = sensitivity.sensitivity(
-        six_packs.scored, six_packs.scored, draws, config, score
+        seven_packs.scored, seven_packs.scored, draws, config, score
     ).where("level = 'sub_segment'").collect()
-    rows = [r for r in six_packs.scored.collect() if r["level"] == "sub_segment"]
+    rows = [r for r in seven_packs.scored.collect() if r["level"] == "sub_segment"]
     places = {r["space_id"]: [] for r in rows}
     for d in draws:
         scores = {}
@@ -178,18 +178,18 @@ def test_sensitivity_against_a_loop(six_packs):
         assert r["top_k_frequency"] == pytest.approx(sum(x <= 2 for x in p) / len(p), abs=1e-4)
 
 
-def test_whitespace_has_a_route_and_a_gap(six_packs):
+def test_whitespace_has_a_route_and_a_gap(seven_packs):
     loose = WhitespaceConfig(min_moi=0.0, penetration_ratio=10.0, min_value=0.0)
-    rows = find_whitespace(six_packs.scored, six_packs.totals, loose, limit=None).collect()
-    share = six_packs.totals.first()["focal_share"]
+    rows = find_whitespace(seven_packs.scored, seven_packs.totals, loose, limit=None).collect()
+    share = seven_packs.totals.first()["focal_share"]
     assert rows
     for r in rows:
         assert r["route_to_win"]
         assert r["value_gap"] == pytest.approx(r["value_t2"] * share - r["focal_value_t2"])
 
 
-def test_levels_can_be_restricted(six_packs):
+def test_levels_can_be_restricted(seven_packs):
     scored, _ = scoring.build_scorecard(
-        six_packs.enriched, ScoreConfig(min_value=0.0, min_players=1), ["segment"]
+        seven_packs.enriched, ScoreConfig(min_value=0.0, min_players=1), ["segment"]
     )
     assert {r["level"] for r in scored.collect()} == {"segment"}

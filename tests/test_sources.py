@@ -21,14 +21,14 @@ def test_csv_source_with_untidy_cells(spark, tmp_path):
     rows = audit_rows()
     names = list(rows[0])
     rows[0]["MAT FEB'26"] = "n/a"
-    rows[1]["COMPANY"] = "  TORRENT* "
+    rows[1]["COMPANY"] = "  NORDA* "
     lines = [",".join(f'" {n} "' for n in names)]
     lines += [",".join(f'"{r[n]}"' for n in names) for r in rows]
     (tmp_path / "a.csv").write_text("\n".join(lines))
     got = fs.read_facts(spark, str(tmp_path), fmt="csv").orderBy("brand").collect()
-    assert len(got) == 6 and len({r["row_id"] for r in got}) == 6
-    assert got[0]["value_t2"] == 0.0 and got[1]["company"] == "TORRENT*"
-    assert got[1]["value_t2"] == 300.0
+    assert len(got) == 7 and len({r["row_id"] for r in got}) == 7
+    assert got[0]["value_t2"] == 0.0 and got[1]["company"] == "NORDA*"
+    assert got[1]["value_t2"] == 210.0
 
 
 def test_empty_source_fails(spark, tmp_path):
@@ -42,7 +42,7 @@ def test_parquet_source_prunes_columns(spark, tmp_path):
     rows = audit_rows()
     spark.createDataFrame(rows).withColumn("unused", F.lit(1)).write.parquet(str(tmp_path / "p"))
     df = fs.read_facts(spark, str(tmp_path / "p"))
-    assert df.count() == 6
+    assert df.count() == 7
     plan = df.groupBy("segment").agg(F.sum("value_t2"))._jdf.queryExecution().executedPlan().toString()
     assert "unused" not in plan and "FINAL NFC" not in plan
 
@@ -55,7 +55,7 @@ def test_the_published_layout_is_checked_in_full(spark, tmp_path):
     assert all(c in str(err.value) for c in fs.AUDIT_EXTRA_COLUMNS)
     full = df.withColumns({c: F.lit("10") for c in fs.AUDIT_EXTRA_COLUMNS})
     full.write.parquet(str(tmp_path / "full"))
-    assert fs.read_audit(spark, str(tmp_path / "full")).count() == 6
+    assert fs.read_audit(spark, str(tmp_path / "full")).count() == 7
     assert len(fs.AUDIT_REQUIRED) == 30
     assert len(fs.audit_numeric_columns(full)) == 15
 
@@ -86,21 +86,21 @@ def test_stage_uses_the_folder_the_session_names(spark):
     assert all(f"{root}/numbers-" in f for f in out.inputFiles())
 
 
-def test_warehouse_round_trip(spark, packs, six_packs, tmp_path):
+def test_warehouse_round_trip(spark, packs, seven_packs, tmp_path):
     path = str(tmp_path / "wh")
     for _ in range(2):  # the second write replaces the first
-        warehouse.write_warehouse(six_packs, packs, "CIPLA*", path)
+        warehouse.write_warehouse(seven_packs, packs, "ORBIS*", path)
     tables = warehouse.read_warehouse(spark, path)
-    assert tables["space_facts"].count() == 21 and tables["space_membership"].count() == 38
+    assert tables["space_facts"].count() == 22 and tables["space_membership"].count() == 44
     meta = {r["key"]: json.loads(r["json"])["value"] for r in tables["build_metadata"].collect()}
-    assert meta["sku_rows"] == 6 and meta["membership_rows"] == 38
-    assert meta["market_value_latest"] == 1238 and meta["focal_share_pct"] == pytest.approx(16.8013)
+    assert meta["sku_rows"] == 7 and meta["membership_rows"] == 44
+    assert meta["market_value_latest"] == 905 and meta["focal_share_pct"] == pytest.approx(16.5746)
     again = warehouse.market_from_warehouse(
         spark, path, score=ScoreConfig(min_value=0.0, min_players=1)
     )
     keep = ["level", "space_id", "priority_score"]
     assert sorted(map(tuple, again.scored.select(keep).collect())) == sorted(
-        map(tuple, six_packs.scored.select(keep).collect())
+        map(tuple, seven_packs.scored.select(keep).collect())
     )
 
 
@@ -115,46 +115,51 @@ def test_digests(spark, tmp_path):
     assert row["sha256"].startswith("ba7816bf") and row["bytes"] == 3
 
 
-def test_export(spark, packs, six_packs, tmp_path):
+def test_export(spark, packs, seven_packs, tmp_path):
     path = str(tmp_path / "out")
-    warehouse.export(six_packs, packs, path)
+    warehouse.export(seven_packs, packs, path)
     card = spark.read.option("header", True).csv(path + "/scorecard")
-    assert card.count() == 21 and "priority_score" in card.columns
-    assert spark.read.json(path + "/totals").first()["market_value_t2"] == 1238
+    assert card.count() == 22 and "priority_score" in card.columns
+    assert spark.read.json(path + "/totals").first()["market_value_t2"] == 905
 
 
-def test_views(spark, six_packs):
-    assert views.market_overview(six_packs).first()["market_value"] == 1238.0
+def test_views(spark, seven_packs):
+    assert views.market_overview(seven_packs).first()["market_value"] == 905.0
     lookups = spark.createDataFrame(
-        [("id", "seg_lipid_regulators"), ("label", "lipid regulators"), ("part", "telmisartan"),
+        [("id", "seg_allergy"), ("label", "allergy"), ("part", "ibuprofen"),
          ("none", "zzz")],
         "lookup string, text string",
     )
-    got = {r["lookup"]: (r["how"], r["space_id"]) for r in views.find_spaces(six_packs.scored, lookups).collect()}
-    assert got["id"] == (1, "SEG_LIPID_REGULATORS")
-    assert got["label"] == (2, "SEG_LIPID_REGULATORS")
+    got = {r["lookup"]: (r["how"], r["space_id"]) for r in views.find_spaces(seven_packs.scored, lookups).collect()}
+    assert got["id"] == (1, "SEG_ALLERGY")
+    assert got["label"] == (2, "SEG_ALLERGY")
     # The largest label that holds the word.
-    assert got["part"] == (3, "ANC_TELMISARTAN") and "none" not in got
-    profile = views.competitor_profile(six_packs, "torr").first()
-    assert (profile["company"], profile["value"]) == ("TORRENT", 300.0)
-    standing = views.competitive_standing(six_packs, "CIPLA", top=2).collect()
+    assert got["part"] == (3, "ANC_IBUPROFEN") and "none" not in got
+    profile = views.competitor_profile(seven_packs, "nord").first()
+    assert (profile["company"], profile["value"]) == ("NORDA", 260.0)
+    standing = views.competitive_standing(seven_packs, "ORBIS", top=2).collect()
     assert {(r["company_clean"], r["market_rank"]) for r in standing} == {
-        ("LUPIN", 1), ("TORRENT", 2), ("CIPLA", 4)
+        ("NORDA", 1), ("MERIDIAN", 2), ("ORBIS", 4)
     }
-    portfolio = views.focal_portfolio(six_packs).first()
+    portfolio = views.focal_portfolio(seven_packs).first()
     assert portfolio["sku_count"] == 2 and portfolio["molecule_count"] == 2
     chosen, tensions, missing = views.compare_spaces(
-        six_packs.scored, ["SEG_LIPID_REGULATORS", "anti hypertens", "nothing"], "segment"
+        seven_packs.scored, ["SEG_ALLERGY", "pain rel", "nothing"], "segment"
     )
     assert [r["lookup"] for r in missing.collect()] == ["nothing"]
-    assert chosen.count() == 2 and tensions.first()["size_growth"].startswith("Size versus growth: Anti")
+    # The larger segment also grows faster, so there is no choice between size and growth.
+    assert chosen.count() == 2 and tensions.first()["size_growth"] is None
+    _, tensions, _ = views.compare_spaces(
+        seven_packs.scored, ["sub_pain_relief_plain_pain", "SUB_ALLERGY_DUAL_ALLERGY"], "sub_segment"
+    )
+    assert tensions.first()["size_growth"].startswith("Size versus growth: ")
     with pytest.raises(ValueError):
-        views.rank_opportunity_spaces(six_packs, rank_by="space_id")
+        views.rank_opportunity_spaces(seven_packs, rank_by="space_id")
 
 
-def test_adhoc_sql_returns_all_rows_of_a_query(spark, six_packs):
-    views.register_views(six_packs)
-    assert views.adhoc_sql(spark, "SELECT * FROM space_facts").count() == 21
+def test_adhoc_sql_returns_all_rows_of_a_query(spark, seven_packs):
+    views.register_views(seven_packs)
+    assert views.adhoc_sql(spark, "SELECT * FROM space_facts").count() == 22
     assert views.adhoc_sql(spark, "SELECT * FROM range(500)").count() == 500
     assert views.adhoc_sql(spark, "SELECT * FROM range(500)", limit=7).count() == 7
     assert views.adhoc_sql(spark, "WITH a AS (SELECT 1 x) SELECT * FROM a;").count() == 1
@@ -182,13 +187,13 @@ def test_adhoc_sql_refuses_what_is_not_one_query(spark, statement):
         views.adhoc_sql(spark, statement)
 
 
-def test_level_views(spark, six_packs):
+def test_level_views(spark, seven_packs):
     with pytest.raises(ValueError):
-        views.rank_opportunity_spaces(six_packs, level="shelf")
-    stable = views.sensitivity_analysis(six_packs, "sub_segment", SensitivityConfig(iterations=10))
+        views.rank_opportunity_spaces(seven_packs, level="shelf")
+    stable = views.sensitivity_analysis(seven_packs, "sub_segment", SensitivityConfig(iterations=10))
     assert [r["level"] for r in stable.collect()] == ["sub_segment"] * 4
     loose = WhitespaceConfig(min_moi=0.0, penetration_ratio=10.0, min_value=0.0)
-    levels = {r["level"] for r in views.whitespace_scan(six_packs, config=loose).collect()}
+    levels = {r["level"] for r in views.whitespace_scan(seven_packs, config=loose).collect()}
     assert levels and levels <= set(views.WHITESPACE_LEVELS)
 
 
