@@ -524,11 +524,11 @@ gap AS (
     AND value_t2 >= {WHITESPACE.min_value} AND (rtw_molecule_adjacency >= 0.3 OR rtw_brand_franchise >= 0.6))
 """
 ROUTE = (
-    "concat_ws('; ', CASE WHEN rtw_brand_franchise >= 1.0 AND adjacent_focal_brands <> '' THEN 'extend ' || "
-    "adjacent_focal_brands WHEN rtw_brand_franchise >= 0.6 THEN 'extend an adjacent focal brand' END, "
-    "CASE WHEN rtw_molecule_adjacency >= 0.3 THEN CAST(CAST(round(rtw_molecule_adjacency * 100.0, 0) AS INTEGER) AS VARCHAR) "
-    "|| '% of the space''s molecules are already in the focal portfolio' END, "
-    "CASE WHEN rtw_detailing_adjacency > 0.02 THEN 'field force already covers this sub-segment' END)"
+    "concat_ws('; ', CASE WHEN rtw_brand_franchise >= 1.0 AND adjacent_focal_brands <> '' THEN 'brands: ' || "
+    "adjacent_focal_brands WHEN rtw_brand_franchise >= 0.6 THEN 'brands' END, "
+    "CASE WHEN rtw_molecule_adjacency >= 0.3 THEN 'molecules: ' || "
+    "CAST(CAST(round(rtw_molecule_adjacency * 100.0, 0) AS INTEGER) AS VARCHAR) || '%' END, "
+    "CASE WHEN rtw_detailing_adjacency > 0.02 THEN 'detailing' END)"
 )
 
 

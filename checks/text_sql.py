@@ -204,13 +204,13 @@ parts AS (SELECT *, array_to_string(list_filter(required, lambda t: NOT list_con
     CASE WHEN mustnot <> '' AND contains(lower(answer), lower(mustnot)) THEN mustnot ELSE '' END AS fc,
     CAST(length(answer) AS INTEGER) AS answer_length FROM cases),
 results AS MATERIALIZED (
-  SELECT case_id, CASE WHEN expected_refusal THEN CASE WHEN refused THEN '' ELSE 'expected a refusal but the agent answered' END
-    ELSE concat_ws('|', CASE WHEN refused THEN 'agent refused an in-scope question' END,
-      CASE WHEN mt <> '' THEN 'did not call required tool(s): ' || mt END, CASE WHEN mc <> '' THEN 'answer omits: ' || mc END,
-      CASE WHEN fc <> '' THEN 'answer contains forbidden content: ' || fc END,
-      CASE WHEN answer_length < 100 THEN 'answer is ' || answer_length || ' characters, below the 100 minimum' END,
-      CASE WHEN NOT grounded THEN 'numeric grounding failed' END,
-      CASE WHEN invalid <> '' THEN 'unresolvable citations: ' || invalid END) END AS failure_reasons,
+  SELECT case_id, CASE WHEN expected_refusal THEN CASE WHEN refused THEN '' ELSE 'answered' END
+    ELSE concat_ws('|', CASE WHEN refused THEN 'refused' END,
+      CASE WHEN mt <> '' THEN 'tools: ' || mt END, CASE WHEN mc <> '' THEN 'omits: ' || mc END,
+      CASE WHEN fc <> '' THEN 'forbidden: ' || fc END,
+      CASE WHEN answer_length < 100 THEN 'short: ' || answer_length || ' < 100' END,
+      CASE WHEN NOT grounded THEN 'ungrounded' END,
+      CASE WHEN invalid <> '' THEN 'citations: ' || invalid END) END AS failure_reasons,
     CASE WHEN NOT expected_refusal THEN grounded END AS grounded, CASE WHEN expected_refusal THEN '' ELSE mt END AS missing_tools,
     CASE WHEN expected_refusal THEN '' ELSE mc END AS missing_content, CASE WHEN expected_refusal THEN '' ELSE fc END AS forbidden_content,
     CASE WHEN expected_refusal THEN '' ELSE invalid END AS invalid_citations, refused, expected_refusal, answer_length, latency_ms

@@ -51,14 +51,13 @@ b AS (SELECT * FROM seg ORDER BY real_growth DESC, space_id LIMIT 1),
 c AS (SELECT * FROM seg ORDER BY hhi, space_id LIMIT 1),
 d AS (SELECT * FROM seg ORDER BY market_opportunity_index DESC, space_id LIMIT 1),
 e AS (SELECT * FROM seg ORDER BY priority_score DESC, space_id LIMIT 1)
-SELECT CASE WHEN a.space_id <> b.space_id THEN 'Size versus growth: ' || a.space_label || ' is the largest at ' || {num("a.value_t2", 0)}
-    || ', but ' || b.space_label || ' grows faster in real terms (' || {num("b.real_growth * 100", 1)} || '% against '
-    || {num("a.real_growth * 100", 1)} || '%).' END AS size_growth,
-  CASE WHEN c.space_id <> b.space_id THEN 'Growth versus competition: ' || c.space_label || ' is the most open (HHI ' || {num("c.hhi", 0)}
-    || ') while ' || b.space_label || ' sits at HHI ' || {num("b.hhi", 0)} || '.' END AS growth_competition,
-  CASE WHEN d.space_id <> e.space_id THEN 'Attractiveness versus right to win: ' || d.space_label || ' leads on opportunity ('
-    || {num("d.market_opportunity_index", 1)} || ') but ' || e.space_label || ' wins on priority (' || {num("e.priority_score", 1)}
-    || '), right to win ' || {num("e.right_to_win_score", 1)} || ' against ' || {num("d.right_to_win_score", 1)} || '.' END AS moi_cps
+SELECT CASE WHEN a.space_id <> b.space_id THEN 'largest: ' || a.space_label || ' (' || {num("a.value_t2", 0)} || ', '
+    || {num("a.real_growth * 100", 1)} || '%); fastest: ' || b.space_label || ' (' || {num("b.real_growth * 100", 1)} || '%)' END AS size_growth,
+  CASE WHEN c.space_id <> b.space_id THEN 'fastest: ' || b.space_label || ' (HHI ' || {num("b.hhi", 0)}
+    || '); least concentrated: ' || c.space_label || ' (HHI ' || {num("c.hhi", 0)} || ')' END AS growth_competition,
+  CASE WHEN d.space_id <> e.space_id THEN 'best market: ' || d.space_label || ' (' || {num("d.market_opportunity_index", 1)} || ', fit '
+    || {num("d.right_to_win_score", 1)} || '); first choice: ' || e.space_label || ' (' || {num("e.priority_score", 1)} || ', fit '
+    || {num("e.right_to_win_score", 1)} || ')' END AS moi_cps
 FROM a, b, c, d, e"""
 
 RESOLVED = """,

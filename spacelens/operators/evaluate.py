@@ -44,25 +44,24 @@ def check_cases(cases: DataFrame) -> DataFrame:
 
     checks = F.array_compact(
         F.array(
-            F.when(F.col("refused"), "agent refused an in-scope question"),
-            listed("did not call required tool(s): ", "missing_tools"),
-            listed("answer omits: ", "missing_content"),
-            listed("answer contains forbidden content: ", "forbidden_content"),
+            F.when(F.col("refused"), "refused"),
+            listed("tools: ", "missing_tools"),
+            listed("omits: ", "missing_content"),
+            listed("forbidden: ", "forbidden_content"),
             F.when(
                 F.col("answer_length") < F.col("min_length"),
                 F.concat(
-                    F.lit("answer is "), F.col("answer_length").cast("string"),
-                    F.lit(" characters, below the "), F.col("min_length").cast("string"),
-                    F.lit(" minimum"),
+                    F.lit("short: "), F.col("answer_length").cast("string"),
+                    F.lit(" < "), F.col("min_length").cast("string"),
                 ),
             ),
-            F.when(~F.coalesce("grounded", F.lit(True)), "numeric grounding failed"),
-            listed("unresolvable citations: ", "invalid_citations"),
+            F.when(~F.coalesce("grounded", F.lit(True)), "ungrounded"),
+            listed("citations: ", "invalid_citations"),
         )
     )
     refusal = F.when(
         F.col("refused"), F.array().cast("array<string>")
-    ).otherwise(F.array(F.lit("expected a refusal but the agent answered")))
+    ).otherwise(F.array(F.lit("answered")))
     expected = F.col("expect_refusal")
     none = F.array().cast("array<string>")
 

@@ -31,16 +31,15 @@ def find_whitespace(
     named = (franchise >= 1.0) & (F.col("adjacent_focal_brands") != "")
     route = F.concat_ws(
         "; ",
-        F.when(named, F.concat(F.lit("extend "), F.col("adjacent_focal_brands")))
-        .when(extendable, "extend an adjacent focal brand"),
+        F.when(named, F.concat(F.lit("brands: "), F.col("adjacent_focal_brands")))
+        .when(extendable, "brands"),
         F.when(
             adjacent,
             F.concat(
-                F.round(adjacency * 100.0, 0).cast("int").cast("string"),
-                F.lit("% of the space's molecules are already in the focal portfolio"),
+                F.lit("molecules: "), F.round(adjacency * 100.0, 0).cast("int").cast("string"), F.lit("%")
             ),
         ),
-        F.when(F.col("rtw_detailing_adjacency") > 0.02, "field force already covers this sub-segment"),
+        F.when(F.col("rtw_detailing_adjacency") > 0.02, "detailing"),
     )
     sized = kept.withColumns(
         {
@@ -49,7 +48,7 @@ def find_whitespace(
             "penetration_index": F.when(
                 F.col("_share") != 0, F.col("focal_share_t2") / F.col("_share")
             ).otherwise(0.0),
-            "route_to_win": F.when(route == "", "no obvious route in").otherwise(route),
+            "route_to_win": F.when(route == "", "none").otherwise(route),
         }
     ).select(
         "level", "space_id", "space_label", "value_t2", "value_yoy", "real_growth",

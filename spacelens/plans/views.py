@@ -162,32 +162,29 @@ def trade_offs(spaces: DataFrame) -> DataFrame:
         F.when(
             differ("largest", "fastest"),
             F.concat(
-                F.lit("Size versus growth: "), "largest.space_label", F.lit(" is the largest at "),
-                number(F.col("largest.value_t2"), 0), F.lit(", but "), "fastest.space_label",
-                F.lit(" grows faster in real terms ("),
-                number(F.col("fastest.real_growth") * 100, 1), F.lit("% against "),
-                number(F.col("largest.real_growth") * 100, 1), F.lit("%)."),
+                F.lit("largest: "), "largest.space_label", F.lit(" ("),
+                number(F.col("largest.value_t2"), 0), F.lit(", "),
+                number(F.col("largest.real_growth") * 100, 1), F.lit("%); fastest: "),
+                "fastest.space_label", F.lit(" ("),
+                number(F.col("fastest.real_growth") * 100, 1), F.lit("%)"),
             ),
         ).alias("size_growth"),
         F.when(
             differ("open", "fastest"),
             F.concat(
-                F.lit("Growth versus competition: "), "open.space_label",
-                F.lit(" is the most open (HHI "), number(F.col("open.hhi"), 0),
-                F.lit(") while "), "fastest.space_label", F.lit(" sits at HHI "),
-                number(F.col("fastest.hhi"), 0), F.lit("."),
+                F.lit("fastest: "), "fastest.space_label", F.lit(" (HHI "),
+                number(F.col("fastest.hhi"), 0), F.lit("); least concentrated: "),
+                "open.space_label", F.lit(" (HHI "), number(F.col("open.hhi"), 0), F.lit(")"),
             ),
         ).alias("growth_competition"),
         F.when(
             differ("moi", "cps"),
             F.concat(
-                F.lit("Attractiveness versus right to win: "), "moi.space_label",
-                F.lit(" leads on opportunity ("),
-                number(F.col("moi.market_opportunity_index"), 1), F.lit(") but "),
-                "cps.space_label", F.lit(" wins on priority ("),
-                number(F.col("cps.priority_score"), 1), F.lit("), right to win "),
-                number(F.col("cps.right_to_win_score"), 1), F.lit(" against "),
-                number(F.col("moi.right_to_win_score"), 1), F.lit("."),
+                F.lit("best market: "), "moi.space_label", F.lit(" ("),
+                number(F.col("moi.market_opportunity_index"), 1), F.lit(", fit "),
+                number(F.col("moi.right_to_win_score"), 1), F.lit("); first choice: "),
+                "cps.space_label", F.lit(" ("), number(F.col("cps.priority_score"), 1),
+                F.lit(", fit "), number(F.col("cps.right_to_win_score"), 1), F.lit(")"),
             ),
         ).alias("moi_cps"),
     )

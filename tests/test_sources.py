@@ -152,7 +152,7 @@ def test_views(spark, seven_packs):
     _, tensions, _ = views.compare_spaces(
         seven_packs.scored, ["sub_pain_relief_plain_pain", "SUB_ALLERGY_DUAL_ALLERGY"], "sub_segment"
     )
-    assert tensions.first()["size_growth"].startswith("Size versus growth: ")
+    assert tensions.first()["size_growth"].startswith("largest: ")
     with pytest.raises(ValueError):
         views.rank_opportunity_spaces(seven_packs, rank_by="space_id")
 
