@@ -136,17 +136,25 @@ def _repeated_words(df: DataFrame) -> DataFrame:
     return df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
 
 
-def sketches(df: DataFrame, lang: Column, source: Column) -> DataFrame:
-    """(level, lang, source, measure, bucket, n): counts of every sketch at three levels."""
+def sketches(df: DataFrame, lang: Column, source: Column, min_words: int) -> DataFrame:
+    """(level, lang, source, measure, bucket, n): counts of every sketch at three levels.
+
+    Documents of fewer than ``min_words`` words don't count; they are left out after the explode,
+    because a filter below it would split their words a second time.
+    """
     names = df.schema["measures"].dataType.names
     values = F.array(
-        *[F.struct(F.lit(m).alias("measure"), F.col("measures")[m].alias("x")) for m in names]
+        *[
+            F.struct(F.lit(m).alias("measure"), F.col("measures")[m].alias("x"), "n_words")
+            for m in names
+        ]
     )
     bucket = F.when(F.col("v.x") <= SMALLEST, F.lit(0)).otherwise(
         F.ceil(F.log(F.col("v.x") / SMALLEST) / F.log(F.lit(GAMMA)))
     )
     finest = (
         df.select(lang.alias("lang"), source.alias("source"), F.explode(values).alias("v"))
+        .where(F.col("v.n_words") >= min_words)
         .select("lang", "source", F.col("v.measure").alias("measure"), bucket.cast("int").alias("bucket"))
         .groupBy("lang", "source", "measure", "bucket")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -186,7 +194,7 @@ def quantiles(sketch: DataFrame) -> DataFrame:
 
 def thresholds(df: DataFrame, lang: Column, source: Column, config: RuleConfig) -> DataFrame:
     """One row per (lang, source): the bounds of each measure from the finest sketch large enough."""
-    q = quantiles(sketches(df, lang, source))
+    q = quantiles(sketches(df, lang, source, config.min_words))
     names = list(config.slacks())
     slack = F.create_map(*[F.lit(x) for kv in config.slacks().items() for x in kv])[F.col("measure")]
     reach = config.spread * (F.col("q50") - F.col("q25")) + slack
@@ -222,27 +230,28 @@ def judged(docs: DataFrame, config: RuleConfig = RuleConfig()) -> DataFrame:
     """
     text, lang, source = F.col("row.text"), F.col("row.lang"), F.col("row.source")
     slim = packed(docs.select("text", "lang", "source"))
-    sketched = _cheap(slim, text).where(F.col("n_words") >= config.min_words)
-    bounds = thresholds(sketched, lang, source, config)
+    bounds = thresholds(_cheap(slim, text), lang, source, config)
     full = _repeated_words(_cheap(packed(docs), text))
     failed = (F.col("n_words") < config.min_words) | (
         100 * F.col("n_repeat_words") > config.most_repeated * F.col("n_words")
     )
     inside = F.lit(True)
     for m in config.slacks():
-        value, bound = F.col("measures")[m], F.col("bounds")[m]
+        value, bound = F.col("q.measures")[m], F.col("bounds")[m]
         inside = inside & (value <= bound["high"])
         if m == "length":
             inside = inside & (value >= bound["low"])
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "measures"]
-    full = full.select("row", *counts, failed.alias("base_failed"))
+    # An explode of one element: filters on the verdict stay above it. Below, they would be
+    # written out in terms of the words and count everything once more for each mention.
+    full = full.select("row", F.explode(F.array(F.struct(*counts, failed.alias("base_failed")))).alias("q"))
     bounds = bounds.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "bounds")
     met = full.join(
         bounds, lang.eqNullSafe(F.col("_lang")) & source.eqNullSafe(F.col("_source")), "left"
     )
     # A group all of whose documents are too short to judge has no bounds; they failed already.
-    kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(False))
-    return met.select("row", F.struct(*counts, "base_failed", kept.alias("kept")).alias("quality"))
+    kept = ~F.col("q.base_failed") & F.coalesce(inside, F.lit(False))
+    return met.select("row", F.struct("q.*", kept.alias("kept")).alias("quality"))
 
 
 def keep_good(docs: DataFrame, config: RuleConfig = RuleConfig()) -> DataFrame:
