@@ -9,7 +9,9 @@ thrown per document, whatever its length.
 
 Runs of ``rows`` coordinates are band keys. Documents that share a key are candidates; texts that
 are equal are one node from the start, so a key's members are different texts. All members meet
-the key's hub, the one whose keys are shared most; links are verified exactly on the shingle sets.
+the key's hub, the one whose keys are shared most. Two members are only brought together if four
+bits of every coordinate, which go along with the key, agree about as often as they must; links
+are then verified exactly on the shingle sets.
 Then, for keys that still hold several components, members outside the largest one lead in turn,
 ``leaders`` at a time, and meet the members of other components, until no component is left to
 compare or a round of leaders finds no link. So a group of copies costs a few rows per member and
@@ -28,10 +30,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spacelens.llm.words import byte_codes, mixed, span_hashes, text_chunks, word_spans
+from spacelens.llm.words import byte_codes, mixed, packed, span_hashes, text_chunks, word_spans
 from spacelens.sources.stage import stage
 
 
@@ -44,9 +46,11 @@ class DartConfig:
     shingle: int = 5
     similarity: float = 0.8
     bands: int = 32
-    rows: int = 6
+    rows: int = 6  # at most 16; bands at most 60
     leaders: int = 8
     seed: int = 3
+    #: How far below ``similarity`` the estimate from the sketch may lie: 3.7 standard deviations.
+    slack: float = 0.11
 
     @property
     def coordinates(self) -> int:
@@ -111,6 +115,51 @@ def band_keys(times: np.ndarray, rows: int) -> np.ndarray:
     return h
 
 
+def sketches(times: np.ndarray, rows: int) -> np.ndarray:
+    """(sets, words) 64-bit words with four bits of each coordinate; bands are not cut by words."""
+    per = 16 // rows
+    bits = (mixed(times.view(np.uint64)) >> np.uint64(60)).reshape(len(times), -1, rows)
+    bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % per), (0, 0))).reshape(len(times), -1, per * rows)
+    return (bits << (np.arange(per * rows, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64)
+
+
+def band_bit(config: DartConfig, band: int) -> int:
+    """The bit of a band in one number; earlier bands have higher bits."""
+    per = 16 // config.rows
+    return 1 << (per * -(-config.bands // per) - 1 - band)
+
+
+def same_bands(a: str, b: str, config: DartConfig) -> Column:
+    """The bands in which two sketch columns agree, as bits of one number."""
+    per, width = 16 // config.rows, 4 * config.rows
+    mask = F.lit((1 << width) - 1)
+
+    def bits(x):
+        out = F.lit(0).cast("long")
+        for k in range(per):
+            same = F.shiftrightunsigned(x, width * k).bitwiseAND(mask) == 0
+            out = out + F.when(same, F.lit(1 << (per - 1 - k)).cast("long")).otherwise(F.lit(0).cast("long"))
+        return out
+
+    differ = F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))
+    return F.aggregate(differ, F.lit(0).cast("long"), lambda found, x: F.shiftleft(found, per) + bits(x))
+
+
+def alike(a: str, b: str, config: DartConfig) -> Column:
+    """Whether two sketch columns agree in enough coordinates for the similarity sought."""
+
+    def differing(x, y):
+        x = x.bitwiseXOR(y)
+        for shift in (2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+
+    differ = F.aggregate(F.zip_with(a, b, differing), F.lit(0), lambda n, x: n + x)
+    # Coordinates that differ still agree in their four bits one time in sixteen.
+    most = config.coordinates * (1 - (config.similarity - config.slack)) * 15 / 16
+    return differ <= F.lit(int(most))
+
+
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each row of a piece."""
     starts, ends, bounds = word_spans(data, offsets)
@@ -131,13 +180,15 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarra
 
 
 def signatures(docs: DataFrame, config: DartConfig) -> DataFrame:
-    """(doc_id, node, n, bands): node is the text's hash (null for null texts), n its shingles."""
+    """(doc_id, node, n, bands, sketch): node is the text's hash (null for null texts), n the
+    number of its shingles.
+    """
     given = docs.select("doc_id", F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("node"), "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def signed(batches):
         for batch in batches:
-            sizes, keys = [], []
+            sizes, keys, bits = [], [], []
             for _, data, offsets in text_chunks(batch.column(2), 1_000_000):
                 sets = shingles(data, offsets, config.shingle)
                 n = np.array([len(s) for s in sets], np.int64)
@@ -146,18 +197,20 @@ def signatures(docs: DataFrame, config: DartConfig) -> DataFrame:
                 times = dart_times(elements, np.ones(len(elements)), owner, len(sets), config.coordinates, config.seed)
                 sizes.append(n)
                 keys.append(band_keys(times, config.rows).view(np.int64))
+                bits.append(sketches(times, config.rows).view(np.int64))
             sizes = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
             keys = np.concatenate(keys) if keys else np.zeros((0, config.bands), np.int64)
-            # Sets without a shingle have no keys.
-            per = np.where(sizes > 0, config.bands, 0)
-            offsets = np.concatenate(([0], np.cumsum(per))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[sizes > 0].reshape(-1)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes.astype(np.int32)), lists],
-                ["doc_id", "node", "n", "bands"],
-            )
+            bits = np.concatenate(bits) if bits else np.zeros((0, 1), np.int64)
+            arrays = [batch.column(0), batch.column(1), pa.array(sizes.astype(np.int32))]
+            for values in (keys, bits):
+                # Sets without a shingle have no keys.
+                per = np.where(sizes > 0, values.shape[1], 0)
+                offsets = np.concatenate(([0], np.cumsum(per))).astype(np.int32)
+                arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[sizes > 0].reshape(-1))))
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "node", "n", "bands", "sketch"])
 
-    return given.mapInArrow(signed, f"doc_id {id_type}, node long, n int, bands array<long>")
+    schema = f"doc_id {id_type}, node long, n int, bands array<long>, sketch array<long>"
+    return given.mapInArrow(signed, schema)
 
 
 def candidate_sets(docs: DataFrame, wanted: DataFrame, config: DartConfig) -> DataFrame:
@@ -231,6 +284,21 @@ def components(links: DataFrame) -> DataFrame:
         labels = after.select("node", F.col("to").alias("comp"))
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after further links: only the components these join are worked on."""
+    ends = links
+    for end in ("a", "b"):
+        known = labels.select(F.col("node").alias(end), F.col("comp").alias(f"c{end}"))
+        ends = ends.join(known, end, "left")
+    pairs = ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")
+    joined = components(pairs)
+    moved = joined.select(F.col("node").alias("_comp"), F.col("comp").alias("_to"))
+    old = labels.join(moved, F.col("comp") == F.col("_comp"), "left").select(
+        "node", F.coalesce("_to", "comp").alias("comp")
+    )
+    return stage(old.union(joined.join(labels, "node", "left_anti").select("node", "comp")), "dedup-labels")
+
+
 def node_components(docs: DataFrame, signed: DataFrame, config: DartConfig) -> DataFrame | None:
     """(node, comp) of the nodes with a verified link; None if no key is shared."""
     nodes = (
@@ -240,33 +308,38 @@ def node_components(docs: DataFrame, signed: DataFrame, config: DartConfig) -> D
             F.min(F.coalesce(F.col("doc_id").cast("string"), F.col("node").cast("string"))).alias("ident"),
             F.first("n").alias("n"),
             F.first("bands").alias("bands"),
+            F.first("sketch").alias("sketch"),
         )
     )
     nodes = stage(nodes, "dedup-nodes")
-    keyed = nodes.select("node", "n", F.explode("bands").alias("key"))
+    keyed = nodes.select("node", "n", F.posexplode("bands").alias("band", "key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     met = stage(keyed.join(shared, "key"), "dedup-met")
     support = met.groupBy("node").agg(F.sum("members").alias("support"))
     support = stage(support, "dedup-support")
     if support.isEmpty():
         return None
-    members = stage(met.join(support, "node").select("key", "node", "n", "support"), "dedup-members")
-    wanted = nodes.join(support, "node").select("node", "ident")
+    shared_nodes = nodes.join(support, "node").select("node", "ident", "sketch", "support")
+    members = met.join(shared_nodes, "node").select("key", "band", "node", "n", "sketch", "support")
+    members = stage(members, "dedup-members")
+    wanted = shared_nodes.select("node", "ident")
     sets = stage(candidate_sets(docs, wanted, config), "dedup-sets")
 
     fits = F.least("n", "ln") >= config.similarity * F.greatest("n", "ln")
+    fits = fits & alike("sketch", "lsketch", config)
     pair = [F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")]
     best = F.struct("support", "node")
-    hubs = members.groupBy("key").agg(F.max_by(F.struct("node", "n"), best).alias("hub"))
-    hubs = hubs.select("key", F.col("hub.node").alias("leader"), F.col("hub.n").alias("ln"))
+    hubs = members.groupBy("key").agg(F.max_by(F.struct("node", "n", "sketch"), best).alias("hub"))
+    hubs = hubs.select(
+        "key", F.col("hub.node").alias("leader"), F.col("hub.n").alias("ln"), F.col("hub.sketch").alias("lsketch")
+    )
     pairs = members.join(hubs, "key").where((F.col("node") != F.col("leader")) & fits).select(*pair).distinct()
     tested = stage(pairs, "dedup-pairs")
-    links = stage(verified(tested, sets, config), "dedup-verified")
+    labels = components(stage(verified(tested, sets, config), "dedup-verified"))
     led = hubs.select("key", F.col("leader").alias("node"))
     while True:
-        labels = components(links)
         comp = F.coalesce("comp", "node").alias("comp")
-        now = members.join(labels, "node", "left").select("key", "node", "n", "support", comp)
+        now = members.join(labels, "node", "left").select("key", "band", "node", "n", "sketch", "support", comp)
         now = stage(now, "dedup-now")
         sizes = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
         open_keys = sizes.groupBy("key").agg(
@@ -280,14 +353,25 @@ def node_components(docs: DataFrame, signed: DataFrame, config: DartConfig) -> D
             .join(led, ["key", "node"], "left_anti")
             .withColumn("turn", F.row_number().over(order))
             .where(F.col("turn") <= config.leaders)
-            .select("key", F.col("node").alias("leader"), F.col("n").alias("ln"), F.col("comp").alias("lcomp"))
+            .select(
+                "key",
+                F.col("node").alias("leader"),
+                F.col("n").alias("ln"),
+                F.col("sketch").alias("lsketch"),
+                F.col("comp").alias("lcomp"),
+                F.get(F.array(*[F.lit(band_bit(config, i)).cast("long") for i in range(config.bands)]), "band").alias("bit"),
+            )
         )
         leaders = stage(leaders, "dedup-leaders")
         if leaders.isEmpty():
             return labels
+        # A pair may share several keys that its leader leads; it is made at the first of them.
+        led_bands = leaders.groupBy("leader").agg(F.bit_or("bit").alias("bits"))
+        common = same_bands("sketch", "lsketch", config).bitwiseAND(F.col("bits"))
+        first = (common >= F.col("bit")) & (common < 2 * F.col("bit"))
         pairs = (
-            now.join(leaders, "key")
-            .where((F.col("comp") != F.col("lcomp")) & fits)
+            now.join(leaders.join(led_bands, "leader"), "key")
+            .where((F.col("comp") != F.col("lcomp")) & fits & first)
             .select(*pair)
             .distinct()
             .join(tested, ["a", "b"], "left_anti")
@@ -296,7 +380,7 @@ def node_components(docs: DataFrame, signed: DataFrame, config: DartConfig) -> D
         found = stage(verified(pairs, sets, config), "dedup-verified")
         if found.isEmpty():
             return labels
-        tested, links = tested.union(pairs), links.union(found)
+        tested, labels = tested.union(pairs), merged(labels, found)
         led = led.union(leaders.select("key", F.col("leader").alias("node")))
 
 
@@ -329,8 +413,10 @@ def deduplicated(docs: DataFrame, config: DartConfig = DartConfig()) -> DataFram
         .groupBy("class_id")
         .agg(F.min("node").alias("_node"))
     )
-    text_hash = F.xxhash64("text")
-    given = docs.withColumn("_hash", F.when(F.col("text").isNotNull(), text_hash))
-    same = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("_hash") == F.col("_node"))
-    kept = given.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "_hash"])
-    return kept.union(given.where("_hash is null")).drop("_hash")
+    text = F.col("row.text")
+    given = packed(docs).select(
+        "row", F.col("row.doc_id").alias("_id"), F.when(text.isNotNull(), F.xxhash64(text)).alias("_hash")
+    )
+    same = F.col("_id").eqNullSafe(F.col("class_id")) & (F.col("_hash") == F.col("_node"))
+    kept = given.join(chosen, same, "left_semi").dropDuplicates(["_id", "_hash"])
+    return kept.union(given.where("_hash is null")).select("row.*")

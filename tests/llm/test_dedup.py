@@ -116,7 +116,7 @@ def test_sketches_count_differing_coordinates(spark):
     for same, want in ((192, True), (150, True), (110, False), (0, False)):
         pair = t.copy()
         pair[1, :same] = pair[0, :same]
-        a, b = (s.view(np.int64).tolist() for s in dd.sketches(pair))
+        a, b = (s.view(np.int64).tolist() for s in dd.sketches(pair, config.rows))
         df = spark.createDataFrame([(a, b)], "a array<long>, b array<long>")
         assert df.select(dd.alike("a", "b", config).alias("x")).first()["x"] == want
 
