@@ -141,7 +141,7 @@ def adhoc_sql(spark, sf):
 
 def build_metadata(spark, sf):
     return rounded(
-        warehouse.build_metadata(market(spark, sf), facts(spark, sf)).select("key", "value"), 4
+        warehouse.build_metadata(market(spark, sf)).select("key", "value"), 4
     )
 
 

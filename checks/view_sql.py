@@ -78,7 +78,7 @@ ORACLE = {
         + ", ".join(pct(c, c + "_pct") for c in ("market_yoy", "market_cagr_2y", "market_real_growth", "market_volume_growth",
                                                  "market_price_effect", "focal_share", "focal_yoy"))
         + ", round(focal_value_t2, 1) AS focal_value, round((focal_yoy - market_yoy) * 100.0, 2) AS focal_growth_gap_pp, "
-        "(SELECT count(*) FROM scored) AS spaces_scored FROM totals"),
+        "(SELECT count(*) FROM scored) AS spaces_scored, (SELECT count(*) FROM sku) AS sku_count FROM totals"),
     "segment_overview": _sql(ENRICHED_CTES, "SELECT space_label, round(value_t2, 4) AS value_t2, "
         + ", ".join(pct(c, c + "_pct") for c in ("value_yoy", "real_growth", "volume_growth", "focal_share_t2"))
         + ", round(hhi, 4) AS hhi, n_players FROM enriched WHERE level = 'segment'"),

@@ -31,8 +31,9 @@ def _pct(c, digits: int = 2):
 
 
 def market_overview(m: Market) -> DataFrame:
-    """One row of market totals in percent, with the number of scored spaces."""
+    """One row of market totals in percent, with the number of scored spaces and of packs."""
     scored = m.scored.agg(F.count(F.lit(1)).alias("n")).scalar()
+    packs = m.cells.agg(F.coalesce(F.sum("sku_count"), F.lit(0)).cast("long").alias("n")).scalar()
     return m.totals.select(
         F.round("market_value_t2", 1).alias("market_value"),
         F.round("market_value_t1", 1).alias("market_value_prior"),
@@ -44,6 +45,7 @@ def market_overview(m: Market) -> DataFrame:
         F.round("focal_value_t2", 1).alias("focal_value"),
         F.round((F.col("focal_yoy") - F.col("market_yoy")) * 100.0, 2).alias("focal_growth_gap_pp"),
         scored.alias("spaces_scored"),
+        packs.alias("sku_count"),
     )
 
 

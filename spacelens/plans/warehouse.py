@@ -24,9 +24,9 @@ def source_digests(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-def build_metadata(m: Market, facts: DataFrame) -> DataFrame:
-    """(key, value-as-JSON) rows of counts and totals."""
-    pack = facts.agg(F.count(F.lit(1)).alias("n")).scalar()
+def build_metadata(m: Market) -> DataFrame:
+    """(key, value-as-JSON) rows of counts and totals; the cells know how many packs they hold."""
+    pack = m.cells.agg(F.coalesce(F.sum("sku_count"), F.lit(0)).alias("n")).scalar()
     spaces = m.space_facts.agg(F.count(F.lit(1)).alias("n")).scalar()
     # A pack enters each of its spaces once, so the pairs are a sum over cells.
     pairs = m.cells.agg(F.sum(F.col("sku_count") * F.size("spaces")).alias("n")).scalar()
@@ -58,7 +58,7 @@ def write_warehouse(m: Market, facts: DataFrame, focal_company: str, path: str)
         "space_facts": m.space_facts,
         "company_facts": m.company_facts,
         "brand_facts": m.brand_facts,
-        "build_metadata": build_metadata(m, facts),
+        "build_metadata": build_metadata(m),
     }
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
@@ -100,7 +100,7 @@ def export(m: Market, facts: DataFrame, path: str) -> None:
     for name, df in (("scorecard", scored), ("excluded_spaces", excluded),
                      ("company_facts", m.company_facts)):
         _flat(df).write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
-    build_metadata(m, facts).write.mode("overwrite").json(f"{path}/metadata")
+    build_metadata(m).write.mode("overwrite").json(f"{path}/metadata")
     m.totals.write.mode("overwrite").json(f"{path}/totals")
     if m.signals is not None:
         citations(m.signals).write.mode("overwrite").json(f"{path}/citations")
