@@ -405,18 +405,24 @@ def classes(docs: DataFrame, config: DartConfig = DartConfig()) -> DataFrame:
 def deduplicated(docs: DataFrame, config: DartConfig = DartConfig()) -> DataFrame:
     """The documents with their own columns, one of each class: the one of smallest id.
 
-    Rows with null texts all stay. Of repeated rows of the chosen document one stays.
+    A class is a component of texts, not a value of the id: texts without an id and different texts
+    that share one are classes of their own. A null id comes after all others. Rows with null texts
+    all stay. Of repeated rows of the chosen document one stays.
     """
-    chosen = (
-        classes(docs, config)
-        .where(F.col("node").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id")))
-        .groupBy("class_id")
-        .agg(F.min("node").alias("_node"))
-    )
+    slim = docs.select("doc_id", "text")
+    signed = stage(signatures(slim, config), "dedup-signed")
+    labels = node_components(slim, signed, config)
+    # Equal texts first: one row per text, however many copies it has.
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
+    least = signed.where("node is not null").groupBy("node").agg(F.min(order).alias("least"))
+    if labels is not None:
+        comp = F.coalesce("comp", "node").alias("comp")
+        least = least.join(labels, "node", "left").select(comp, "least").groupBy("comp").agg(F.min("least").alias("least"))
+    chosen = least.select(F.col("least.doc_id").alias("_chosen"), F.col("least.node").alias("_node"))
     text = F.col("row.text")
     given = packed(docs).select(
         "row", F.col("row.doc_id").alias("_id"), F.when(text.isNotNull(), F.xxhash64(text)).alias("_hash")
     )
-    same = F.col("_id").eqNullSafe(F.col("class_id")) & (F.col("_hash") == F.col("_node"))
+    same = F.col("_id").eqNullSafe(F.col("_chosen")) & (F.col("_hash") == F.col("_node"))
     kept = given.join(chosen, same, "left_semi").dropDuplicates(["_id", "_hash"])
     return kept.union(given.where("_hash is null")).select("row.*")

@@ -145,3 +145,19 @@ def test_components_of_a_path(spark):
     more = spark.createDataFrame([(40, 101), (7, 200), (300, 301)], "a long, b long")
     got = {r["node"]: r["comp"] for r in dd.merged(dd.components(links), more).collect()}
     assert {got[i] for i in (0, 40, 100, 101, 200)} == {0} and got[300] == got[301] == 300
+
+
+def test_texts_without_an_id_and_texts_that_share_one_all_stay(spark):
+    rng = random.Random(7)
+    bases = [[f"q{rng.randrange(5000)}" for _ in range(60)] for _ in range(7)]
+    texts = [" ".join(b) for b in bases]
+    # 0 and 1 without ids, 2 and 3 under one id; 4 without an id has a copy with one; 5 and its near
+    # copy have none; 6 shares the id of 2 and 3 and is near a text with a smaller one.
+    rows = [(None, texts[0]), (None, texts[1]), (9, texts[2]), (9, texts[3]), (None, texts[4]), (3, texts[4])]
+    rows += [(None, texts[5]), (None, texts[5] + " more"), (9, texts[6]), (4, texts[6] + " more"), (None, texts[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r["doc_id"], r["text"]) for r in dd.deduplicated(df).collect()), key=str)
+    lone = [r for r in got if r[1].startswith(texts[5])]
+    want = [(None, texts[0]), (None, texts[1]), (9, texts[2]), (9, texts[3]), (3, texts[4]), (4, texts[6] + " more")]
+    assert len(lone) == 1 and lone[0][0] is None
+    assert [r for r in got if r not in lone] == sorted(want, key=str)
