@@ -123,28 +123,6 @@ def sketches(times: np.ndarray, rows: int) -> np.ndarray:
     return (bits << (np.arange(per * rows, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64)
 
 
-def band_bit(config: DartConfig, band: int) -> int:
-    """The bit of a band in one number; earlier bands have higher bits."""
-    per = 16 // config.rows
-    return 1 << (per * -(-config.bands // per) - 1 - band)
-
-
-def same_bands(a: str, b: str, config: DartConfig) -> Column:
-    """The bands in which two sketch columns agree, as bits of one number."""
-    per, width = 16 // config.rows, 4 * config.rows
-    mask = F.lit((1 << width) - 1)
-
-    def bits(x):
-        out = F.lit(0).cast("long")
-        for k in range(per):
-            same = F.shiftrightunsigned(x, width * k).bitwiseAND(mask) == 0
-            out = out + F.when(same, F.lit(1 << (per - 1 - k)).cast("long")).otherwise(F.lit(0).cast("long"))
-        return out
-
-    differ = F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))
-    return F.aggregate(differ, F.lit(0).cast("long"), lambda found, x: F.shiftleft(found, per) + bits(x))
-
-
 def alike(a: str, b: str, config: DartConfig) -> Column:
     """Whether two sketch columns agree in enough coordinates for the similarity sought."""
 
@@ -312,7 +290,7 @@ def node_components(docs: DataFrame, signed: DataFrame, config: DartConfig) -> D
         )
     )
     nodes = stage(nodes, "dedup-nodes")
-    keyed = nodes.select("node", "n", F.posexplode("bands").alias("band", "key"))
+    keyed = nodes.select("node", "n", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     met = stage(keyed.join(shared, "key"), "dedup-met")
     support = met.groupBy("node").agg(F.sum("members").alias("support"))
@@ -320,7 +298,7 @@ def node_components(docs: DataFrame, signed: DataFrame, config: DartConfig) -> D
     if support.isEmpty():
         return None
     shared_nodes = nodes.join(support, "node").select("node", "ident", "sketch", "support")
-    members = met.join(shared_nodes, "node").select("key", "band", "node", "n", "sketch", "support")
+    members = met.join(shared_nodes, "node").select("key", "node", "n", "sketch", "support")
     members = stage(members, "dedup-members")
     wanted = shared_nodes.select("node", "ident")
     sets = stage(candidate_sets(docs, wanted, config), "dedup-sets")
@@ -339,7 +317,7 @@ def node_components(docs: DataFrame, signed: DataFrame, config: DartConfig) -> D
     led = hubs.select("key", F.col("leader").alias("node"))
     while True:
         comp = F.coalesce("comp", "node").alias("comp")
-        now = members.join(labels, "node", "left").select("key", "band", "node", "n", "sketch", "support", comp)
+        now = members.join(labels, "node", "left").select("key", "node", "n", "sketch", "support", comp)
         now = stage(now, "dedup-now")
         sizes = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
         open_keys = sizes.groupBy("key").agg(
@@ -359,19 +337,16 @@ def node_components(docs: DataFrame, signed: DataFrame, config: DartConfig) -> D
                 F.col("n").alias("ln"),
                 F.col("sketch").alias("lsketch"),
                 F.col("comp").alias("lcomp"),
-                F.get(F.array(*[F.lit(band_bit(config, i)).cast("long") for i in range(config.bands)]), "band").alias("bit"),
             )
         )
         leaders = stage(leaders, "dedup-leaders")
         if leaders.isEmpty():
             return labels
-        # A pair may share several keys that its leader leads; it is made at the first of them.
-        led_bands = leaders.groupBy("leader").agg(F.bit_or("bit").alias("bits"))
-        common = same_bands("sketch", "lsketch", config).bitwiseAND(F.col("bits"))
-        first = (common >= F.col("bit")) & (common < 2 * F.col("bit"))
+        # A pair meets at every key that it shares and its leader leads. Sketches may agree in a band
+        # whose keys differ, so they cannot say which of these is the first.
         pairs = (
-            now.join(leaders.join(led_bands, "leader"), "key")
-            .where((F.col("comp") != F.col("lcomp")) & fits & first)
+            now.join(leaders, "key")
+            .where((F.col("comp") != F.col("lcomp")) & fits)
             .select(*pair)
             .distinct()
             .join(tested, ["a", "b"], "left_anti")

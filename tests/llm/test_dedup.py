@@ -161,3 +161,36 @@ def test_texts_without_an_id_and_texts_that_share_one_all_stay(spark):
     want = [(None, texts[0]), (None, texts[1]), (9, texts[2]), (9, texts[3]), (3, texts[4]), (4, texts[6] + " more")]
     assert len(lone) == 1 and lone[0][0] is None
     assert [r for r in got if r not in lone] == sorted(want, key=str)
+
+
+def by_node(spark, texts):
+    """(node, text) of the texts, smallest node first."""
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    return sorted((r["node"], r["text"]) for r in df.select(F.xxhash64("text").alias("node"), "text").collect())
+
+
+def unlike(count):
+    return [" ".join(f"u{i}x{k}" for k in range(60)) for i in range(count)]
+
+
+def linked(spark, texts, bands, config):
+    """The components of signatures made by hand: all sketches are equal, ``bands`` gives the keys."""
+    sketch = [0] * -(-config.bands // (16 // config.rows))
+    n = [len(shingle_set(t)) for _, t in texts]
+    rows = [(i, node, n[i], bands[i], sketch) for i, (node, _) in enumerate(texts)]
+    signed = spark.createDataFrame(rows, "doc_id long, node long, n int, bands array<long>, sketch array<long>")
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    return {frozenset((r["node"], r["comp"])) for r in dd.node_components(docs, signed, config).collect()}
+
+
+def test_a_pair_is_made_where_keys_agree_not_where_sketches_do(spark):
+    config, (*_, second, hub) = dd.DartConfig(), by_node(spark, unlike(40))
+    tries = [by_node(spark, [t, t + " more"]) for t in (" ".join(f"p{i}x{k}" for k in range(60)) for i in range(20))]
+    x, y = next(p for p in tries if p[1][0] < second[0])
+    # x and y share the key of band 5 with the hub; the keys of band 0, which they lead too, differ.
+    keys = [[10 * config.bands * i + b for b in range(config.bands)] for i in range(4)]
+    keys[3][5] = keys[1][5] = keys[0][5]
+    keys[3][0], keys[2][0] = keys[0][0], keys[1][0]
+    for b in (8, 9, 10):
+        keys[3][b] = keys[2][b]
+    assert frozenset((x[0], y[0])) in linked(spark, [x, y, second, hub], keys, config)
