@@ -13,9 +13,11 @@ the key's hub, the one whose keys are shared most. Two members are only brought
 bits of every coordinate, which go along with the key, agree about as often as they must; links
 are then verified exactly on the shingle sets.
 Then, for keys that still hold several components, members outside the largest one lead in turn,
-``leaders`` at a time, and meet the members of other components, until no component is left to
-compare or a round of leaders finds no link. So a group of copies costs a few rows per member and
-never its pairs; keys with up to ``leaders`` + 1 components are compared completely.
+``leaders`` at a time and twice as many in each further round, and meet the members of other
+components, until every key has one component or all members outside its largest one have led. So
+a group of copies costs a few rows per member and never its pairs; every key is compared
+completely, whatever number of components it holds, and one whose texts stay apart costs the pairs
+of them (of their sketches first).
 
 Defined cases: a text of one to four words is one shingle; texts without a word are near nothing
 but equal texts; null texts are classes of their own; repeated rows and equal texts share a class;
@@ -315,6 +317,7 @@ def node_components(docs: DataFrame, signed: DataFrame, config: DartConfig) -> D
     tested = stage(pairs, "dedup-pairs")
     labels = components(stage(verified(tested, sets, config), "dedup-verified"))
     led = hubs.select("key", F.col("leader").alias("node"))
+    turns = config.leaders
     while True:
         comp = F.coalesce("comp", "node").alias("comp")
         now = members.join(labels, "node", "left").select("key", "node", "n", "sketch", "support", comp)
@@ -330,7 +333,7 @@ def node_components(docs: DataFrame, signed: DataFrame, config: DartConfig) -> D
             .where("comp <> largest")
             .join(led, ["key", "node"], "left_anti")
             .withColumn("turn", F.row_number().over(order))
-            .where(F.col("turn") <= config.leaders)
+            .where(F.col("turn") <= turns)
             .select(
                 "key",
                 F.col("node").alias("leader"),
@@ -353,10 +356,11 @@ def node_components(docs: DataFrame, signed: DataFrame, config: DartConfig) -> D
         )
         pairs = stage(pairs, "dedup-pairs")
         found = stage(verified(pairs, sets, config), "dedup-verified")
-        if found.isEmpty():
-            return labels
-        tested, labels = tested.union(pairs), merged(labels, found)
+        if not found.isEmpty():
+            labels = merged(labels, found)
+        tested = tested.union(pairs)
         led = led.union(leaders.select("key", F.col("leader").alias("node")))
+        turns *= 2
 
 
 def classes(docs: DataFrame, config: DartConfig = DartConfig()) -> DataFrame:

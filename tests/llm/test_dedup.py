@@ -194,3 +194,13 @@ def test_a_pair_is_made_where_keys_agree_not_where_sketches_do(spark):
     for b in (8, 9, 10):
         keys[3][b] = keys[2][b]
     assert frozenset((x[0], y[0])) in linked(spark, [x, y, second, hub], keys, config)
+
+
+def test_a_round_without_links_does_not_end_the_search(spark):
+    config, pair = dd.DartConfig(leaders=2), " ".join(f"p{k}" for k in range(60))
+    texts = by_node(spark, [*unlike(30), pair, pair + " more"])
+    near = [i for i, (_, t) in enumerate(texts) if t.startswith(pair)]
+    # Leaders come in order of nodes: the first round does not reach the pair, and the hub is neither.
+    assert 2 < near[0] and near[1] < len(texts) - 1
+    keys = [[7] + [config.bands * (i + 1) + b for b in range(1, config.bands)] for i in range(len(texts))]
+    assert frozenset(texts[i][0] for i in near) in linked(spark, texts, keys, config)
