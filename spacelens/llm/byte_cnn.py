@@ -6,8 +6,8 @@ Filters of several widths slide over byte embeddings; each filter's highest resp
 distribution is the mean of its windows' distributions, weighted by the letters in them.
 
 Training is numpy on the driver over a bounded sample: at most about ``docs_per_language``
-documents of each of the ``max_languages`` most frequent languages, ``windows_per_doc`` windows
-cut at hashed places all over the text. The trained network is a few kilobytes and travels to the
+documents of every language that has a label, ``windows_per_doc`` windows cut at hashed places all
+over the text. The trained network is a few kilobytes and travels to the
 tasks, which score whole Arrow batches of texts at once.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; without labelled
@@ -42,7 +42,6 @@ class CnnConfig:
     rate: float = 0.004
     docs_per_language: int = 800
     windows_per_doc: int = 6
-    max_languages: int = 64
     seed: int = 7
 
 
@@ -162,17 +161,12 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], config:
 def sample_windows(docs: DataFrame, trained_on: Column, config: CnnConfig) -> DataFrame:
     """(lang, piece) of a bounded hashed sample; ``docs`` has doc_id, text and lang."""
     usable = docs.where(trained_on & F.col("lang").isNotNull() & (F.length("text") > 0))
-    counts = (
-        usable.groupBy("lang")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), "lang")
-        .limit(config.max_languages)
-        .collect()
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    found = counts.collect()
+    # One row per label, as in the network itself.
+    chances = docs.sparkSession.createDataFrame(found, counts.schema).select(
+        F.col("lang").alias("_lang"), F.least(F.lit(1.0), F.lit(config.docs_per_language) / F.col("n")).alias("chance")
     )
-    chance = F.lit(None).cast("double")
-    for row in counts:
-        p = min(1.0, config.docs_per_language / row["n"])
-        chance = F.when(F.col("lang") == row["lang"], F.lit(p)).otherwise(chance)
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(config.seed)), F.lit(1_000_003)) / 1_000_003
     room = F.greatest(F.length("text") - config.window, F.lit(0)) + 1
     pieces = F.array(
@@ -181,8 +175,9 @@ def sample_windows(docs: DataFrame, trained_on: Column, config: CnnConfig) -> Da
             for k in range(config.windows_per_doc)
         ]
     )
-    most = 2 * len(counts) * config.docs_per_language * config.windows_per_doc + 1
-    return usable.where(draw < chance).select("lang", F.explode(pieces).alias("piece")).limit(most)
+    most = 2 * len(found) * config.docs_per_language * config.windows_per_doc + 1
+    drawn = usable.join(F.broadcast(chances), F.col("lang") == F.col("_lang")).where(draw < F.col("chance"))
+    return drawn.select("lang", F.explode(pieces).alias("piece")).limit(most)
 
 
 def fit(docs: DataFrame, trained_on: Column, config: CnnConfig = CnnConfig()) -> ByteCnn:

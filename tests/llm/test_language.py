@@ -70,3 +70,10 @@ def test_messy_documents(messy, messy_rows, no_docs):
     empty = bc.fit(no_docs, F.lit(True))
     assert empty.languages == [] and bc.predict(no_docs, empty).count() == 0
     assert {r["lang_pred"] for r in bc.predict(messy, empty).collect()} == {"und"}
+
+
+def test_rare_labels_are_learned_too(spark):
+    rows = [(i, f"word{i % 70} of label {i % 70}, said {i} times", f"l{i % 70:02d}") for i in range(210)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = bc.fit(df, F.lit(True), bc.CnnConfig(epochs=1))
+    assert model.languages == [f"l{i:02d}" for i in range(70)]
