@@ -10,8 +10,10 @@ says menu, advert, notice, sidebar, comments ...) are set aside. Over the rest:
 2. either ratio is smoothed over the paths of the page, each path weighing by how much of its
    root-to-leaf way it shares;
 3. the two are fused by product into one score per path;
-4. paths scoring at least ``threshold`` of the best path are content, and so are the other paths
-   below the container (article, main, or the parent) that the best path and its like share.
+4. paths scoring at least ``threshold`` of the best path are content, wherever they lie; every
+   article or main around one of them (without any, the parent of the best path) lifts the other
+   paths below it, in its parts too. Paths with more text in links than outside are not content
+   unless no other path is.
 
 Content blocks come out in page order, their character references decoded and white space turned
 into single spaces, joined by a blank line.
@@ -91,7 +93,8 @@ class Block:
     pieces: list[str]
     linked: int
     aside: bool
-    container: int
+    #: Numbers of the articles and mains around it, outermost first.
+    containers: tuple[int, ...]
 
     def text(self) -> str:
         return _SPACE.sub(" ", html.unescape("".join(self.pieces))).strip()
@@ -115,8 +118,8 @@ def _said(attributes: str) -> tuple[bool, str]:
 def blocks_of(page: str) -> list[Block]:
     """Blocks of text in page order."""
     found: list[Block] = []
-    # Open elements: (tag, name in a path, set aside, number of the innermost article or main).
-    stack: list[tuple[str, str, bool, int]] = []
+    # Open elements: (tag, name in a path, set aside, numbers of the articles and mains).
+    stack: list[tuple[str, str, bool, tuple[int, ...]]] = []
     current: Block | None = None
     containers = 0
     links = 0
@@ -127,7 +130,7 @@ def blocks_of(page: str) -> list[Block]:
             return
         if current is None:
             path = tuple(name for tag, name, _, _ in stack[:DEEPEST] if tag not in INLINE)
-            current = Block(path, [], 0, bool(stack) and stack[-1][2], stack[-1][3] if stack else 0)
+            current = Block(path, [], 0, bool(stack) and stack[-1][2], stack[-1][3] if stack else ())
             found.append(current)
         current.pieces.append(text)
         if links:
@@ -179,8 +182,8 @@ def blocks_of(page: str) -> list[Block]:
             at = close.end() if close else end
             continue
         said, label = _said(token.group(3)) if token.group(3) else (False, "")
-        parent = stack[-1] if stack else ("", "", False, 0)
-        inside_article = parent[3] > 0
+        parent = stack[-1] if stack else ("", "", False, ())
+        inside_article = bool(parent[3])
         if tag in ("html", "body") or tag in CONTAINERS and not parent[2]:
             said = False
         if tag in HEADINGS and inside_article:
@@ -195,7 +198,7 @@ def blocks_of(page: str) -> list[Block]:
         container = parent[3]
         if tag in CONTAINERS:
             containers += 1
-            container = containers
+            container = (*container, containers)[:DEEPEST]
         if tag == "a":
             links += 1
         stack.append((tag, tag + label, aside, container))
@@ -251,19 +254,22 @@ def main_text(page: str | None, config: PathConfig = PathConfig()) -> str:
     scores = path_scores(blocks, config)
     best = max(scores.values())
     chosen = {p for p, s in scores.items() if s >= config.threshold * best}
-    # The article or main that holds most of the chosen text; else the parent of the best path.
-    held = defaultdict(int)
+    # Paths that hold more text in links than outside are lists of links, wherever they lie.
+    plain = defaultdict(float)
     for b, t in blocks:
-        if b.path in chosen:
-            held[b.container] += len(t)
-    home = max(held, key=lambda c: (held[c], c))
-    if home:
-        kept = [t for b, t in blocks if b.container == home]
-    else:
-        top = max(scores, key=lambda p: (scores[p], p))
-        parent = top[:-1]
-        wide = len(parent) > 2
-        kept = [t for b, t in blocks if b.path in chosen or wide and b.path[: len(parent)] == parent]
+        plain[b.path] += len(t) - 2 * min(b.linked, len(t))
+    wordy = {p for p in scores if plain[p] >= 0}
+    chosen = chosen & wordy or chosen
+    # An article or main with chosen text lifts the other paths in it, in its parts and around it.
+    homes = {c for b, _ in blocks if b.path in chosen for c in b.containers}
+    top = max(chosen, key=lambda p: (scores[p], p))
+    parent = top[:-1]
+    wide = not homes and len(parent) > 2
+
+    def lifted(b: Block) -> bool:
+        return b.path in wordy and (not homes.isdisjoint(b.containers) or wide and b.path[: len(parent)] == parent)
+
+    kept = [t for b, t in blocks if b.path in chosen or lifted(b)]
     return "\n\n".join(kept)
 
 

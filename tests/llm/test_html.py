@@ -72,3 +72,14 @@ def test_table(spark):
     assert out.columns == ["page_id", "url", "html", "main_text"]
     assert sorted(r["main_text"] for r in out.collect()) == ["", "a, b", "a, b"]
     assert extract(df.limit(0)).count() == 0
+
+
+def test_content_in_several_containers_stays_and_lists_of_links_do_not():
+    lead = "<main><h1>Title</h1><p>A lead, set under main. It counts.</p><article><p>First part, of the text. Yes.</p>"
+    part = "</article><article><h2>Two</h2><p>Second part, as long as that. So.</p></article></main>"
+    links = "<ul><li><a href=a>one more page</a></li><li><a href=b>and one more</a></li></ul>"
+    want = "Title\n\nA lead, set under main. It counts.\n\nFirst part, of the text. Yes.\n\nTwo\n\nSecond part, as long as that. So."
+    assert main_text(lead + part) == want
+    assert main_text(lead + links + part) == want
+    nested = "<article><p>Outer text, long enough. Yes.</p><article><p>Inner text, as long. Yes.</p></article></article>"
+    assert main_text(nested) == "Outer text, long enough. Yes.\n\nInner text, as long. Yes."
