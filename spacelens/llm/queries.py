@@ -16,6 +16,7 @@ from spacelens.llm import (
     piece_viterbi,
     suffix_tree_lm,
     vector_pack,
+    word_runs,
 )
 from spacelens.llm.words import id_fold
 
@@ -115,6 +116,13 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def run_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    loop = F.when(h % 10 == 0, F.floor(h / 10))
+    return word_runs.digests(word_runs.periodic_runs(docs, loop=loop))
+
+
 QUERIES = {
     "op1_html_extraction": html_extraction,
     "op2_near_dedup": near_dedup,
@@ -126,4 +134,5 @@ QUERIES = {
     "op8_sharding": sharding,
     "op9_lm_scoring": lm_scoring,
     "op10_quality_rules": quality_rules,
+    "op11_word_runs": run_digests,
 }
