@@ -13,6 +13,7 @@ from spacelens.llm import (
     dart_dedup,
     ftrl_quality,
     html_paths,
+    importance,
     piece_viterbi,
     suffix_tree_lm,
     vector_pack,
@@ -123,6 +124,11 @@ def run_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_runs.digests(word_runs.periodic_runs(docs, loop=loop))
 
 
+def importance_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return importance.resampled(docs, _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_html_extraction": html_extraction,
     "op2_near_dedup": near_dedup,
@@ -135,4 +141,5 @@ QUERIES = {
     "op9_lm_scoring": lm_scoring,
     "op10_quality_rules": quality_rules,
     "op11_word_runs": run_digests,
+    "op12_importance_resampling": importance_draw,
 }
