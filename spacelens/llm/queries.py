@@ -14,6 +14,7 @@ from spacelens.llm import (
     ftrl_quality,
     html_paths,
     importance,
+    nn_descent,
     piece_viterbi,
     suffix_tree_lm,
     vector_pack,
@@ -129,6 +130,10 @@ def importance_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resampled(docs, _table(spark, sf_dir, "benchmark"))
 
 
+def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     "op1_html_extraction": html_extraction,
     "op2_near_dedup": near_dedup,
@@ -142,4 +147,5 @@ QUERIES = {
     "op10_quality_rules": quality_rules,
     "op11_word_runs": run_digests,
     "op12_importance_resampling": importance_draw,
+    "op13_nearest_neighbours": nearest_neighbours,
 }
