@@ -60,6 +60,7 @@ class GraphConfig:
 
 #: Below any cosine.
 NONE = -2.0
+SALTS = 64
 
 
 def _coded(v: np.ndarray) -> tuple[np.ndarray, bytes]:
@@ -159,11 +160,17 @@ def first_edges(nodes: DataFrame, config: GraphConfig) -> DataFrame:
 
     placed = nodes.select("node", "dim", "code").mapInArrow(leaves, "node long, dim int, code binary, leaf array<long>")
     placed = placed.select("node", "dim", "code", F.posexplode("leaf").alias("tree", "leaf"))
+    # The last tree deals at random; the rows of a hot leaf meet its size under several salts.
+    chance = F.xxhash64("node", "tree")
+    dealt = F.pmod(chance, F.lit(max(1, count // config.leaf)))
+    placed = placed.withColumn("leaf", F.when(F.col("tree") == config.trees, dealt).otherwise(F.col("leaf")))
+    placed = placed.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
     key = ["tree", "dim", "leaf"]
     parts = placed.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / (2 * config.leaf)).alias("parts"))
-    part = F.pmod(F.xxhash64("node", "tree"), F.col("parts"))
+    parts = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    part = F.pmod(F.xxhash64(chance), F.col("parts"))
     groups = (
-        placed.join(parts, key)
+        placed.join(parts, [*key, "salt"])
         .groupBy(*key, part.alias("part"))
         .agg(F.collect_list(F.struct("node", "code")).alias("members"))
         .select("members")
