@@ -218,7 +218,7 @@ def top_competitors_query(spark, sf):
 
 
 def focal_estate(spark, sf):
-    return rightowin.focal_estate(market(spark, sf).cells)
+    return rightowin.focal_estate(market(spark, sf).named_cells)
 
 
 def space_composition(spark, sf):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.binding import FOCAL, facts, market, table
@@ -149,9 +151,8 @@ def warehouse_counts(spark, sf):
     """Write the whole warehouse, read it back, count every table."""
     from spacelens.sources.stage import stage_root
 
-    m = market(spark, sf)
-    path = f"{stage_root(spark)}/warehouse-{spark.sparkContext.applicationId}-{abs(hash(sf))}"
-    warehouse.write_warehouse(m, facts(spark, sf), FOCAL, path)
+    path = f"{stage_root(spark)}/warehouse-{uuid.uuid4().hex}"
+    warehouse.build_warehouse(facts(spark, sf), FOCAL, path)
     tables = warehouse.read_warehouse(spark, path)
     names = ("sku_facts", "space_membership", "space_facts", "company_facts", "brand_facts")
     counts = [

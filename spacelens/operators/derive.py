@@ -9,26 +9,32 @@ from spacelens.functions import text
 from spacelens.sources.facts import recent_sales, strip
 
 
-def derive_text(rows: DataFrame, focal_company: str) -> DataFrame:
-    """Add ingredients, archetype, brand root, clean company and flags.
-
-    Works on packs and on packs already summed per distinct text combination.
-    """
+def derive_article(rows: DataFrame) -> DataFrame:
+    """Add ingredients, their number and the archetype: what the article's own text tells."""
     counted = rows.withColumn("molecules", text.split_ingredients("ingredient_desc")).withColumn(
         "molecule_count", F.size("molecules")
     )
-    return counted.withColumns(
+    return counted.withColumn("treatment_archetype", text.archetype("plain_combination", "molecule_count"))
+
+
+def derive_seller(rows: DataFrame, focal_company: str) -> DataFrame:
+    """Add clean company and flags."""
+    return rows.withColumns(
         {
             "company_clean": strip(F.regexp_replace("company", r"\*", "")),
             "is_focal": F.coalesce(strip(F.col("company")) == focal_company, F.lit(False)),
-            "treatment_archetype": text.archetype("plain_combination", "molecule_count"),
-            "brand_root": text.brand_root("brand"),
             "is_oral_solid": F.coalesce(F.upper("dosage_form") == "SOLIDS", F.lit(False)),
             "is_mnc": F.coalesce(F.upper("ownership") == "MNC", F.lit(False)),
         }
     )
 
 
+def derive_text(rows: DataFrame, focal_company: str) -> DataFrame:
+    """All derivations from text, the brand root included."""
+    sold = derive_seller(derive_article(rows), focal_company)
+    return sold.withColumn("brand_root", text.brand_root("brand"))
+
+
 def derive(facts: DataFrame, focal_company: str) -> DataFrame:
     """The pack table: text derivations plus signatures, price, recent sales and slugs."""
     return derive_text(facts, focal_company).withColumns(

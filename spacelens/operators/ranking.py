@@ -13,11 +13,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 BANDS_PER_UNIT = 1000
-#: Leading characters of a text tie-breaker that deal out the rows of one value.
-TIE_PREFIX = 3
 _LAST = (1 << 63) - 1
 
 
@@ -102,28 +99,3 @@ def interpolated_percentiles(
         weight = last * p - F.floor(last * p)
         out.append((low + (high - low) * weight).alias(name))
     return order_statistics(df, keys, value, positions).select(*keys, *out)
-
-
-def positions_desc(df: DataFrame, keys: Sequence[str], value: str, tie: Sequence[str], name: str) -> DataFrame:
-    """Row position by ``value`` descending (nulls last), then ``tie`` ascending; unique within ``keys``.
-
-    Rows of one value are dealt out by the first characters of a text tie-breaker, which keep its
-    order, so a value that most rows share is not numbered in one task.
-    """
-    text = isinstance(df.schema[tie[0]].dataType, T.StringType)
-    prefix = F.substring(tie[0], 1, TIE_PREFIX) if text else F.lit("")
-    parts = df.withColumn("_part", prefix)
-    counted = parts.groupBy(*keys, value, "_part").agg(F.count(F.lit(1)).alias("n"))
-    values = counted.groupBy(*keys, value).agg(F.sum("n").alias("n"))
-    greater = (F.col("total") - F.col("below") - F.col("n")).alias("_greater")
-    values = _counts_below(values, keys, value).select(*keys, value, greater)
-    earlier = Window.partitionBy(*keys, value).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counted = counted.withColumn("_earlier", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
-    starts = _met(counted, values, [*keys, value])
-    inside = Window.partitionBy(*keys, value, "_part").orderBy(*tie)
-    place = F.col("_greater") + F.col("_earlier") + F.row_number().over(inside)
-    return (
-        _met(parts, starts, [*keys, value, "_part"])
-        .withColumn(name, place.cast("int"))
-        .drop("_part", "_greater", "_earlier")
-    )

@@ -1,7 +1,7 @@
 """Right to win: how far the focal company's estate reaches into each space.
 
-Estate membership is resolved per cell (and per distinct ingredient list) with equi-joins
-before the fan-out to spaces, so the space level needs one grouped aggregate.
+Estate membership is resolved per article (and per distinct ingredient list) with equi-joins
+before the fan-out to spaces, so the space level needs one grouped aggregate of articles.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from spacelens.config import EPS
 from spacelens.functions.ratios import clip, safe_ratio
 from spacelens.functions.text import is_placeholder
-from spacelens.operators.spaces import explode_spaces
 from spacelens.sources.stage import stage
 
 SPACE_KEYS = ["level", "space_id"]
@@ -58,20 +57,19 @@ def _flag(df: DataFrame, estate: DataFrame, kind: str, column: str) -> DataFrame
     return df.join(hit, column, "left")
 
 
-def sub_segment_shares(cells: DataFrame) -> DataFrame:
+def sub_segment_shares(articles: DataFrame) -> DataFrame:
     """Focal share of each (segment, sub-segment); placeholders are no sub-segment."""
-    sums = cells.where(~is_placeholder("sub_segment")).groupBy("segment", "sub_segment").agg(
-        F.sum("value_t2").cast("double").alias("t"),
-        F.sum(F.when(F.col("is_focal"), F.col("value_t2")).otherwise(0)).cast("double").alias("f"),
+    sums = articles.where(~is_placeholder("sub_segment")).groupBy("segment", "sub_segment").agg(
+        F.sum("value_t2").cast("double").alias("t"), F.sum("focal_value_t2").cast("double").alias("f")
     )
     return sums.where(F.col("t") > EPS).select(
         "segment", "sub_segment", (F.col("f") / F.col("t")).alias("_detail")
     )
 
 
-def _ingredient_hits(cells: DataFrame, estate: DataFrame) -> DataFrame:
+def _ingredient_hits(articles: DataFrame, estate: DataFrame) -> DataFrame:
     """Per distinct ingredient list: how many ingredients are in the estate, and under a brand."""
-    lists = cells.select("molecules").where(F.size("molecules") > 0).distinct()
+    lists = articles.select("molecules").where(F.size("molecules") > 0).distinct()
     owned = estate.where("kind = 'molecule'").groupBy("value").agg(
         F.max(F.col("brand_root").isNotNull().cast("int")).alias("branded")
     )
@@ -93,15 +91,16 @@ def solids_share(cells: DataFrame) -> DataFrame:
     )
 
 
-def space_molecules(cells: DataFrame) -> DataFrame:
-    """Distinct (space, molecule) pairs with the value each molecule carries."""
-    lists = explode_spaces(
-        cells.select("spaces", "molecules", "value_t2")
-    ).groupBy(*SPACE_KEYS, "molecules").agg(F.sum("value_t2").cast("double").alias("v"))
-    each = lists.select(
-        *SPACE_KEYS, F.explode("molecules").alias("molecule"), (F.col("v") / F.size("molecules")).alias("v")
-    )
-    return each.groupBy(*SPACE_KEYS, "molecule").agg(F.sum("v").alias("value"))
+def space_molecules(articles: DataFrame, pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """Distinct (space, molecule) pairs with the value each molecule carries.
+
+    ``articles`` are article_values, ``pairs`` and ``names`` the spaces of each article.
+    """
+    lists = articles.select("article", "molecules", "value_t2").join(pairs, "article")
+    sums = lists.groupBy("space", "molecules").agg(F.sum("value_t2").cast("double").alias("v"))
+    each = sums.select("space", F.explode("molecules").alias("molecule"), (F.col("v") / F.size("molecules")).alias("v"))
+    values = each.groupBy("space", "molecule").agg(F.sum("v").alias("value"))
+    return values.join(names, "space").select(*SPACE_KEYS, "molecule", "value")
 
 
 def space_composition(molecules: DataFrame, space_facts: DataFrame) -> DataFrame:
@@ -136,42 +135,47 @@ def _adjacent_brands(molecules: DataFrame, estate: DataFrame) -> DataFrame:
     )
 
 
-def write_reach(cells: DataFrame) -> dict[str, DataFrame]:
-    """The lookup tables the cells are marked with.
+def write_reach(cells: DataFrame, articles: DataFrame) -> dict[str, DataFrame]:
+    """The lookup tables the articles are marked with; ``cells`` carry their texts.
 
     They are written first: the planner then knows that they are small (or not) and need not
-    shuffle the cells to meet them.
+    shuffle the articles to meet them.
     """
     estate = stage(focal_estate(cells), "focal_estate")
     return {
         "estate": estate,
-        "hits": stage(_ingredient_hits(cells, estate), "ingredient_hits"),
-        "shares": stage(sub_segment_shares(cells), "sub_segment_shares"),
+        "hits": stage(_ingredient_hits(articles, estate), "ingredient_hits"),
+        "shares": stage(sub_segment_shares(articles), "sub_segment_shares"),
         "solids": stage(solids_share(cells), "solids_share"),
     }
 
 
 def add_right_to_win_metrics(
-    spaces: DataFrame, cells: DataFrame, molecules: DataFrame, reach: dict[str, DataFrame]
+    spaces: DataFrame,
+    articles: DataFrame,
+    pairs: DataFrame,
+    names: DataFrame,
+    molecules: DataFrame,
+    reach: dict[str, DataFrame],
 ) -> DataFrame:
-    """``molecules`` and ``reach`` are :func:`space_molecules` and :func:`write_reach` of the
-    same cells."""
+    """``articles``, ``pairs`` and ``names`` are article_values, article_spaces and space_names;
+    ``molecules`` and ``reach`` are :func:`space_molecules` and :func:`write_reach` of the same."""
     estate = reach["estate"]
-    marked = cells.join(reach["hits"], "molecules", "left")
+    marked = articles.join(reach["hits"], "molecules", "left")
     for kind in ("subgroup", "sub_segment", "segment"):
         marked = _flag(marked, estate, kind, kind)
     marked = marked.join(reach["shares"], ["segment", "sub_segment"], "left")
 
     value = F.col("value_t2").cast("double")
-    per_space = explode_spaces(marked).groupBy(*SPACE_KEYS).agg(
+    per_space = marked.join(pairs, "article").groupBy("space").agg(
         F.sum(value).alias("_t"),
         F.sum(value * F.coalesce("_hits", F.lit(0)) / F.greatest(F.size("molecules"), F.lit(1)))
         .alias("_adjacent"),
-        F.sum(F.when(F.col("is_oral_solid"), value).otherwise(0.0)).alias("_solid"),
+        F.sum(F.col("solid_value_t2").cast("double")).alias("_solid"),
         *[F.max(f"_has_{k}").alias(f"_has_{k}") for k in ("subgroup", "sub_segment", "segment")],
         F.max("_branded").alias("_branded"),
         F.max("_detail").alias("_detail"),
-    )
+    ).join(names, "space")
     live = F.col("_t") > EPS
     ladder = (
         F.when(~live, 0.0)

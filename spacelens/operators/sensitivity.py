@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spacelens.config import METRIC_WEIGHTS, ScoreConfig, SensitivityConfig
-from spacelens.operators.ranking import positions_desc
+from spacelens.operators.placing import with_positions
 from spacelens.operators.scoring import opportunity_index, pillar_expressions, win_gate
 
 
@@ -76,7 +76,9 @@ def sensitivity(
     rescored = rescore(percentiles, draws, score).select(
         "level", "space_id", "draw", F.round(score_column, 9).alias("_score")
     )
-    placed = positions_desc(rescored, ["level", "draw"], "_score", ["space_id"], "position")
+    # A written table of the levels' spaces times the draws, sorted into ranges of equal size.
+    order = [F.desc_nulls_last("_score"), F.col("space_id")]
+    placed = with_positions(rescored, ["level", "draw"], order, "position")
     by_space = ["level", "space_id"]
     stats = placed.groupBy(*by_space).agg(
         F.round(F.count_if(F.col("position") <= config.top_k) / len(draws), 4)
@@ -84,11 +86,12 @@ def sensitivity(
         F.round(F.avg("position"), 2).alias("mean_rank"),
         # At most one value per draw, a number the config fixes.
         F.median("position").alias("median_rank"),
-        F.max("position").alias("worst_rank"),
-        F.min("position").alias("best_rank"),
+        F.max("position").cast("int").alias("worst_rank"),
+        F.min("position").cast("int").alias("best_rank"),
     )
     start = baseline.select(*by_space, "space_label", F.round(score_column, 9).alias("_score"))
-    ranked = positions_desc(start, ["level"], "_score", ["space_id"], "baseline_rank")
+    ranked = with_positions(start, ["level"], order, "baseline_rank")
+    ranked = ranked.withColumn("baseline_rank", F.col("baseline_rank").cast("int"))
     return ranked.drop("_score").join(stats, by_space).withColumns(
         {
             "is_robust": F.col("top_k_frequency") >= config.robust_at,

@@ -1,18 +1,24 @@
-"""Opportunity spaces: collapse packs to cells, map cells to spaces, aggregate.
-
-A cell is one distinct combination of the text columns of a pack. Packs are summed to cells
-before the fan-out to spaces, so the roughly seven-fold explode runs over the catalogue's
-combinations and not over the fact rows.
+"""Opportunity spaces: code packs by dictionaries, map articles to spaces, aggregate.
+
+An article is one distinct combination of the text columns that place a pack in spaces; brand,
+company, dosage form and ownership are no part of it. Articles, brands and spaces are dictionary
+tables with short keys: ingredient splitting, slugs and the roughly seven-fold fan-out run once
+per article, not per pack. Packs are summed to cells (article, brand, seller), cells to
+(article, company), and those sums meet the (article, space) pairs by key. Space texts come back
+last, once per space.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spacelens.config import EPS, LEVEL_DESCRIPTIONS
-from spacelens.functions.text import is_placeholder, slug
-from spacelens.operators.derive import derive_text
+from spacelens.functions.text import brand_root, is_placeholder, slug
+from spacelens.operators.derive import derive_article, derive_seller
 from spacelens.operators.ranking import rank_desc
 from spacelens.sources.facts import TEXT_ROLES, recent_sales
 
@@ -21,28 +27,89 @@ MEASURES = (
     "recent_3m_sales",
 )
 FOCAL_MEASURES = ("value_t0", "value_t1", "value_t2", "qty_t2")
+#: The text columns that decide a pack's spaces.
+ARTICLE_ROLES = (
+    "ingredient_desc", "plain_combination", "segment", "sub_segment", "molecule_class", "subgroup",
+)
 SPACE = ("level", "space_id", "space_label")
 SPACE_KEYS = ("level", "space_id")
 
 
-def collapse(facts: DataFrame, focal_company: str) -> DataFrame:
-    """Packs to cells: sums per distinct text combination, a pack count and the cell's spaces.
-
-    All text work happens after the sum, once per combination and not once per pack.
-    """
+def pack_sums(facts: DataFrame) -> DataFrame:
+    """Packs summed per distinct combination of all text columns, with a pack count."""
     keyed = facts.withColumns(
         {"is_active": F.col("value_t2") > EPS, "recent_3m_sales": recent_sales()}
     )
-    sums = keyed.groupBy(*TEXT_ROLES, "is_active").agg(
+    return keyed.groupBy(*TEXT_ROLES, "is_active").agg(
         *[F.sum(m).alias(m) for m in MEASURES], F.count(F.lit(1)).alias("sku_count")
     )
-    return (
-        derive_text(sums, focal_company)
-        .withColumn("spaces", space_array())
-        .drop("ingredient_desc", "plain_combination", "company", "ownership", "dosage_form")
+
+
+def articles(sums: DataFrame) -> DataFrame:
+    """The article dictionary: key, texts, derived fields and the article's spaces."""
+    texts = sums.select(*ARTICLE_ROLES).distinct()
+    return derive_article(texts).withColumns(
+        {"spaces": space_array(), "article": F.monotonically_increasing_id()}
+    )
+
+
+def brands(sums: DataFrame) -> DataFrame:
+    """The brand dictionary: brand and root."""
+    return sums.select("brand").distinct().withColumn("brand_root", brand_root("brand"))
+
+
+def _coded(rows: DataFrame, dictionary: DataFrame, texts: Sequence[str], code: str) -> DataFrame:
+    """``rows`` with the dictionary's ``code``; null texts meet null texts."""
+    short = dictionary.select(*[F.col(c).alias(f"_{c}") for c in texts], code)
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in texts])
+    return rows.join(short, same).drop(*[f"_{c}" for c in texts])
+
+
+def cells(sums: DataFrame, article_table: DataFrame, brand_table: DataFrame, focal_company: str) -> DataFrame:
+    """Pack sums with keys for texts; the dictionaries are written tables of the same sums."""
+    coded = _coded(sums, article_table, ARTICLE_ROLES, "article").drop(*ARTICLE_ROLES)
+    sold = derive_seller(_coded(coded, brand_table, ["brand"], "brand_root"), focal_company)
+    return sold.drop("company", "ownership", "dosage_form")
+
+
+def space_names(article_table: DataFrame) -> DataFrame:
+    """The space dictionary: key, level, id and label.
+
+    Spellings that share an id are one space; the alphabetically first becomes its label.
+    """
+    named = article_table.select(F.inline("spaces")).groupBy(*SPACE_KEYS).agg(F.min("space_label").alias("space_label"))
+    return named.withColumn("space", F.monotonically_increasing_id())
+
+
+def article_spaces(article_table: DataFrame, names: DataFrame) -> DataFrame:
+    """(article, space) keys: the fan-out, once per article."""
+    pairs = article_table.select("article", F.inline("spaces")).drop("space_label")
+    return pairs.join(names.select(*SPACE_KEYS, "space"), list(SPACE_KEYS)).select("article", "space")
+
+
+def article_companies(cell_table: DataFrame) -> DataFrame:
+    """(article, company) sums of every measure, of the focal company's and of solids."""
+    focal = [
+        F.sum(F.when(F.col("is_focal"), F.col(m)).otherwise(0)).alias("focal_" + m)
+        for m in FOCAL_MEASURES
+    ]
+    return cell_table.groupBy("article", "company_clean").agg(
+        *[F.sum(m).alias(m) for m in MEASURES],
+        *focal,
+        F.sum(F.when(F.col("is_oral_solid"), F.col("value_t2")).otherwise(0)).alias("solid_value_t2"),
+        F.sum("sku_count").alias("sku_count"),
+        F.max("is_mnc").alias("is_mnc"),
     )
 
 
+def article_values(companies: DataFrame, article_table: DataFrame) -> DataFrame:
+    """Every article with its latest value: of all, of the focal company and of solids."""
+    kinds = ("value_t2", "focal_value_t2", "solid_value_t2")
+    sums = companies.groupBy("article").agg(*[F.sum(m).alias(m) for m in kinds])
+    texts = article_table.select("article", "segment", "sub_segment", "subgroup", "molecules")
+    return texts.join(sums, "article")
+
+
 def _space(level: str, prefix: str, key: Column, label: Column) -> Column:
     return F.struct(
         F.lit(level).alias("level"),
@@ -93,13 +160,6 @@ def _one_per_id(spaces: Column) -> Column:
     return F.transform(F.array(spaces), first).getItem(0)
 
 
-def explode_spaces(rows: DataFrame) -> DataFrame:
-    """One output row per (row, space); all six levels from a single explode of ``spaces``."""
-    return rows.select(
-        F.inline("spaces"), *[F.col(c) for c in rows.columns if c != "spaces"]
-    )
-
-
 def membership(sku_facts: DataFrame) -> DataFrame:
     """(pack, space) pairs with the pack's own segment and sub-segment."""
     return sku_facts.select(
@@ -107,22 +167,16 @@ def membership(sku_facts: DataFrame) -> DataFrame:
     ).select("row_id", *SPACE, "segment", "sub_segment")
 
 
-def company_cells(cells: DataFrame) -> DataFrame:
+def company_cells(sums: DataFrame, pairs: DataFrame, names: DataFrame) -> DataFrame:
     """(space, company) sums of every measure: the one table the space level derives from.
 
-    Spellings that share an id are one space; the alphabetically first becomes its label.
+    ``sums``, ``pairs`` and ``names`` are article_companies, article_spaces and space_names.
     """
-    focal = [
-        F.sum(F.when(F.col("is_focal"), F.col(m)).otherwise(0)).alias("focal_" + m)
-        for m in FOCAL_MEASURES
-    ]
-    return explode_spaces(cells).groupBy(*SPACE_KEYS, "company_clean").agg(
-        F.min("space_label").alias("space_label"),
-        *[F.sum(m).alias(m) for m in MEASURES],
-        *focal,
-        F.sum("sku_count").alias("sku_count"),
-        F.max("is_mnc").alias("is_mnc"),
+    measures = [*MEASURES, *["focal_" + m for m in FOCAL_MEASURES], "sku_count"]
+    keyed = sums.join(pairs, "article").groupBy("space", "company_clean").agg(
+        *[F.sum(m).alias(m) for m in measures], F.max("is_mnc").alias("is_mnc")
     )
+    return keyed.join(names, "space").drop("space")
 
 
 def level_description() -> Column:
@@ -132,16 +186,16 @@ def level_description() -> Column:
     return out
 
 
-def space_context(cells: DataFrame) -> DataFrame:
+def space_context(values: DataFrame, pairs: DataFrame, names: DataFrame) -> DataFrame:
     """The (segment, sub_segment) that carries most latest value in each space."""
-    sums = explode_spaces(cells).groupBy("level", "space_id", "segment", "sub_segment").agg(
+    sums = values.join(pairs, "article").groupBy("space", "segment", "sub_segment").agg(
         F.sum("value_t2").alias("v")
     )
     pair = F.struct("segment", "sub_segment")
-    best = sums.groupBy("level", "space_id").agg(
+    best = sums.groupBy("space").agg(
         F.min_by(pair, F.struct(-F.col("v"), F.col("segment"), F.col("sub_segment"))).alias("c")
     )
-    return best.select("level", "space_id", "c.segment", "c.sub_segment")
+    return best.join(names, "space").select(*SPACE_KEYS, "c.segment", "c.sub_segment")
 
 
 def space_totals(companies: DataFrame) -> DataFrame:
@@ -154,9 +208,9 @@ def space_totals(companies: DataFrame) -> DataFrame:
     )
 
 
-def space_facts(companies: DataFrame, cells: DataFrame) -> DataFrame:
+def space_facts(companies: DataFrame, context: DataFrame) -> DataFrame:
     totals = space_totals(companies)
-    return totals.join(space_context(cells), ["level", "space_id"], "left").withColumn(
+    return totals.join(context, ["level", "space_id"], "left").withColumn(
         "level_description", level_description()
     )
 
@@ -180,15 +234,15 @@ def company_facts(companies: DataFrame, spaces: DataFrame) -> DataFrame:
     return _as_doubles(ranked)
 
 
-def brand_facts(cells: DataFrame, spaces: DataFrame) -> DataFrame:
-    """Brand values and min-tie rank in each space; both inputs are written tables."""
-    sums = explode_spaces(cells).groupBy(*SPACE_KEYS, "brand", "brand_root", "company_clean").agg(
+def brand_facts(cell_table: DataFrame, pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """Brand values and min-tie rank in each space; the inputs are written tables."""
+    sums = cell_table.join(pairs, "article").groupBy("space", "brand", "brand_root", "company_clean").agg(
         F.sum("value_t1").alias("value_t1"),
         F.sum("value_t2").alias("value_t2"),
         F.max("is_focal").alias("is_focal"),
     )
-    ranked = rank_desc(sums, ["level", "space_id"], "value_t2", "rank_in_space")
-    return _as_doubles(ranked.join(spaces.select(*SPACE), list(SPACE_KEYS)))
+    ranked = rank_desc(sums, ["space"], "value_t2", "rank_in_space")
+    return _as_doubles(ranked.join(names, "space").drop("space"))
 
 
 def _as_doubles(ranked: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Build the market: facts -> cells -> company sums -> enriched spaces."""
+"""Build the market: facts -> dictionaries and cells -> company sums -> enriched spaces."""
 
 from __future__ import annotations
 
@@ -21,12 +21,12 @@ from spacelens.sources.stage import stage
 class Market:
     """Lazy tables of one market.
 
-    The fact table is scanned once, to collapse it to cells. Cells, (space, company) sums and
-    every table that several later steps read are written once and read back.
+    The fact table is scanned once, to sum it to cells. Dictionaries, cells, (space, company) sums
+    and every table that several later steps read are written once and read back.
     """
 
     cells: DataFrame
-    companies: DataFrame
+    articles: DataFrame
     signals: DataFrame | None = None
     score: ScoreConfig = ScoreConfig()
     link: LinkConfig = LinkConfig()
@@ -40,13 +40,41 @@ class Market:
         score: ScoreConfig = ScoreConfig(),
         link: LinkConfig = LinkConfig(),
     ) -> "Market":
-        cells = stage(sp.collapse(facts, focal_company), "cells")
-        companies = stage(sp.company_cells(cells), "company_cells")
-        return cls(cells, companies, signals, score, link)
+        sums = stage(sp.pack_sums(facts), "pack_sums")
+        articles = stage(sp.articles(sums), "articles")
+        cells = sp.cells(sums, articles, stage(sp.brands(sums), "brands"), focal_company)
+        return cls(stage(cells, "cells"), articles, signals, score, link)
+
+    @cached_property
+    def named_cells(self) -> DataFrame:
+        """The cells with their article's texts and ingredients."""
+        return self.cells.join(self.articles.drop("spaces"), "article").drop("article")
+
+    @cached_property
+    def space_names(self) -> DataFrame:
+        return stage(sp.space_names(self.articles), "space_names")
+
+    @cached_property
+    def article_spaces(self) -> DataFrame:
+        return stage(sp.article_spaces(self.articles, self.space_names), "article_spaces")
+
+    @cached_property
+    def article_companies(self) -> DataFrame:
+        return stage(sp.article_companies(self.cells), "article_companies")
+
+    @cached_property
+    def article_values(self) -> DataFrame:
+        return stage(sp.article_values(self.article_companies, self.articles), "article_values")
+
+    @cached_property
+    def companies(self) -> DataFrame:
+        sums = sp.company_cells(self.article_companies, self.article_spaces, self.space_names)
+        return stage(sums, "company_cells")
 
     @cached_property
     def space_facts(self) -> DataFrame:
-        return stage(sp.space_facts(self.companies, self.cells), "space_facts")
+        context = sp.space_context(self.article_values, self.article_spaces, self.space_names)
+        return stage(sp.space_facts(self.companies, context), "space_facts")
 
     @cached_property
     def company_facts(self) -> DataFrame:
@@ -54,11 +82,12 @@ class Market:
 
     @cached_property
     def brand_facts(self) -> DataFrame:
-        return stage(sp.brand_facts(self.cells, self.space_facts), "brand_facts")
+        return stage(sp.brand_facts(self.cells, self.article_spaces, self.space_names), "brand_facts")
 
     @cached_property
     def molecules(self) -> DataFrame:
-        return stage(space_molecules(self.cells), "space_molecules")
+        found = space_molecules(self.article_values, self.article_spaces, self.space_names)
+        return stage(found, "space_molecules")
 
     @cached_property
     def grown(self) -> DataFrame:
@@ -83,13 +112,14 @@ class Market:
 
     @cached_property
     def reach(self) -> dict[str, DataFrame]:
-        return write_reach(self.cells)
+        return write_reach(self.named_cells, self.article_values)
 
     @cached_property
     def enriched(self) -> DataFrame:
         """Spaces with growth, competition, right to win and the trend multiplier."""
         out = add_competition_metrics(self.grown, self.company_facts)
-        out = add_right_to_win_metrics(out, self.cells, self.molecules, self.reach)
+        articles = (self.article_values, self.article_spaces, self.space_names)
+        out = add_right_to_win_metrics(out, *articles, self.molecules, self.reach)
         if self.signals is None:
             out = neutral_trend(out)
         else:

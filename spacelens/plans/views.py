@@ -254,7 +254,7 @@ def competitor_brands(m: Market, text: str, limit: int = 8) -> DataFrame:
 
 
 def _focal(m: Market) -> DataFrame:
-    return m.cells.where("is_focal")
+    return m.named_cells.where("is_focal")
 
 
 def _grown(frame: DataFrame) -> DataFrame:
@@ -414,7 +414,8 @@ def search_signals(
 
 def register_views(m: Market) -> None:
     """Expose the market's tables to SQL."""
-    for name in ("cells", "space_facts", "company_facts", "brand_facts", "enriched", "scored"):
+    m.named_cells.createOrReplaceTempView("cells")
+    for name in ("space_facts", "company_facts", "brand_facts", "enriched", "scored"):
         getattr(m, name).createOrReplaceTempView(name)
 
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spacelens.config import ForecastConfig, ScoreConfig, SensitivityConfig, WhitespaceConfig
+from spacelens.operators.placing import with_positions
 from spacelens.operators import ranking, scoring, sensitivity
 from spacelens.operators.forecast import forecast_spaces
 from spacelens.operators.whitespace import find_whitespace
@@ -66,7 +67,7 @@ def test_ranks_against_brute_force(numbers):
     }
     pos = {
         (r["g"], r["i"]): r["n"]
-        for r in ranking.positions_desc(df, ["g"], "v", ["i"], "n").collect()
+        for r in with_positions(df, ["g"], [F.desc_nulls_last("v"), F.col("i")], "n").collect()
     }
     for g, items in groups.items():
         vs = [v for _, v in items]

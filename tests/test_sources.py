@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import audit_rows
 from spacelens.config import ScoreConfig, SensitivityConfig, WhitespaceConfig
+from spacelens.operators.derive import derive
 from spacelens.plans import views, warehouse
 from spacelens.sources import facts as fs
 from spacelens.sources.stage import stage, stage_root
@@ -86,22 +88,58 @@ def test_stage_uses_the_folder_the_session_names(spark):
     assert all(f"{root}/numbers-" in f for f in out.inputFiles())
 
 
+LOOSE = ScoreConfig(min_value=0.0, min_players=1)
+
+
+def scores(m):
+    return sorted(map(tuple, m.scored.select("level", "space_id", "priority_score").collect()))
+
+
 def test_warehouse_round_trip(spark, packs, seven_packs, tmp_path):
     path = str(tmp_path / "wh")
-    for _ in range(2):  # the second write replaces the first
-        warehouse.write_warehouse(seven_packs, packs, "ORBIS*", path)
+    (tmp_path / "source.csv").write_bytes(b"abc")
+    warehouse.build_warehouse(packs, "ORBIS*", path, source=str(tmp_path / "source.csv"), as_of="2024-03")
     tables = warehouse.read_warehouse(spark, path)
     assert tables["space_facts"].count() == 22 and tables["space_membership"].count() == 44
     meta = {r["key"]: json.loads(r["json"])["value"] for r in tables["build_metadata"].collect()}
     assert meta["sku_rows"] == 7 and meta["membership_rows"] == 44
     assert meta["market_value_latest"] == 905 and meta["focal_share_pct"] == pytest.approx(16.5746)
-    again = warehouse.market_from_warehouse(
-        spark, path, score=ScoreConfig(min_value=0.0, min_players=1)
-    )
-    keep = ["level", "space_id", "priority_score"]
-    assert sorted(map(tuple, again.scored.select(keep).collect())) == sorted(
-        map(tuple, seven_packs.scored.select(keep).collect())
-    )
+    one = hashlib.sha256(b"abc").hexdigest()
+    assert meta["source_sha256"] == hashlib.sha256(one.encode()).hexdigest()
+    assert meta["as_of"] == "2024-03" and meta["built_at"].startswith("20")
+    again = warehouse.market_from_warehouse(spark, path, score=LOOSE)
+    assert scores(again) == scores(seven_packs)
+
+
+def test_a_failed_write_leaves_the_last_version(spark, packs, seven_packs, tmp_path):
+    path = str(tmp_path / "wh")
+    first = warehouse.write_warehouse(seven_packs, derive(packs, "ORBIS*"), path)
+    broken = derive(packs, "ORBIS*").withColumn("row_id", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        warehouse.write_warehouse(seven_packs, broken, path)
+    assert f"/versions/{first}/" in warehouse.read_warehouse(spark, path)["cells"].inputFiles()[0]
+    with pytest.raises(Exception, match="lost"):
+        warehouse.build_warehouse(packs.withColumn("brand", F.raise_error(F.lit("lost")).cast("string")), "ORBIS*", path)
+    assert warehouse.read_warehouse(spark, path)["sku_facts"].count() == 7
+
+
+def test_a_warehouse_is_rewritten_from_itself_and_old_versions_expire(spark, packs, seven_packs, tmp_path):
+    path = str(tmp_path / "wh")
+    warehouse.write_warehouse(seven_packs, derive(packs, "ORBIS*"), path)
+    for _ in range(3):
+        m = warehouse.market_from_warehouse(spark, path, score=LOOSE)
+        last = warehouse.write_warehouse(m, warehouse.read_warehouse(spark, path)["sku_facts"], path, keep=2)
+    kept = sorted(p.name for p in (tmp_path / "wh" / "versions").iterdir())
+    assert len(kept) == 2 and last in kept
+    assert scores(warehouse.market_from_warehouse(spark, path, score=LOOSE)) == scores(seven_packs)
+
+
+def test_a_table_that_was_lost_is_named(spark, packs, seven_packs, tmp_path):
+    path = str(tmp_path / "wh")
+    version = warehouse.write_warehouse(seven_packs, derive(packs, "ORBIS*"), path)
+    (tmp_path / "wh" / "versions" / version / "brand_facts" / "_SUCCESS").unlink()
+    with pytest.raises(warehouse.WarehouseMissing, match="lacks brand_facts"):
+        warehouse.read_warehouse(spark, path)
 
 
 def test_incomplete_warehouse_names_what_is_missing(spark, tmp_path):
