@@ -8,16 +8,16 @@ with probability equal to their weighted Jaccard similarity, and only about t ln
 thrown per document, whatever its length.
 
 Runs of ``rows`` coordinates are band keys. Documents that share a key are candidates; texts that
-are equal are one node from the start, so a key's members are different texts. All members meet
-the key's hub, the one whose keys are shared most. Two members are only brought together if four
-bits of every coordinate, which go along with the key, agree about as often as they must; links
-are then verified exactly on the shingle sets.
-Then, for keys that still hold several components, members outside the largest one lead in turn,
-``leaders`` at a time and twice as many in each further round, and meet the members of other
-components, until every key has one component or all members outside its largest one have led. So
-a group of copies costs a few rows per member and never its pairs; every key is compared
-completely, whatever number of components it holds, and one whose texts stay apart costs the pairs
-of them (of their sketches first).
+are equal are one node from the start, so a key's members are different texts. First all members
+meet the key's hub, the one whose keys are shared most: pairs whose sketches, four bits of every
+coordinate, agree about as often as they must are verified exactly on the shingle sets. Most copies
+are then in one component. The keys that still hold several are compared completely, as arrays
+inside tasks: a key's members, cut into blocks of bounded size and their pairs of blocks, are held
+against each other by their sketches, members without a possible partner in another component go,
+and the exact sets of the others give the links. Of these a block hands on only those that join
+components, fewer than it has members. So no pair is ever a row: a group of copies costs a few rows
+per member, and a key whose texts stay apart costs array work on the pairs of them. A key of m
+members beyond the block has (m / block) ** 2 / 2 pairs of blocks.
 
 Defined cases: a text of one to four words is one shingle; texts without a word are near nothing
 but equal texts; null texts are classes of their own; repeated rows and equal texts share a class;
@@ -49,8 +49,12 @@ class DartConfig:
     similarity: float = 0.8
     bands: int = 32
     rows: int = 6  # at most 16; bands at most 60
-    leaders: int = 8
     seed: int = 3
+    #: Most texts, and most shingles, of a block in the complete comparison of a key.
+    block: int = 1024
+    block_shingles: int = 2_000_000
+    #: Positions of the bit map that spares splitting texts without a partner.
+    map_bits: int = 26
     #: How far below ``similarity`` the estimate from the sketch may lie: 3.7 standard deviations.
     slack: float = 0.11
 
@@ -193,25 +197,42 @@ def signatures(docs: DataFrame, config: DartConfig) -> DataFrame:
     return given.mapInArrow(signed, schema)
 
 
+def node_map(nodes: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each node's hash modulo 2 ** bits: a table of fixed size, whatever the corpus."""
+    place = F.pmod("node", F.lit(1 << bits))
+    words = nodes.groupBy(F.shiftright(place, 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(pmod(node, 64) as int))")).alias("bits")
+    )
+    out = np.zeros(1 << (bits - 6), np.int64)
+    for word, value in words.collect():
+        out[word] = value
+    return out
+
+
 def candidate_sets(docs: DataFrame, wanted: DataFrame, config: DartConfig) -> DataFrame:
     """(node, elements): the shingle sets of the wanted (node, ident), one row each.
 
-    ``ident`` names one document of the node, so equal texts do not meet in the join.
+    ``ident`` names one document of the node, so equal texts do not meet in the join. Texts are
+    split where they lie, but for those whose bit says that no wanted node has their hash.
     """
     node = F.xxhash64("text")
     ident = F.coalesce(F.col("doc_id").cast("string"), node.cast("string"))
     given = docs.where(F.col("text").isNotNull()).select(node.alias("node"), ident.alias("ident"), "text")
-    met = given.join(wanted, ["node", "ident"]).select("node", "text")
+    bits, size = node_map(wanted, config.map_bits), 1 << config.map_bits
 
     def split(batches):
         for batch in batches:
+            place = batch.column(0).to_numpy() % size
+            maybe = pa.array((bits[place >> 6] >> (place & 63)) & 1 == 1)
+            batch = batch.filter(maybe)
             sets = []
-            for _, data, offsets in text_chunks(batch.column(1)):
+            for _, data, offsets in text_chunks(batch.column(2)):
                 sets += shingles(data, offsets, config.shingle)
             values = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), values], ["node", "elements"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), values], ["node", "ident", "elements"])
 
-    return met.mapInArrow(split, "node long, elements array<long>").dropDuplicates(["node"])
+    sets = given.mapInArrow(split, "node long, ident string, elements array<long>")
+    return sets.join(wanted, ["node", "ident"]).select("node", "elements").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, config: DartConfig) -> DataFrame:
@@ -279,6 +300,131 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return stage(old.union(joined.join(labels, "node", "left_anti").select("node", "comp")), "dedup-labels")
 
 
+def _groups(column: pa.Array):
+    """(bounds, struct fields) of a list<struct> column."""
+    values, offsets = column.flatten(), column.offsets.to_numpy()
+    return (offsets - offsets[0]).tolist(), {f.name: values.field(f.name) for f in values.type}
+
+
+def _across(comp: np.ndarray, part: np.ndarray, other: bool) -> np.ndarray:
+    """The pairs of a cell that may count: different components, and of two blocks one of each."""
+    pairs = comp[:, None] != comp[None, :]
+    return pairs & (part[:, None] != part[None, :]) if other else pairs
+
+
+def _agreeing(sketch: np.ndarray, pairs: np.ndarray, most: int) -> np.ndarray:
+    """Whether each row has a partner in ``pairs`` that differs in at most ``most`` coordinates."""
+    ones = np.uint64(0x1111111111111111)
+    live = np.zeros(len(sketch), bool)
+    for i in np.flatnonzero(pairs.any(axis=1)).tolist():
+        at = np.flatnonzero(pairs[i])
+        x = sketch[at] ^ sketch[i]
+        x |= x >> np.uint64(2)
+        x |= x >> np.uint64(1)
+        live[i] = (np.bitwise_count(x & ones).sum(axis=1, dtype=np.int64) <= most).any()
+    return live
+
+
+def _shared(elements: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
+    """(rows, rows) counts of shared elements; the elements of a row are distinct."""
+    out = np.zeros((rows, rows), np.float32)
+    order = np.argsort(elements, kind="stable")
+    e, o = elements[order], owner[order]
+    start = np.flatnonzero(np.concatenate(([True], e[1:] != e[:-1])))
+    size = np.diff(np.append(start, len(e)))
+    keep = np.repeat(size > 1, size)
+    number = np.repeat(np.cumsum(size > 1) - 1, size)[keep]
+    o = o[keep]
+    step = max(1, 4_000_000 // rows)
+    for first in range(0, int(number[-1]) + 1 if len(number) else 0, step):
+        a, b = np.searchsorted(number, [first, first + step])
+        table = np.zeros((rows, step), np.float32)
+        table[o[a:b], number[a:b] - first] = 1
+        out += table @ table.T
+    return out
+
+
+def _joining(node: np.ndarray, comp: np.ndarray, close: np.ndarray) -> list[tuple[int, int]]:
+    """Links, among the ``close`` pairs, that join components: fewer than there are rows."""
+    root = {c: c for c in comp.tolist()}
+
+    def top(c):
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(close, 1)))):
+        a, b = top(int(comp[i])), top(int(comp[j]))
+        if a != b:
+            root[a] = b
+            out.append((int(min(node[i], node[j])), int(max(node[i], node[j]))))
+    return out
+
+
+def open_links(met: DataFrame, labels: DataFrame, facts: DataFrame, sets: DataFrame, config: DartConfig) -> DataFrame:
+    """(a, b): links between the components that share a key, found by comparing it completely.
+
+    ``met`` has (key, node), ``facts`` (node, n, sketch).
+    """
+    known = facts.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    now = met.select("key", "node").join(known.select("node", "n", "comp"), "node")
+    keys = now.groupBy("key").agg(
+        F.count(F.lit(1)).alias("m"), F.sum("n").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")
+    )
+    blocks = F.greatest(F.ceil(F.col("m") / config.block), F.ceil(F.col("size") / config.block_shingles))
+    keys = keys.where("low <> high").select("key", blocks.cast("int").alias("blocks"))
+    rows = stage(now.select("key", "node").join(keys, "key"), "dedup-open")
+    part = F.pmod(F.xxhash64("node", F.lit(config.seed)), F.col("blocks")).cast("int")
+    rows = rows.withColumn("part", part).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = ["key", "ca", "cb"]
+    rows = rows.select("key", F.least("part", "with").alias("ca"), F.greatest("part", "with").alias("cb"), "node", "part")
+    held = F.collect_list(F.struct("node", "part", "comp", "n", "sketch")).alias("members")
+    groups = rows.join(known.select("node", "comp", "n", "sketch"), "node").groupBy(*cell).agg(held)
+    most = int(config.coordinates * (1 - (config.similarity - config.slack)) * 15 / 16)
+
+    def possible(batches):
+        for batch in batches:
+            bounds, f = _groups(batch.column("members"))
+            words = f["sketch"].flatten().to_numpy().view(np.uint64).reshape(len(f["node"]), -1)
+            node, part, comp, n = (f[c].to_numpy() for c in ("node", "part", "comp", "n"))
+            live = np.zeros(len(node), bool)
+            other = (batch.column("ca").to_numpy() != batch.column("cb").to_numpy()).tolist()
+            for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
+                pairs = _across(comp[a:b], part[a:b], other[k])
+                m = n[a:b]
+                pairs &= np.minimum(m[:, None], m) >= config.similarity * np.maximum(m[:, None], m)
+                live[a:b] = _agreeing(words[a:b], pairs, most)
+            at = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[live]
+            columns = [batch.column(c).take(pa.array(at)) for c in cell]
+            columns += [pa.array(x[live]) for x in (node, part, comp)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*cell, "node", "part", "comp"])
+
+    live = groups.mapInArrow(possible, "key long, ca int, cb int, node long, part int, comp long")
+    live = stage(live, "dedup-live")
+    held = F.collect_list(F.struct("node", "part", "comp", "elements")).alias("members")
+    groups = live.join(sets, "node").groupBy(*cell).agg(held)
+
+    def linked(batches):
+        for batch in batches:
+            bounds, f = _groups(batch.column("members"))
+            node, part, comp = (f[c].to_numpy() for c in ("node", "part", "comp"))
+            values, offsets = f["elements"].flatten().to_numpy(), f["elements"].offsets.to_numpy()
+            offsets = offsets - offsets[0]
+            other = (batch.column("ca").to_numpy() != batch.column("cb").to_numpy()).tolist()
+            found = []
+            for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
+                size = np.diff(offsets[a : b + 1])
+                owner = np.repeat(np.arange(b - a), size)
+                shared = _shared(values[offsets[a] : offsets[b]], owner, b - a)
+                close = shared >= config.similarity * (size[:, None] + size[None, :] - shared) - 1e-9
+                found += _joining(node[a:b], comp[a:b], close & _across(comp[a:b], part[a:b], other[k]))
+            a, b = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return groups.mapInArrow(linked, "a long, b long").distinct()
+
+
 def node_components(docs: DataFrame, signed: DataFrame, config: DartConfig) -> DataFrame | None:
     """(node, comp) of the nodes with a verified link; None if no key is shared."""
     nodes = (
@@ -292,75 +438,27 @@ def node_components(docs: DataFrame, signed: DataFrame, config: DartConfig) -> D
         )
     )
     nodes = stage(nodes, "dedup-nodes")
-    keyed = nodes.select("node", "n", F.explode("bands").alias("key"))
+    keyed = nodes.select("node", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     met = stage(keyed.join(shared, "key"), "dedup-met")
     support = met.groupBy("node").agg(F.sum("members").alias("support"))
-    support = stage(support, "dedup-support")
-    if support.isEmpty():
+    facts = nodes.select("node", "ident", "n", "sketch").join(support, "node")
+    facts = stage(facts, "dedup-facts")
+    if facts.isEmpty():
         return None
-    shared_nodes = nodes.join(support, "node").select("node", "ident", "sketch", "support")
-    members = met.join(shared_nodes, "node").select("key", "node", "n", "sketch", "support")
-    members = stage(members, "dedup-members")
-    wanted = shared_nodes.select("node", "ident")
-    sets = stage(candidate_sets(docs, wanted, config), "dedup-sets")
-
-    fits = F.least("n", "ln") >= config.similarity * F.greatest("n", "ln")
-    fits = fits & alike("sketch", "lsketch", config)
-    pair = [F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")]
+    sets = stage(candidate_sets(docs, facts.select("node", "ident"), config), "dedup-sets")
+
     best = F.struct("support", "node")
-    hubs = members.groupBy("key").agg(F.max_by(F.struct("node", "n", "sketch"), best).alias("hub"))
-    hubs = hubs.select(
-        "key", F.col("hub.node").alias("leader"), F.col("hub.n").alias("ln"), F.col("hub.sketch").alias("lsketch")
-    )
-    pairs = members.join(hubs, "key").where((F.col("node") != F.col("leader")) & fits).select(*pair).distinct()
-    tested = stage(pairs, "dedup-pairs")
-    labels = components(stage(verified(tested, sets, config), "dedup-verified"))
-    led = hubs.select("key", F.col("leader").alias("node"))
-    turns = config.leaders
-    while True:
-        comp = F.coalesce("comp", "node").alias("comp")
-        now = members.join(labels, "node", "left").select("key", "node", "n", "sketch", "support", comp)
-        now = stage(now, "dedup-now")
-        sizes = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
-        open_keys = sizes.groupBy("key").agg(
-            F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("size", "comp")).alias("largest")
-        )
-        open_keys = open_keys.where("comps > 1").select("key", "largest")
-        order = Window.partitionBy("key").orderBy(F.desc("support"), "node")
-        leaders = (
-            now.join(open_keys, "key")
-            .where("comp <> largest")
-            .join(led, ["key", "node"], "left_anti")
-            .withColumn("turn", F.row_number().over(order))
-            .where(F.col("turn") <= turns)
-            .select(
-                "key",
-                F.col("node").alias("leader"),
-                F.col("n").alias("ln"),
-                F.col("sketch").alias("lsketch"),
-                F.col("comp").alias("lcomp"),
-            )
-        )
-        leaders = stage(leaders, "dedup-leaders")
-        if leaders.isEmpty():
-            return labels
-        # A pair meets at every key that it shares and its leader leads. Sketches may agree in a band
-        # whose keys differ, so they cannot say which of these is the first.
-        pairs = (
-            now.join(leaders, "key")
-            .where((F.col("comp") != F.col("lcomp")) & fits)
-            .select(*pair)
-            .distinct()
-            .join(tested, ["a", "b"], "left_anti")
-        )
-        pairs = stage(pairs, "dedup-pairs")
-        found = stage(verified(pairs, sets, config), "dedup-verified")
-        if not found.isEmpty():
-            labels = merged(labels, found)
-        tested = tested.union(pairs)
-        led = led.union(leaders.select("key", F.col("leader").alias("node")))
-        turns *= 2
+    hubs = met.join(facts.select("node", "support"), "node").groupBy("key").agg(F.max_by("node", best).alias("hub"))
+    pair = [F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")]
+    pairs = met.join(hubs, "key").where("node <> hub").select(*pair).distinct()
+    left = facts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    right = facts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    fits = (F.least("na", "nb") >= config.similarity * F.greatest("na", "nb")) & alike("sa", "sb", config)
+    pairs = stage(pairs.join(left, "a").join(right, "b").where(fits).select("a", "b"), "dedup-pairs")
+    labels = components(stage(verified(pairs, sets, config), "dedup-verified"))
+    found = stage(open_links(met, labels, facts, sets, config), "dedup-verified")
+    return labels if found.isEmpty() else merged(labels, found)
 
 
 def classes(docs: DataFrame, config: DartConfig = DartConfig()) -> DataFrame:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from spacelens.llm import dart_dedup as dd
@@ -79,7 +80,7 @@ def test_links_beyond_the_hub_are_found(spark):
         for k in rng.sample(range(400), 5):
             words[k] = f"x{rng.randrange(10**6)}"
     assert len(set(true_classes(rows))) == 1
-    assert {c for _, c in classes(spark, rows, dd.DartConfig(leaders=2))} == {0}
+    assert {c for _, c in classes(spark, rows, dd.DartConfig(block=4))} == {0}
 
 
 def test_short_empty_null_and_repeated(spark):
@@ -196,11 +197,34 @@ def test_a_pair_is_made_where_keys_agree_not_where_sketches_do(spark):
     assert frozenset((x[0], y[0])) in linked(spark, [x, y, second, hub], keys, config)
 
 
-def test_a_round_without_links_does_not_end_the_search(spark):
-    config, pair = dd.DartConfig(leaders=2), " ".join(f"p{k}" for k in range(60))
+@pytest.mark.parametrize("block, shingles", [(1024, 2_000_000), (5, 2_000_000), (1024, 300)])
+def test_a_pair_among_many_unlike_texts_of_one_key(spark, block, shingles):
+    config, pair = dd.DartConfig(block=block, block_shingles=shingles), " ".join(f"p{k}" for k in range(60))
     texts = by_node(spark, [*unlike(30), pair, pair + " more"])
     near = [i for i, (_, t) in enumerate(texts) if t.startswith(pair)]
-    # Leaders come in order of nodes: the first round does not reach the pair, and the hub is neither.
-    assert 2 < near[0] and near[1] < len(texts) - 1
+    assert near[1] < len(texts) - 1  # the hub, the last node, is neither
     keys = [[7] + [config.bands * (i + 1) + b for b in range(1, config.bands)] for i in range(len(texts))]
     assert frozenset(texts[i][0] for i in near) in linked(spark, texts, keys, config)
+
+
+def test_shared_counts_and_joining_links():
+    rng = np.random.default_rng(5)
+    rows = [np.unique(rng.integers(0, 40, 30)) for _ in range(9)]
+    owner = np.repeat(np.arange(9), [len(r) for r in rows])
+    got = dd._shared(np.concatenate(rows), owner, 9)
+    for i in range(9):
+        for j in range(i):
+            assert got[i, j] == got[j, i] == len(np.intersect1d(rows[i], rows[j]))
+    comp = np.array([1, 1, 2, 3, 3, 4, 5, 6, 7])
+    links = dd._joining(np.arange(9), comp, np.ones((9, 9), bool))
+    assert len(links) == len(set(comp.tolist())) - 1
+    assert dd._joining(np.arange(9), comp, np.zeros((9, 9), bool)) == []
+
+
+def test_the_bit_map_misses_no_node(spark):
+    nodes = spark.range(2000).select(F.xxhash64("id").alias("node"))
+    bits = dd.node_map(nodes, 10)
+    assert len(bits) == 16
+    for r in nodes.collect():
+        at = r["node"] % 1024
+        assert bits[at >> 6] >> (at & 63) & 1
