@@ -9,8 +9,10 @@ each reading of a document is a demand; the inverse of the cumulative demand is
 position of that reading. Documents are range-sorted by position.
 
 Defined cases: null texts have size 0 and are never taken; a null source is a source of its own,
-last in order; the reading that reaches the target takes only the words still missing; repeated
-rows are documents of their own, ties in order are broken by size; an empty table or one without
+last in order; texts are taken whole: the reading at which the demand ends is taken or left,
+whichever lies nearer, and a source's long documents stand where the demand does not end among
+them, if there is such a place; repeated rows are documents of their own, ties in order are broken
+by size; an empty table or one without
 words gives targets of 0. Reruns agree: the order is md5 of the id. Input columns of any name are
 kept in the struct ``row``.
 """
@@ -31,6 +33,8 @@ class MixConfig:
     for each word there is. most: how often a source may be read.
     """
 
+    #: Words from which a document is long: such are kept away from the end of a source's demand.
+    long: int = 2000
     weights: tuple[float, ...] = (5.0, 2.0, 1.0)
     slopes: tuple[float, ...] = (-0.6, 0.0, 0.6)
     share: float = 1.5
@@ -72,45 +76,48 @@ def placed(docs: DataFrame, config: MixConfig = MixConfig(), payload: bool = Tru
     """Every document with its source's numbers and its ``readings``: structs (words, position).
 
     The words before a document in its source come from two short running sums: inside one of
-    256 slices of the random order, and over the slices' totals, so a source that holds a third
-    of all rows is worked on by 256 tasks. Without ``payload`` only ids and sizes are shuffled.
+    256 slices of the random order (and as many of the long documents), and over the slices'
+    totals, so a source that holds a third of all rows is worked on by 256 tasks. Without ``payload`` only ids and sizes are shuffled.
     """
     size = word_count(F.col("row.text"))
+    turn = F.md5(F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")))
+    cell = [(F.col("size") >= config.long).alias("is_long"), F.substring("turn", 1, 2).alias("slice")]
     kept = F.col("row") if payload else F.struct("row.doc_id", "row.source").alias("row")
     sized = packed(docs).select(
         kept,
         F.col("row.doc_id").alias("doc_id"),
         F.col("row.source").alias("source"),
         size.alias("size"),
-        F.md5(F.coalesce(F.col("row.doc_id").cast("string"), F.lit(""))).alias("turn"),
-    ).withColumn("slice", F.substring("turn", 1, 2))
+        turn.alias("turn"),
+    ).select("*", *cell)
     slim = packed(docs.select("doc_id", "source", "text")).select(
-        F.col("row.source").alias("source"),
-        word_count(F.col("row.text")).alias("size"),
-        F.substring(F.md5(F.coalesce(F.col("row.doc_id").cast("string"), F.lit(""))), 1, 2).alias("slice"),
-    )
-    slices = slim.groupBy("source", "slice").agg(F.sum("size").alias("size"))
-    in_source = Window.partitionBy("source").orderBy("slice")
-    starts = slices.select(
-        "source",
-        "slice",
-        (F.sum("size").over(in_source) - F.col("size")).alias("slice_start"),
-    )
-    per = targets(slices, config)
-    starts = starts.join(per.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
-    starts = starts.withColumnsRenamed({"source": "_source", "slice": "_slice"}).drop("_s")
-    in_slice = Window.partitionBy("source", "slice").orderBy("turn", "size")
+        F.col("row.source").alias("source"), size.alias("size"), turn.alias("turn")
+    ).select("source", "size", *cell)
+    slices = slim.groupBy("source", "is_long", "slice").agg(F.sum("size").alias("size"))
+    per = targets(slices, config).withColumn("demand", F.round("target").cast("long"))
+    slices = slices.join(per.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
+    long_words = F.sum(F.when(F.col("is_long"), F.col("size")).otherwise(0)).over(Window.partitionBy("source"))
+    # Long documents first if the last pass holds them all, else last.
+    first = F.try_mod(F.col("demand"), F.col("source_size")) >= F.col("long_words")
+    in_source = Window.partitionBy("source").orderBy(F.col("is_long") != F.coalesce("first", F.lit(False)), "slice")
+    starts = slices.withColumn("long_words", long_words).withColumn("first", first)
+    starts = starts.withColumn("slice_start", F.sum("size").over(in_source) - F.col("size"))
+    starts = starts.withColumnsRenamed({"is_long": "_long", "slice": "_slice"}).drop("source", "size", "first", "long_words")
+    in_slice = Window.partitionBy("source", "is_long", "slice").orderBy("turn", "size")
     running = F.sum("size").over(in_slice.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ordered = sized.withColumn("_before", running - F.col("size"))
     met = ordered.join(
         starts,
-        F.col("source").eqNullSafe(F.col("_source")) & (F.col("slice") == F.col("_slice")),
+        F.col("source").eqNullSafe(F.col("_source"))
+        & (F.col("is_long") == F.col("_long"))
+        & (F.col("slice") == F.col("_slice")),
     )
-    demand = F.round("target").cast("long")
+    demand = F.col("demand")
 
     def reading(k):
         start = k * F.col("source_size") + F.col("slice_start") + F.col("_before")
-        words = F.greatest(F.lit(0), F.least(F.col("size"), demand - start))
+        # The document at which the demand ends is read whole or left, whichever lies nearer.
+        words = F.when(2 * (demand - start) >= F.col("size"), F.col("size")).otherwise(F.lit(0).cast("long"))
         middle = F.when(words > 0, (start + words / 2) / demand)
         return F.struct(words.alias("words"), inverse_demand(middle, F.col("slope")).alias("position"))
 
@@ -138,26 +145,13 @@ def mix_plan(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     return plan.repartitionByRange("position", "turn").sortWithinPartitions("position", "turn").drop("turn")
 
 
-def _first_words(text: Column, words: Column) -> Column:
-    """The text up to the end of its ``words``-th word."""
-    pieces = F.split(text, r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
-    lead = F.when(text.rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
-    return F.array_join(F.slice(pieces, F.lit(1), words + lead), "")
-
-
 def mixed_documents(docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
     """The training stream: a row with the document's columns for each reading, range-sorted.
 
-    A reading that takes a part of a document has its first words only; ``n_chars``, where there
-    is such a column, follows the text.
+    Texts are whole: the document at which a source's demand ends is read or left.
     """
-    plan = placed(docs, config).select("row", "turn", "size", F.explode("readings").alias("r"))
-    cut = F.when(F.col("r.words") < F.col("size"), _first_words(F.col("row.text"), F.col("r.words").cast("int")))
-    row = F.col("row").withField("text", F.coalesce(cut.otherwise(F.col("row.text")), F.col("row.text")))
-    plan = plan.select(row.alias("row"), "turn", F.col("r.position").alias("position"))
-    if "n_chars" in docs.columns:
-        n = F.length("row.text").cast(docs.schema["n_chars"].dataType)
-        plan = plan.withColumn("row", F.col("row").withField("n_chars", n))
+    plan = placed(docs, config).select("row", "turn", F.explode("readings").alias("r"))
+    plan = plan.select("row", "turn", F.col("r.position").alias("position"))
     return (
         plan.repartitionByRange("position", "turn")
         .sortWithinPartitions("position", "turn")

@@ -33,17 +33,23 @@ aimed AS (
                      / sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER () END AS target
     FROM filled
 ),
-ordered AS (
-    SELECT s.doc_id, s.source, s.size, a.source_size, a.target, a.slope,
+line AS (
+    SELECT s.doc_id, s.source, s.size, s.turn, s.size >= 2000 AS is_long, a.source_size, a.target, a.slope,
            round(a.target)::BIGINT AS demand,
-           (sum(s.size) OVER (PARTITION BY s.source ORDER BY s.turn, s.size
-                              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT - s.size AS before
+           sum(CASE WHEN s.size >= 2000 THEN s.size ELSE 0 END) OVER (PARTITION BY s.source) AS long_words
     FROM sized s JOIN aimed a ON s.source IS NOT DISTINCT FROM a.source
 ),
+ordered AS (
+    SELECT doc_id, source, size, source_size, target, slope, demand,
+           (sum(size) OVER (PARTITION BY source
+                            ORDER BY is_long <> coalesce(demand % nullif(source_size, 0) >= long_words, false), turn, size
+                            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT - size AS before
+    FROM line
+),
 readings AS (
     SELECT *,
-           greatest(0, least(size, demand - before)) AS w0,
-           greatest(0, least(size, demand - source_size - before)) AS w1
+           CASE WHEN 2 * (demand - before) >= size THEN size ELSE 0 END AS w0,
+           CASE WHEN 2 * (demand - source_size - before) >= size THEN size ELSE 0 END AS w1
     FROM ordered
 ),
 middles AS (

@@ -42,10 +42,11 @@ def test_run_against_brute_force(spark, tmp_path):
     taken = {}
     for r in out:
         assert r["round_trip"] and r["doc_id"] in kept
-        assert kept[r["doc_id"]][1].startswith(r["text"]) and r["n_chars"] == len(r["text"])
+        assert (kept[r["doc_id"]][1], kept[r["doc_id"]][4]) == (r["text"], r["n_chars"])
         taken[r["source"]] = taken.get(r["source"], 0) + words(r["text"])
     total = sum(words(r[1]) for r in kept.values())
-    assert abs(sum(taken.values()) - 1.5 * total) <= 3
+    # Of each source's last document at most half is missing or too much.
+    assert abs(sum(taken.values()) - 1.5 * total) <= 3 * (1 + max(words(r[1]) for r in kept.values()) / 2)
 
 
 def test_stages_keep_columns_and_stand_messy_input(spark, tmp_path):
@@ -62,4 +63,4 @@ def test_stages_keep_columns_and_stand_messy_input(spark, tmp_path):
 
 def test_an_operator_for_each_number():
     numbers = sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
