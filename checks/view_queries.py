@@ -45,7 +45,7 @@ def deep_dive(spark, sf):
     def listed(column, *fields):
         def item(x):
             parts = [
-                F.format_string("%.4f", x[f]) if f.startswith("value") else x[f].cast("string")
+                F.format_string("%.4f", x[f]) if f.startswith("value") or f == "contribution" else x[f].cast("string")
                 for f in fields
             ]
             return F.concat_ws("/", *parts)
@@ -60,6 +60,7 @@ def deep_dive(spark, sf):
             listed("top_companies", "position", "company_clean", "value_t2", "rank_in_space"),
             listed("top_brands", "position", "brand", "company_clean", "value_t2"),
             listed("focal_brands", "position", "brand", "value_t2"),
+            listed("signals", "signal_id", "match_reason", "contribution"),
         )
     )
 

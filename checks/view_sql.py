@@ -85,9 +85,11 @@ ORACLE = {
     "find_space": _sql(SCORED_CTES + LOOKUPS, """SELECT lookup, how, level, space_id FROM (SELECT *, row_number() OVER (PARTITION BY lookup
         ORDER BY how, value_t2 DESC, space_id, level) AS n FROM found WHERE how IS NOT NULL) WHERE n = 1"""),
     "deep_dive": _sql(SCORED_CTES + CARDS, "SELECT s.level, s.space_id, s.space_label, segment, sub_segment, n_players, trend_signal_ids, "
-        "strategic_verdict, coalesce(r.t, '') AS top_companies, coalesce(tb.t, '') AS top_brands, coalesce(fb.t, '') AS focal_brands, "
+        "strategic_verdict, coalesce(r.t, '') AS top_companies, coalesce(tb.t, '') AS top_brands, coalesce(fb.t, '') AS focal_brands, coalesce(sg.t, '') AS signals, "
         + rounded(["value_t2", "value_yoy", "hhi", "focal_share_t2", "trend_multiplier", "priority_score"])
-        + " FROM scored s LEFT JOIN rivals r USING (level, space_id) LEFT JOIN tb USING (level, space_id) LEFT JOIN fb USING (level, space_id)"),
+        + " FROM scored s LEFT JOIN rivals r USING (level, space_id) LEFT JOIN tb USING (level, space_id) LEFT JOIN fb USING (level, space_id) "
+        "LEFT JOIN (SELECT level, space_id, string_agg(signal_id || '/' || match_reason || '/' || printf('%.4f', contribution), '; ' ORDER BY signal_id) AS t "
+        "FROM links GROUP BY 1, 2) sg USING (level, space_id)"),
     "space_signals": _sql(ENRICHED_CTES, "SELECT level, space_id, signal_id, match_reason, " + r("contribution") + " FROM links"),
     "compare_spaces": "WITH " + SCORED_CTES.strip() + TRADE,
     "competitor_profile": _sql(GROWN_CTES.rstrip().rstrip(",") + RESOLVED, """SELECT company_clean AS company, round(v2, 1) AS value,

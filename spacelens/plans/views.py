@@ -103,7 +103,7 @@ def find_spaces(scored: DataFrame, lookups: DataFrame) -> DataFrame:
 
 
 def deep_dive(m: Market, companies: int = 8, brands: int = 6) -> DataFrame:
-    """Evidence card of every scored space: metrics plus short lists of structs."""
+    """Evidence card of every scored space: metrics, short lists of structs and its signals."""
     rivals = top_competitors(m.company_facts, companies).groupBy(*SPACE_KEYS).agg(
         F.array_sort(
             F.collect_list(
@@ -125,8 +125,12 @@ def deep_dive(m: Market, companies: int = 8, brands: int = 6) -> DataFrame:
     top = shown(m.brand_facts, "top_brands")
     # Focal brands come from all brands of the space, not from the largest few.
     own = shown(m.brand_facts.where("is_focal AND value_t2 > 0"), "focal_brands")
-    out = m.scored.join(rivals, SPACE_KEYS, "left").join(top, SPACE_KEYS, "left")
-    return out.join(own, SPACE_KEYS, "left")
+    out = m.scored.join(rivals, SPACE_KEYS, "left").join(top, SPACE_KEYS, "left").join(own, SPACE_KEYS, "left")
+    if m.signals is None:
+        return out.withColumn("signals", F.lit(None).cast("array<struct<signal_id: string, match_reason: string, contribution: double>>"))
+    # Why each signal speaks for or against the space, and by how much.
+    listed = F.array_sort(F.collect_list(F.struct("signal_id", "match_reason", "contribution")))
+    return out.join(space_signals(m).groupBy(*SPACE_KEYS).agg(listed.alias("signals")), SPACE_KEYS, "left")
 
 
 def space_signals(m: Market) -> DataFrame:
