@@ -12,7 +12,8 @@ the data are walked together: a pair of nodes is dropped when
 c being centres and r covering radii. Each block hands on the best k of each query, and the best
 k of those are the result. Scores are integers and exact, ties go to the smaller id.
 
-Defined cases: vectors that are null, or hold null or non-finite components, take no part; vectors
+Defined cases: rows without an id and vectors that are null, or hold null or non-finite components,
+take no part; vectors whose inner products might leave 64 bits are refused with an error; vectors
 of different lengths are never compared; repeated rows are candidates of their own, except that a
 row never answers a query of its own id; a query with fewer than k candidates gets all; empty
 vectors have inner product 0; an empty table gives an empty result.
@@ -48,12 +49,12 @@ class SearchConfig:
 
 
 def usable(vectors: DataFrame, column: str) -> DataFrame:
-    """(vec_id, v): rows without null or non-finite components."""
+    """(vec_id, v): rows with an id and without null or non-finite components."""
     odd = F.exists(
         column,
         lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")),
     )
-    return vectors.where(F.col(column).isNotNull() & ~odd).select("vec_id", F.col(column).alias("v"))
+    return vectors.where(F.col("vec_id").isNotNull() & F.col(column).isNotNull() & ~odd).select("vec_id", F.col(column).alias("v"))
 
 
 def integral(v: Column, scale: int) -> Column:
@@ -61,9 +62,15 @@ def integral(v: Column, scale: int) -> Column:
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer inner products; in floating point where no sum can round."""
-    if a.size and b.size and float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < EXACT:
+    """Exact integer inner products; in floating point where no sum can round.
+
+    Vectors whose products might leave 64 bits are refused.
+    """
+    most = float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] if a.size and b.size else 0.0
+    if most < EXACT:
         return (a.astype(float) @ b.astype(float).T).astype(np.int64)
+    if most >= 2.0**63:
+        raise OverflowError("components are too large for inner products of 64 bits")
     return a @ b.T
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from spacelens.llm import cover_search as cs
@@ -83,3 +84,15 @@ def test_pruning_skips_work():
     for i, own in enumerate(best):
         want = sorted(((-s, j) for j, s in enumerate(scores[i]) if j != i))[:5]
         assert sorted((-s, -j) for s, j in own) == [(s, j) for s, j in want]
+
+
+def test_rows_without_an_id_take_no_part(spark):
+    rows = [(0, [1.0, 2.0]), (None, [9.0, 9.0]), (1, [2.0, 2.0]), (50, [0.5, 0.5]), (None, None)]
+    assert found(spark, rows) == brute([r for r in rows if r[0] is not None])
+
+
+def test_products_that_leave_64_bits_are_refused():
+    big = np.full((1, 2), 3 * 10**9, np.int64)
+    with pytest.raises(OverflowError):
+        cs.products(big, big)
+    assert cs.products(big // 2, big // 2).tolist() == [[2 * (15 * 10**8) ** 2]]
