@@ -13,7 +13,7 @@ c being centres and r covering radii. Each block hands on the best k of each que
 k of those are the result. Scores are integers and exact, ties go to the smaller id.
 
 Defined cases: rows without an id and vectors that are null, or hold null or non-finite components,
-take no part; vectors whose inner products might leave 64 bits are refused with an error; vectors
+take no part; vectors with inner products beyond 64 bits are refused with an error; vectors
 of different lengths are never compared; repeated rows are candidates of their own, except that a
 row never answers a query of its own id; a query with fewer than k candidates gets all; empty
 vectors have inner product 0; an empty table gives an empty result.
@@ -64,12 +64,12 @@ def integral(v: Column, scale: int) -> Column:
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact integer inner products; in floating point where no sum can round.
 
-    Vectors whose products might leave 64 bits are refused.
+    Sums that wrap on the way are exact in the end; vectors with a product beyond 64 bits are refused.
     """
     most = float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] if a.size and b.size else 0.0
     if most < EXACT:
         return (a.astype(float) @ b.astype(float).T).astype(np.int64)
-    if most >= 2.0**63:
+    if most >= 2.0**63 and np.abs(a.astype(float) @ b.astype(float).T).max() >= 2.0**63 * (1 - 1e-9):
         raise OverflowError("components are too large for inner products of 64 bits")
     return a @ b.T
 
