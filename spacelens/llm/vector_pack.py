@@ -2,7 +2,7 @@
 
 Equal texts form a group and stay together as far as the law allows. A group of more than a
 ``1 / (shards * grain)`` share of all bytes is cut into parts of about that size by a hash of the
-id; all other groups are gathered by hash into a fixed number of cells. What is packed is
+id and the row's place in its input split, so rows without an id or with the same one part too; all other groups are gathered by hash into a fixed number of cells. What is packed is
 therefore a table of bounded length, whatever the input: at most ``cells`` cells and
 ``2 * shards * grain`` parts. They are placed largest first, each into the shard where the dot
 product of its (bytes, words, rows) with the shard's residual capacity is highest.
@@ -64,6 +64,8 @@ def sized(docs: DataFrame, payload: bool = True) -> DataFrame:
         F.crc32(text).alias("text_crc32"),
         F.xxhash64(text).alias("key"),
         F.xxhash64(F.col("row.doc_id").cast("string")).alias("salt"),
+        # Fixed once the table is written.
+        F.xxhash64(F.col("row.doc_id").cast("string"), F.monotonically_increasing_id()).alias("deal"),
     )
 
 
@@ -91,7 +93,7 @@ def assigned(docs: DataFrame, config: PackConfig = PackConfig(), payload: bool =
     # Each large group has over a unit of the bytes, so there are at most shards * grain of them.
     same = (F.col("key") == F.col("_key")) & F.col("text_crc32").eqNullSafe(F.col("_crc"))
     cell = F.when(F.col("parts").isNull(), F.pmod("key", F.lit(config.cells))).otherwise(
-        config.cells + F.pmod(F.xxhash64("key", F.pmod(F.col("salt"), F.col("parts"))), F.lit(1 << 40))
+        config.cells + F.pmod(F.xxhash64("key", F.pmod(F.col("deal"), F.col("parts"))), F.lit(1 << 40))
     )
     celled = rows.join(F.broadcast(large), same, "left").withColumn("cell", cell)
     items = celled.groupBy("cell").agg(*[F.sum(m).alias(m) for m in MEASURES]).orderBy("cell").toPandas()

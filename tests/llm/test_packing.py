@@ -35,6 +35,15 @@ def test_a_hot_group_is_cut_and_balance_holds(spark):
     assert total.max() / total.mean() < 1.03 and total.min() / total.mean() > 0.97
 
 
+def test_copies_without_an_id_and_with_one_id_are_cut_too(spark):
+    rows = [(None, "the same text for many rows, " * 7)] * 2000 + [(7, "one id for all of these rows, " * 5)] * 1000
+    rows += [(1000 + i, f"another text {i} " * (1 + i % 9)) for i in range(2000)]
+    out = vp.shard_table(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    check(out, rows)
+    total = np.bincount([r["shard"] for r in out], [r["size"] for r in out], 16)
+    assert total.max() / total.mean() < 1.05 and total.min() / total.mean() > 0.95
+
+
 def test_small_groups_stay_together(spark):
     rows = [(i, f"text {i // 3}") for i in range(12000)]
     out = vp.shard_table(spark.createDataFrame(rows, "doc_id long, text string")).collect()
