@@ -423,28 +423,88 @@ def register_views(m: Market) -> None:
         getattr(m, name).createOrReplaceTempView(name)
 
 
-def _statements(plan) -> list:
-    """A parsed plan's node and all below it."""
-    children = plan.children()
-    return [plan, *(n for i in range(children.size()) for n in _statements(children.apply(i)))]
+#: What an ad hoc query may stand on: registered views, values, ranges and its own named queries.
+OWN_LEAVES = {"View", "LocalRelation", "OneRowRelation", "Range", "CTERelationRef", "ResolvedInlineTable"}
+#: Leaves of a query that is parsed only.
+PARSED_LEAVES = {"UnresolvedRelation", "OneRowRelation", "LocalRelation", "UnresolvedInlineTable", "UnresolvedTableValuedFunction"}
+#: Functions that call any static method of the virtual machine.
+REFLECTING = {"reflect", "java_method", "try_reflect"}
+BUILT_IN = "org.apache.spark.sql.catalyst."
+USER_CODE = {"CallMethodViaReflection", "ScalaUDF", "PythonUDF", "PythonUDAF", "PythonUDTF", "ScalaUDAF", "ScalaAggregator"}
+
+
+def _items(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _nodes(plan) -> list:
+    """A plan's node and all below it, subqueries and named queries too; views are not opened."""
+    if plan.getClass().getSimpleName() == "View":
+        return [plan]
+    return [plan, *(n for part in (plan.children(), plan.innerChildren()) for c in _items(part) for n in _nodes(c))]
+
+
+def _expressions(node) -> list:
+    """All expressions of one node, nested ones too."""
+    found = _items(node.expressions())
+    for e in found:
+        found.extend(_items(e.children()))
+    return found
+
+
+def _check_parsed(spark: SparkSession, plan) -> None:
+    """Refuses what must not even be analysed: values and arguments are computed there."""
+    find = spark._jvm.java.lang.Class.forName
+    refused = [find(BUILT_IN + "plans.logical." + name) for name in ("Command", "ParsedStatement")]
+    for node in _nodes(plan):
+        kind = node.getClass().getSimpleName()
+        if any(c.isInstance(node) for c in refused):
+            raise ValueError(f"only queries are permitted, not {node.nodeName()}")
+        leaf = node.children().isEmpty() and node.innerChildren().isEmpty()
+        if leaf and kind not in PARSED_LEAVES:
+            raise ValueError(f"not permitted in a query: {kind}")
+        if kind == "UnresolvedRelation" and node.multipartIdentifier().size() > 1:
+            raise ValueError(f"only registered tables can be read, not {node.tableName()}")
+        for e in _expressions(node):
+            kind = e.getClass().getSimpleName()
+            named = kind == "UnresolvedFunction" and e.nameParts().last().lower() in REFLECTING
+            if named or "UnresolvedIdentifier" in kind:
+                raise ValueError(f"not permitted in a query: {e.toString()}")
+
+
+def _check_analysed(plan) -> None:
+    for node in _nodes(plan):
+        kind = node.getClass().getSimpleName()
+        if node.children().isEmpty() and kind not in OWN_LEAVES:
+            raise ValueError(f"only registered tables can be read, not {kind}")
+        if kind == "View":
+            continue
+        for e in _expressions(node):
+            kind = e.getClass().getSimpleName()
+            if kind in USER_CODE or not e.getClass().getName().startswith(BUILT_IN):
+                raise ValueError(f"not permitted in a query: {kind}")
 
 
 def adhoc_sql(spark: SparkSession, query: str, limit: int | None = None) -> DataFrame:
     """One query over the registered tables, all its rows unless ``limit`` says otherwise.
 
     The text is parsed before anything runs; several statements, and any that is or holds a
-    command (insert, create, drop, set ...), are refused, also behind WITH.
+    command (insert, create, drop, set ...), are refused, also behind WITH. So are functions that
+    run other code than Spark's own expressions, and tables that are not registered views (files
+    by path, catalogue tables), before and after names are resolved. Needs a classic session.
     """
     text = query.strip().removesuffix(";")
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
     except Exception as error:
         raise ValueError(f"not one SQL query: {str(error).splitlines()[0]}") from error
-    find = spark._jvm.java.lang.Class.forName
-    logical = "org.apache.spark.sql.catalyst.plans.logical."
-    refused = [find(logical + name) for name in ("Command", "ParsedStatement")]
-    for node in _statements(plan):
-        if any(kind.isInstance(node) for kind in refused):
-            raise ValueError(f"only queries are permitted, not {node.nodeName()}")
+    _check_parsed(spark, plan)
     rows = spark.sql(text)
+    _check_analysed(rows._jdf.queryExecution().analyzed())
     return rows if limit is None else rows.limit(limit)
+
+
+def adhoc_page(spark: SparkSession, query: str, limit: int) -> tuple[DataFrame, bool]:
+    """(the first ``limit`` rows, whether the query has more)."""
+    rows = adhoc_sql(spark, query)
+    return rows.limit(limit), not rows.offset(limit).isEmpty()

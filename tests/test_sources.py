@@ -216,15 +216,39 @@ def test_adhoc_sql_returns_all_rows_of_a_query(spark, seven_packs):
         "SELECT 1; SELECT 2",
         "SELECT 1; DROP VIEW space_facts",
         "EXPLAIN SELECT 1",
+        "SELECT reflect('java.lang.System', 'getProperty', 'user.dir')",
+        "SELECT id FROM range(3) WHERE java_method('java.lang.System', 'nanoTime') > id",
+        "SELECT (SELECT max(try_reflect('java.lang.System', 'nanoTime'))) AS x",
+        "VALUES (reflect('java.lang.System', 'nanoTime'))",
+        "WITH a AS (VALUES (reflect('java.lang.System', 'nanoTime'))) SELECT * FROM a",
+        "SELECT * FROM range(length(reflect('java.lang.System', 'nanoTime')))",
+        "SELECT IDENTIFIER('ref' || 'lect')('java.lang.System', 'nanoTime')",
+        "SELECT * FROM parquet.`/tmp`",
+        "SELECT 1 WHERE EXISTS (SELECT * FROM text.`/etc/hostname`)",
+        "SELECT own_code(id) FROM range(3)",
         "selec 1",
         "",
     ],
 )
 def test_adhoc_sql_refuses_what_is_not_one_query(spark, statement):
+    spark.udf.register("own_code", lambda x: x, "long")
     with pytest.raises(ValueError):
         views.adhoc_sql(spark, statement)
 
 
+def test_adhoc_sql_allows_the_usual_shapes_and_says_when_rows_are_left(spark, seven_packs):
+    views.register_views(seven_packs)
+    query = """WITH big AS (SELECT level, space_id, value_t2, rank() OVER (PARTITION BY level ORDER BY value_t2 DESC) AS r
+        FROM space_facts WHERE value_t2 > (SELECT min(value_t2) - 1 FROM space_facts))
+        SELECT b.level, upper(s.space_label) AS label, count(*) AS n FROM big b JOIN scored s USING (level, space_id)
+        WHERE b.space_id IN (SELECT space_id FROM cells) GROUP BY ALL HAVING count(*) > 0 ORDER BY 1, 2"""
+    every = views.adhoc_sql(spark, query).count()
+    assert every > 1
+    rows, more = views.adhoc_page(spark, query, every - 1)
+    assert rows.count() == every - 1 and more
+    assert not views.adhoc_page(spark, query, every)[1]
+
+
 def test_level_views(spark, seven_packs):
     with pytest.raises(ValueError):
         views.rank_opportunity_spaces(seven_packs, level="shelf")
