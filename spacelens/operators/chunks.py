@@ -10,27 +10,32 @@ from spacelens.functions.text import squash, word_count
 from spacelens.sources.facts import strip
 
 
-def _starts(counts: Column, config: RetrievalConfig) -> Column:
-    """For each paragraph: words carried over if a passage starts here, else null.
+def _cuts(counts: Column, config: RetrievalConfig) -> Column:
+    """One struct per passage: its first paragraph, the words before that, the words carried over.
 
-    Only word counts decide where a passage ends, so the fold runs over integers.
+    One fold over the paragraphs' word counts; the list grows at passage starts only.
     """
     overlap, target = F.lit(config.overlap_words), F.lit(config.chunk_words)
+    none = F.array().cast("array<struct<at: int, before: int, carry: int>>")
     zero = F.struct(
-        F.lit(0).alias("held"), F.array().cast("array<int>").alias("carried")
+        F.lit(0).alias("n"), F.lit(0).alias("words"), F.lit(0).alias("held"), none.alias("cuts")
     )
 
     def step(state: Column, words: Column) -> Column:
-        held = state["held"]
-        cut = (held + words > target) & (F.size(state["carried"]) > 0)
-        kept = F.least(held, overlap)
-        opened = F.when(F.size(state["carried"]) == 0, F.lit(0)).when(cut, kept)
+        held, n = state["held"], state["n"]
+        cut = (n > 0) & (held + words > target)
+        kept = F.when(cut, F.least(held, overlap)).otherwise(0)
+        start = F.struct(n.alias("at"), state["words"].alias("before"), kept.alias("carry"))
         return F.struct(
+            (n + 1).alias("n"),
+            (state["words"] + words).alias("words"),
             F.when(cut, kept + words).otherwise(held + words).alias("held"),
-            F.concat(state["carried"], F.array(opened.cast("int"))).alias("carried"),
+            F.when(cut | (n == 0), F.concat(state["cuts"], F.array(start)))
+            .otherwise(state["cuts"])
+            .alias("cuts"),
         )
 
-    return F.aggregate(counts, zero, step, lambda s: s["carried"])
+    return F.aggregate(counts, zero, step, lambda s: s["cuts"])
 
 
 def chunk_documents(
@@ -50,35 +55,25 @@ def chunk_documents(
             F.transform(F.split(F.coalesce("body", F.lit("")), paragraph), strip), lambda p: p != ""
         ),
     )
-    counted = pieces.withColumn("_n", F.transform("_p", word_count))
-    carried = counted.withColumn("_carry", _starts(F.col("_n"), config))
-    # One row per paragraph with its passage number; whole passages are put together again
-    # inside the row, so no shuffle happens.
-    bounds = carried.withColumn(
-        "_at",
-        F.filter(
-            F.sequence(F.lit(0), F.greatest(F.size("_p") - 1, F.lit(0))),
-            lambda i: F.get(F.col("_carry"), i).isNotNull(),
-        ),
-    ).withColumn(
-        "_words",
-        F.filter(F.split(squash(F.array_join("_p", " ")), " "), lambda w: w != ""),
+    # Passages are put together again inside the row, so no shuffle happens.
+    bounds = pieces.withColumns(
+        {
+            "_cuts": _cuts(F.transform("_p", word_count), config),
+            "_words": F.filter(F.split(squash(F.array_join("_p", " ")), " "), lambda w: w != ""),
+        }
     )
 
-    def passage(i: Column, k: Column) -> Column:
-        following = F.get(F.col("_at"), k + 1)
-        end = F.coalesce(following, F.size("_p"))
-        before = F.aggregate(F.slice("_n", 1, i), F.lit(0), lambda a, n: a + n)
-        carry = F.get(F.col("_carry"), i)
-        tail = F.array_join(F.slice("_words", before - carry + 1, carry), " ")
-        own = F.slice("_p", i + 1, end - i)
+    def passage(cut: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("_cuts", k + 1)["at"], F.size("_p"))
+        tail = F.array_join(F.slice("_words", cut["before"] - cut["carry"] + 1, cut["carry"]), " ")
+        own = F.slice("_p", cut["at"] + 1, end - cut["at"])
         return F.struct(
             k.alias("chunk_no"),
             F.array_join(F.filter(F.concat(F.array(tail), own), lambda t: t != ""), "\n\n")
             .alias("text"),
         )
 
-    out = bounds.select("doc_id", "title", F.inline_outer(F.transform("_at", passage)))
+    out = bounds.select("doc_id", "title", F.inline_outer(F.transform("_cuts", passage)))
     return out.select(
         "doc_id",
         F.coalesce("chunk_no", F.lit(0)).alias("chunk_no"),

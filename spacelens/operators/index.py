@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spacelens.functions.text import tokens, trigrams
-from spacelens.sources.stage import stage
+from spacelens.sources.stage import stage, stage_by
 
 CHUNK = ["doc_id", "chunk_no"]
 
@@ -16,14 +16,22 @@ CHUNK = ["doc_id", "chunk_no"]
 def _counted(texts: DataFrame, keys: list[str], items: Column, name: str) -> DataFrame:
     """(keys, item, tf, length): occurrences per text.
 
-    The texts are placed by key first. The far larger exploded rows then stay where they are:
-    counting by (keys, item) needs no further shuffle.
+    Counted inside the row: the items are sorted, and an item's count is the distance between the
+    starts of its run and of the next. Only distinct items become rows; nothing is shuffled.
     """
-    each = texts.repartition(*keys).select(*keys, items.alias("_i"))
-    return (
-        each.select(*keys, F.size("_i").alias("length"), F.explode("_i").alias(name))
-        .groupBy(*keys, name)
-        .agg(F.count(F.lit(1)).alias("tf"), F.max("length").alias("length"))
+    each = texts.select(*keys, F.array_sort(items).alias("_i"))
+    places = F.sequence(F.lit(0), F.size("_i") - 1)
+    opens = lambda k: (k == 0) | (F.get("_i", k) != F.get("_i", k - 1))
+    each = each.where(F.size("_i") > 0).withColumn("_at", F.filter(places, opens))
+    run = F.transform(
+        "_at",
+        lambda at, k: F.struct(
+            F.get("_i", at).alias(name),
+            (F.coalesce(F.get("_at", k + 1), F.size("_i")) - at).cast("long").alias("tf"),
+        ),
+    )
+    return each.select(*keys, F.size("_i").alias("length"), F.inline(run)).select(
+        *keys, name, "tf", "length"
     )
 
 
@@ -68,7 +76,11 @@ def gram_norms(counts: DataFrame, idf: DataFrame, keys: list[str]) -> DataFrame:
 
 @dataclass
 class TextIndex:
-    """Written index tables. Queries join to them by term or gram, never scan passages."""
+    """Written index tables. Queries join to them by term or gram, never scan passages.
+
+    Passages, postings and grams lie in blocks by passage, so sums over a passage, and the best
+    passages of a block, come out of the task that reads the block.
+    """
 
     chunks: DataFrame
     postings: DataFrame
@@ -79,12 +91,15 @@ class TextIndex:
     norms: DataFrame
 
     @classmethod
-    def build(cls, chunks: DataFrame) -> "TextIndex":
-        chunks = stage(chunks, "chunks")
-        postings = stage(word_postings(chunks), "postings")
+    def build(cls, chunks: DataFrame, blocks: int | None = None) -> "TextIndex":
+        """``blocks``: how many; the session's shuffle partitions if not given."""
+        blocks = blocks or int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        # The one shuffle of texts; the tables made from them are written where they lie.
+        chunks = stage_by(chunks.repartition(blocks, *CHUNK), "chunks", CHUNK, blocks)
+        postings = stage_by(word_postings(chunks), "postings", CHUNK, blocks)
         terms = stage(document_frequency(postings, "term"), "terms")
-        grams = stage(gram_counts(chunks, CHUNK), "gram_counts")
+        grams = stage_by(gram_counts(chunks, CHUNK), "gram_counts", CHUNK, blocks)
         idf = stage(gram_idf(grams, chunks), "gram_idf")
-        norms = stage(gram_norms(grams, idf, CHUNK), "gram_norms")
+        norms = stage_by(gram_norms(grams, idf, CHUNK), "gram_norms", CHUNK, blocks)
         stats = stage(word_stats(chunks, postings), "text_stats")
         return cls(chunks, postings, terms, stats, grams, idf, norms)

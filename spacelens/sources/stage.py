@@ -40,6 +40,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_by(df: DataFrame, name: str, keys: list[str], blocks: int | None = None) -> DataFrame:
+    """As ``stage``, in ``blocks`` files by the hash of ``keys`` (default: the shuffle partitions).
+
+    Spark knows where the rows lie: a later grouping whose keys hold all of ``keys`` runs inside the
+    tasks that scan the blocks, without a shuffle.
+    """
+    spark = df.sparkSession
+    blocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet").bucketBy(blocks, *keys)
+    writer.option("path", f"{stage_root(spark)}/{table}").saveAsTable(table)
+    return spark.table(table)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal the rows of a plain scan out when it has fewer splits than there are cores.
 

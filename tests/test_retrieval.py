@@ -1,5 +1,6 @@
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -52,6 +53,15 @@ def test_chunks_against_brute_force(spark, overlap, mark):
         assert got[i] == reference_chunks(title, body or "", 40, overlap, mark), i
 
 
+def test_a_document_of_very_many_paragraphs(spark):
+    """The work on one document grows with its length, not with the square of its paragraphs."""
+    body = "\n".join(f"a{i} b{i} c{i}" for i in range(100_000))
+    start = time.monotonic()
+    got = chunked(spark, [(1, "T", body)], RetrievalConfig(chunk_words=240, overlap_words=45), "\n")[1]
+    assert time.monotonic() - start < 60
+    assert got == reference_chunks("T", body, 240, 45, "\n")
+
+
 @pytest.fixture(scope="module")
 def small_index(spark):
     bodies = [
@@ -141,6 +151,19 @@ def test_search_gives_one_passage_per_document(spark, small_index):
     assert first[5] in (0, 3)
 
 
+def test_scores_need_no_shuffle_of_query_and_passage(spark, small_index):
+    """Sums over a passage are made where its block is read; only the best rows are exchanged."""
+    index, _ = small_index
+    queries = spark.createDataFrame(QUERIES, "query_id long, text string")
+    for scores in (
+        retrieval.bm25_scores(index, queries, RetrievalConfig()),
+        retrieval.cosine_scores(index, queries),
+    ):
+        plan = scores._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan
+        assert "Bucketed: true" in plan
+
+
 def test_relevance_peaks_at_one(spark, small_index):
     index, _ = small_index
     queries = spark.createDataFrame(QUERIES[:2], "query_id long, text string")
