@@ -181,14 +181,28 @@ def mentioned_spaces(
     # At most the words of one question.
     lists = known.groupBy(key).agg(F.array_sort(F.collect_list("word")).alias("words"))
     lists = stage(lists, "question_words")
-    hits = (
+    # Labels with the same asked words score alike but for their spaces' values, so a word that
+    # most labels hold meets word sets, each with its largest few spaces, and not the spaces.
+    held = found.groupBy("label").agg(F.array_sort(F.collect_list("word")).alias("held"))
+    of_set = Window.partitionBy("held").orderBy(
+        F.desc(F.round("value_t2", 6)), F.desc("space_id"), "level"
+    )
+    largest = (
+        labels.join(held, "label")
+        .withColumn("_n", F.row_number().over(of_set))
+        .where(F.col("_n") <= limit)
+        .select("held", "level", "space_id", "value_t2")
+    )
+    sets = held.select("held").distinct().select("held", F.explode("held").alias("word"))
+    shared = (
         lists.select("words").distinct()
         .select("words", F.explode("words").alias("word"))
-        .join(found, "word")
-        .join(labels, "label")
+        .join(sets, "word")
+        .groupBy("words", "held")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    scored = hits.groupBy("words", "level", "space_id").agg(
-        F.round(F.count(F.lit(1)) * 1000.0 + F.max("value_t2"), 6).alias("score")
+    scored = shared.join(largest, "held").select(
+        "words", "level", "space_id", F.round(F.col("n") * 1000.0 + F.col("value_t2"), 6).alias("score")
     )
     order = Window.partitionBy("words").orderBy(F.desc("score"), F.desc("space_id"), "level")
     best = scored.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit)

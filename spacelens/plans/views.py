@@ -88,9 +88,16 @@ def find_spaces(scored: DataFrame, lookups: DataFrame) -> DataFrame:
     contained = substring_join(names, "label_low", asked, "needle")
     by_id = asked.join(names, F.col("needle") == F.col("id_low")).withColumn("how", F.lit(1))
     by_label = asked.join(names, F.col("needle") == F.col("label_low")).withColumn("how", F.lit(2))
-    by_part = (
-        contained.join(asked, "needle").join(names, "label_low").withColumn("how", F.lit(3))
+    # Spaces that share a label differ in the answer's order only: one of them stands for all.
+    first = names.groupBy("label_low").agg(
+        F.min_by(
+            F.struct(*SPACE_KEYS, "value_t2"), F.struct(-F.col("value_t2"), "space_id", "level")
+        ).alias("f")
     )
+    largest = contained.join(first, "label_low").groupBy("needle").agg(
+        F.min_by("f", F.struct(-F.col("f.value_t2"), F.col("f.space_id"), F.col("f.level"))).alias("f")
+    )
+    by_part = asked.join(largest, "needle").select("lookup", "f.*").withColumn("how", F.lit(3))
     columns = ["lookup", "how", *SPACE_KEYS, "value_t2"]
     hits = by_id.select(columns).unionByName(by_label.select(columns)).unionByName(
         by_part.select(columns)

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spacelens.operators.linking import add_trend_multiplier, match_signals, signal_links
-from spacelens.operators.substring import substring_join
+from spacelens.operators.substring import _pieces, rarest_seeds, substring_join
 from spacelens.sources import signals as sig
 
 SPACES = [
@@ -99,6 +99,22 @@ def test_substring_join_against_brute_force(spark):
     assert got == {(t, w) for t in texts for w in terms if w and w in t}
 
 
+def test_a_beginning_that_every_text_shares_is_no_seed(spark):
+    """Terms that start with a word of every label are met by what tells them apart."""
+    labels = [f"tablet film coated a{i:03d}b" for i in range(300)]
+    terms = [f"tablet film coated a{i:03d}" for i in range(0, 300, 3)] + ["tablet z"]
+    a = spark.createDataFrame([(t,) for t in labels], "t string")
+    b = spark.createDataFrame([(t,) for t in terms], "w string")
+    pieces = a.select(F.explode(_pieces(F.col("t"))).alias("_piece"))
+    frequency = pieces.groupBy("_piece").agg(F.count(F.lit(1)).alias("_n"))
+    seeds = {r["w"]: r["_seed"] for r in rarest_seeds(b, "w", frequency).collect()}
+    assert "tablet z" not in seeds and len(seeds) == 100
+    # A label offers at most three digits' worth of a seed: 300 labels, at most 30 share one.
+    assert all(sum(seed in t for t in labels) <= 30 for seed in seeds.values())
+    got = {(r["t"], r["w"]) for r in substring_join(a, "t", b, "w").collect()}
+    assert got == {(t, w) for t in labels for w in terms if w in t}
+
+
 SIGNAL_FILE = """---
 id: S-07
 title: Price control
