@@ -340,6 +340,14 @@ def sensitivity_query(spark, sf):
     return out
 
 
+LEVEL = "sub_segment"
+
+
+def sensitivity_level(spark, sf):
+    """One level scored on its own: its own outliers are clipped, not those of all levels."""
+    return views.sensitivity_analysis(market(spark, sf), LEVEL, SENSITIVITY)
+
+
 def sensitivity_top(spark, sf):
     return sensitivity.summary(sensitivity_query(spark, sf), 12)
 
@@ -441,6 +449,7 @@ QUERIES = {
     "forecast": forecast,
     "weight_draws": weight_draws,
     "sensitivity": sensitivity_query,
+    "sensitivity_level": sensitivity_level,
     "sensitivity_top": sensitivity_top,
     "whitespace": whitespace,
     "signal_corpus": signal_corpus,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 from checks.binding import FOCAL, SCORE, WHITESPACE
-from checks.market_queries import GROWTH, SENSITIVITY, WHAT_IF
+from checks.market_queries import GROWTH, LEVEL, SENSITIVITY, WHAT_IF
 from spacelens.config import (
     FORECAST_BLEND,
     INVERTED_METRICS,
@@ -381,8 +381,9 @@ enriched AS MATERIALIZED (
 """
 
 
-def scoring(config: ScoreConfig) -> str:
+def scoring(config: ScoreConfig, level: str | None = None) -> str:
     low, high = config.winsor_low, config.winsor_high
+    alone = f" AND level = '{level}'" if level else ""
     unpivot = " UNION ALL ".join(
         f"SELECT level, space_id, '{m}' AS metric, round({METRIC_COLUMNS[m]}, 9) AS v FROM kept" for m in METRICS
     )
@@ -393,7 +394,7 @@ def scoring(config: ScoreConfig) -> str:
     )
     index = " + ".join(f"pillar_{p} * {w!r}" for p, w in config.pillar_weights.items())
     return f"""
-kept AS MATERIALIZED (SELECT * FROM enriched WHERE value_t2 >= {config.min_value} AND n_players >= {config.min_players}),
+kept AS MATERIALIZED (SELECT * FROM enriched WHERE value_t2 >= {config.min_value} AND n_players >= {config.min_players}{alone}),
 long AS MATERIALIZED ({unpivot}),
 bounds AS (SELECT metric, quantile_cont(v, {low}) AS lo, quantile_cont(v, {high}) AS hi FROM long GROUP BY 1),
 clipped AS MATERIALIZED (
@@ -484,7 +485,7 @@ FORECAST_COLUMNS = (
 )
 
 
-def sensitivity_sql() -> str:
+def sensitivity_sql(level: str | None = None) -> str:
     draws = json.dumps(weight_draws(SENSITIVITY, SCORE))
     names = list(json.loads(draws)[0])
     shape = json.dumps([{n: ("INTEGER" if n == "draw" else "DOUBLE") for n in names}])
@@ -493,7 +494,7 @@ def sensitivity_sql() -> str:
         for p, block in METRIC_WEIGHTS.items()
     )
     index = " + ".join(f"d_{p} * w.moi_weights__{p}" for p in SCORE.pillar_weights)
-    return SCORED_CTES + f""",
+    return ENRICHED_CTES + scoring(SCORE, level) + f""",
 draws AS MATERIALIZED (SELECT unnest(from_json('{draws}', '{shape}')) AS w),
 rescored AS (SELECT level, space_id, w, {pillars} FROM scored CROSS JOIN draws),
 drawn AS (SELECT level, space_id, w.draw AS draw, round(({index}) * (0.35 + {SCORE.gate_ceiling - SCORE.gate_floor!r}
@@ -641,6 +642,7 @@ ORACLE = {
                          "round(w.moi_weights__future_potential, 6) AS future_potential, "
                          "round(w.right_to_win__formulation_fit, 6) AS formulation_fit FROM draws"),
     "sensitivity": _sql(sensitivity_sql(), STABILITY),
+    "sensitivity_level": _sql(sensitivity_sql(LEVEL), STABILITY),
     "sensitivity_top": _sql(sensitivity_sql(), STABILITY + " ORDER BY top_k_frequency DESC, mean_rank, space_id LIMIT 12"),
     "whitespace": _sql(SCORED_CTES + WHITESPACE_CTE, "SELECT level, space_id, space_label, leader_company, strategic_verdict, "
                        + ROUTE + " AS route_to_win, " + rounded(

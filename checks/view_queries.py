@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from checks.binding import FOCAL, facts, market, table
+from checks.binding import FOCAL, facts, market, signals, table, text_queries
 from checks.market_queries import KEYS, rounded
 from spacelens.functions.text import slug
 from spacelens.plans import views, warehouse
@@ -75,6 +75,25 @@ def compare_spaces(spark, sf):
     return views.trade_offs(scored.where("level = 'segment'"))
 
 
+#: Two labels, an id, parts of labels and a name that no space has.
+COMPARED = ["SEG_ECONOMY", "large", " Medium L", "widget", "no such space"]
+
+
+def compare_named(spark, sf):
+    """Spaces looked up by id, label or part of one: side by side, their trade-offs, what is missing."""
+    chosen, tensions, missing = views.compare_spaces(market(spark, sf).scored, COMPARED)
+    none = F.lit(None).cast("string").alias("none")
+    spaces = chosen.select(
+        F.lit("space").alias("kind"), "level", F.col("space_id").alias("item"), F.col("space_label").alias("text"),
+        "value_t2", "priority_score",
+    )
+    number = none.cast("double")
+    lines = F.array(*[F.struct(F.lit(c).alias("item"), F.col(c).alias("text")) for c in tensions.columns])
+    rest = tensions.select(F.inline(lines)).select(F.lit("trade-off").alias("kind"), none, "item", "text", number, number)
+    unknown = missing.select(F.lit("missing").alias("kind"), none, "lookup", none, number, number)
+    return rounded(spaces.union(rest).union(unknown))
+
+
 def competitor_profile(spark, sf):
     return rounded(views.competitor_profile(market(spark, sf), "nation_1"))
 
@@ -165,6 +184,12 @@ def warehouse_counts(spark, sf):
     return out
 
 
+def signal_search(spark, sf):
+    """Every benchmark text asked of the signal documents."""
+    found = signals(spark, sf)
+    return views.search_signals(views.signal_index(found), found, text_queries(spark, sf))
+
+
 def level_reconciliation(spark, sf):
     """Every level's total next to the pack total: hierarchy levels add up, anchors overlap."""
     m = market(spark, sf)
@@ -185,6 +210,8 @@ QUERIES = {
     "deep_dive": deep_dive,
     "space_signals": space_signals,
     "compare_spaces": compare_spaces,
+    "compare_named": compare_named,
+    "signal_search": signal_search,
     "competitor_profile": competitor_profile,
     "competitor_strongholds": competitor_strongholds,
     "competitor_brands": competitor_brands,

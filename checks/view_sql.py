@@ -13,7 +13,9 @@ from checks.market_sql import (
     rounded,
     slug,
 )
-from checks.view_queries import ADHOC, FORECAST
+from checks.market_sql import SIGNALS
+from checks.text_sql import GRAMS, RRF, WORDS, rec
+from checks.view_queries import ADHOC, COMPARED, FORECAST
 
 
 def pct(x: str, name: str, digits: int = 2) -> str:
@@ -45,20 +47,29 @@ def num(x: str, digits: int) -> str:
 
 
 TRADE = f""",
-seg AS (SELECT * FROM scored WHERE level = 'segment'),
-a AS (SELECT * FROM seg ORDER BY value_t2 DESC, space_id LIMIT 1),
-b AS (SELECT * FROM seg ORDER BY real_growth DESC, space_id LIMIT 1),
-c AS (SELECT * FROM seg ORDER BY hhi, space_id LIMIT 1),
-d AS (SELECT * FROM seg ORDER BY market_opportunity_index DESC, space_id LIMIT 1),
-e AS (SELECT * FROM seg ORDER BY priority_score DESC, space_id LIMIT 1)
-SELECT CASE WHEN a.space_id <> b.space_id THEN 'largest: ' || a.space_label || ' (' || {num("a.value_t2", 0)} || ', '
+a AS (SELECT * FROM seg ORDER BY value_t2 DESC, level, space_id LIMIT 1),
+b AS (SELECT * FROM seg ORDER BY real_growth DESC, level, space_id LIMIT 1),
+c AS (SELECT * FROM seg ORDER BY hhi, level, space_id LIMIT 1),
+d AS (SELECT * FROM seg ORDER BY market_opportunity_index DESC, level, space_id LIMIT 1),
+e AS (SELECT * FROM seg ORDER BY priority_score DESC, level, space_id LIMIT 1),
+tensions AS (SELECT CASE WHEN a.space_id <> b.space_id THEN 'largest: ' || a.space_label || ' (' || {num("a.value_t2", 0)} || ', '
     || {num("a.real_growth * 100", 1)} || '%); fastest: ' || b.space_label || ' (' || {num("b.real_growth * 100", 1)} || '%)' END AS size_growth,
   CASE WHEN c.space_id <> b.space_id THEN 'fastest: ' || b.space_label || ' (HHI ' || {num("b.hhi", 0)}
     || '); least concentrated: ' || c.space_label || ' (HHI ' || {num("c.hhi", 0)} || ')' END AS growth_competition,
   CASE WHEN d.space_id <> e.space_id THEN 'best market: ' || d.space_label || ' (' || {num("d.market_opportunity_index", 1)} || ', fit '
     || {num("d.right_to_win_score", 1)} || '); first choice: ' || e.space_label || ' (' || {num("e.priority_score", 1)} || ', fit '
     || {num("e.right_to_win_score", 1)} || ')' END AS moi_cps
-FROM a, b, c, d, e"""
+FROM a, b, c, d, e)
+"""
+SEGMENTS = ", seg AS (SELECT * FROM scored WHERE level = 'segment')"
+NAMED = f""",
+asked AS (SELECT unnest([{", ".join(f"'{x}'" for x in COMPARED)}]) AS lookup),
+met AS (
+  SELECT lookup, level, space_id, row_number() OVER (PARTITION BY lookup ORDER BY how, value_t2 DESC, space_id, level) AS n
+  FROM (SELECT lookup, CASE WHEN lower(space_id) = lower(trim(lookup)) THEN 1 WHEN lower(space_label) = lower(trim(lookup)) THEN 2
+    WHEN contains(lower(space_label), lower(trim(lookup))) THEN 3 END AS how, level, space_id, value_t2 FROM asked CROSS JOIN scored)
+  WHERE how IS NOT NULL),
+seg AS (SELECT * FROM scored SEMI JOIN (SELECT * FROM met WHERE n = 1) USING (level, space_id))"""
 
 RESOLVED = """,
 chosen AS (SELECT company_clean FROM company_f WHERE contains(upper(company_clean), 'NATION_1') GROUP BY 1
@@ -91,7 +102,16 @@ ORACLE = {
         "LEFT JOIN (SELECT level, space_id, string_agg(signal_id || '/' || match_reason || '/' || printf('%.4f', contribution), '; ' ORDER BY signal_id) AS t "
         "FROM links GROUP BY 1, 2) sg USING (level, space_id)"),
     "space_signals": _sql(ENRICHED_CTES, "SELECT level, space_id, signal_id, match_reason, " + r("contribution") + " FROM links"),
-    "compare_spaces": "WITH " + SCORED_CTES.strip() + TRADE,
+    "compare_spaces": _sql(SCORED_CTES + SEGMENTS + TRADE, "SELECT * FROM tensions"),
+    "compare_named": _sql(SCORED_CTES + NAMED + TRADE, "SELECT 'space' AS kind, level, space_id AS item, space_label AS text, "
+        + rounded(["value_t2", "priority_score"]) + " FROM seg UNION ALL SELECT 'trade-off', NULL, i.item, i.text, NULL, NULL FROM ("
+        "SELECT unnest([{'item': 'size_growth', 'text': size_growth}, {'item': 'growth_competition', 'text': growth_competition}, "
+        "{'item': 'moi_cps', 'text': moi_cps}]) AS i FROM tensions) UNION ALL SELECT 'missing', NULL, lookup, NULL, NULL, NULL "
+        "FROM asked ANTI JOIN met USING (lookup)"),
+    "signal_search": rec(SIGNALS.strip() + " documents AS (SELECT id AS doc_id, 'Note on' AS lang, substring(title, 9) AS source, "
+        "body AS text FROM signals)," + WORDS + GRAMS + RRF, "SELECT query_id, CAST(rank AS INTEGER) AS rank, '[' || id || ']' AS citation, "
+        "id AS signal_id, chunks.title, publisher, url, text AS excerpt, " + r("score", digits=4)
+        + " FROM hits JOIN chunks USING (doc_id, chunk_no) JOIN signals ON id = doc_id"),
     "competitor_profile": _sql(GROWN_CTES.rstrip().rstrip(",") + RESOLVED, """SELECT company_clean AS company, round(v2, 1) AS value,
         round(v2 / (SELECT market_value_t2 FROM totals) * 100.0, 2) AS share_pct, round((v2 / v1 - 1.0) * 100.0, 2) AS growth_pct, leads_in_spaces
         FROM (SELECT company_clean, sum(value_t2) FILTER (level = 'segment') AS v2, sum(value_t1) FILTER (level = 'segment') AS v1,
