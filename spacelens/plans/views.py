@@ -68,13 +68,16 @@ def rank_opportunity_spaces(
     top_n: int = 10,
     rank_by: str = "priority_score",
     min_value: float | None = None,
+    strict: bool = False,
 ) -> DataFrame:
+    """The best spaces of a level; ``strict``: ``NotFound`` instead of an empty ranking."""
     if level not in LEVELS:
         raise ValueError(f"level must be one of {', '.join(LEVELS)}")
     if rank_by not in RANK_BY:
         raise ValueError(f"rank_by must be one of {', '.join(RANK_BY)}")
     scored = m.scored if min_value is None else m.scored.where(F.col("value_t2") >= min_value)
-    return top_spaces(scored, level, rank_by, top_n)
+    top = top_spaces(scored, level, rank_by, top_n)
+    return require_rows(top, f"space of level {level} passes the filters") if strict else top
 
 
 def find_spaces(scored: DataFrame, lookups: DataFrame) -> DataFrame:
@@ -215,6 +218,31 @@ def compare_spaces(
     return chosen, trade_offs(chosen), missing
 
 
+class NotFound(LookupError):
+    """A name or a filter that nothing in the market answers to."""
+
+
+def require_company(m: Market, text: str) -> str:
+    """The name of the company that ``text`` resolves to; ``NotFound`` if there is none."""
+    rows = resolve_company(m, text).collect()  # at most one
+    if not rows:
+        raise NotFound(f"no company matches {text!r}")
+    return rows[0]["company_clean"]
+
+
+def require_focal(m: Market) -> None:
+    """``NotFound`` unless the focal company sells something in this market."""
+    if _focal(m).isEmpty():
+        raise NotFound("the focal company has no pack in this market")
+
+
+def require_rows(frame: DataFrame, what: str) -> DataFrame:
+    """The frame itself; ``NotFound`` if it is empty."""
+    if frame.isEmpty():
+        raise NotFound(f"no {what}")
+    return frame
+
+
 def resolve_company(m: Market, text: str) -> DataFrame:
     """One row: the largest company (over all its spaces) whose name contains the text."""
     hits = m.company_facts.where(
@@ -230,8 +258,8 @@ def resolve_company(m: Market, text: str) -> DataFrame:
 
 
 def competitor_profile(m: Market, text: str) -> DataFrame:
-    """One row of totals for the resolved company."""
-    rows = m.company_facts.join(resolve_company(m, text), "company_clean")
+    """One row of totals for the resolved company; ``NotFound`` if no name holds the text."""
+    rows = m.company_facts.where(F.col("company_clean") == require_company(m, text))
     segment = F.col("level") == "segment"
     market = m.totals.select("market_value_t2").scalar()
     sums = rows.groupBy("company_clean").agg(
@@ -249,7 +277,8 @@ def competitor_profile(m: Market, text: str) -> DataFrame:
 
 
 def competitor_strongholds(m: Market, text: str, limit: int = 8) -> DataFrame:
-    rows = m.company_facts.where("level = 'sub_segment'").join(resolve_company(m, text), "company_clean")
+    own = F.col("company_clean") == require_company(m, text)
+    rows = m.company_facts.where("level = 'sub_segment'").where(own)
     return (
         rows.orderBy(F.desc("value_t2"), "space_id").limit(limit)
         .select("space_label", "value_t2", "share_t2", "rank_in_space")
@@ -257,7 +286,8 @@ def competitor_strongholds(m: Market, text: str, limit: int = 8) -> DataFrame:
 
 
 def competitor_brands(m: Market, text: str, limit: int = 8) -> DataFrame:
-    rows = m.brand_facts.where("level = 'segment'").join(resolve_company(m, text), "company_clean")
+    own = F.col("company_clean") == require_company(m, text)
+    rows = m.brand_facts.where("level = 'segment'").where(own)
     return (
         rows.orderBy(F.desc("value_t2"), "space_id", "brand").limit(limit)
         .select("space_id", "brand", "value_t2", "value_t1")

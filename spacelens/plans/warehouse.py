@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from urllib.parse import quote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -24,10 +26,64 @@ class WarehouseMissing(RuntimeError):
     """A warehouse table is absent."""
 
 
-def source_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(path, bytes, sha256) of every source file. Files are hashed whole, one per row."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+#: Bytes that one task hashes at a time, and that it reads at once.
+RANGE_BYTES = 64 << 20
+READ_BYTES = 1 << 20
+
+
+def _opened(path: str):
+    """A file of the local or of a remote file system, open for reading bytes."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return open("/" + rest.lstrip("/"), "rb")
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(quote(path, safe="/:@"))
+    return system.open_input_file(inner)
+
+
+def _hashed_ranges(batches):
+    for ranges in batches:
+        hashes = []
+        for path, start, size in zip(ranges["path"], ranges["start"], ranges["size"], strict=True):
+            digest = hashlib.sha256()
+            with _opened(path) as file:
+                file.seek(start)
+                left = size
+                while left > 0 and (piece := file.read(min(left, READ_BYTES))):
+                    digest.update(piece)
+                    left -= len(piece)
+            if left:
+                raise OSError(f"{path} became shorter while it was hashed")
+            hashes.append(digest.hexdigest())
+        yield ranges.assign(sha256=hashes)
+
+
+def source_digests(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(path, bytes, sha256) of every source file.
+
+    Files are cut into byte ranges that tasks hash piece by piece, so no file is one value. A file
+    of one range has that range's hash; a longer one the hash of its ranges' hashes, in hexadecimal,
+    joined by commas in order. A file that became shorter meanwhile is an
+    error. Empty files, which Spark's file sources pass over, have no row.
+    """
+    # Only names and lengths are asked for: the contents are not read here.
+    files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"))
+    last = F.greatest(F.floor((F.col("bytes") - 1) / range_bytes), F.lit(0))
+    ranges = files.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("part"))
+    ranges = ranges.withColumn("start", F.col("part") * range_bytes)
+    ranges = ranges.withColumn("size", F.least(F.lit(range_bytes), F.col("bytes") - F.col("start")))
+    # Dealt out first: the listing lies in few tasks, the ranges are to be read by many.
+    hashed = ranges.repartition("path", "part").mapInPandas(
+        _hashed_ranges, "path string, bytes long, part long, start long, size long, sha256 string"
+    )
+    # A hash for every range_bytes of one file.
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("part", "sha256"))), lambda r: r["sha256"])
+    return hashed.groupBy("path", "bytes").agg(listed.alias("_all")).select(
+        "path", "bytes",
+        F.when(F.size("_all") == 1, F.get("_all", F.lit(0)))
+        .otherwise(F.sha2(F.array_join("_all", ","), 256)).alias("sha256"),
+    )
 
 
 def build_metadata(m: Market, source: str | None = None, as_of: str | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from conftest import audit_rows
 from spacelens.config import ScoreConfig, SensitivityConfig, WhitespaceConfig
 from spacelens.operators.derive import derive
 from spacelens.plans import views, warehouse
+from spacelens.plans.market import Market
 from spacelens.sources import facts as fs
 from spacelens.sources.stage import stage, stage_root
 
@@ -147,6 +148,20 @@ def test_incomplete_warehouse_names_what_is_missing(spark, tmp_path):
         warehouse.read_warehouse(spark, str(tmp_path / "nothing"))
 
 
+def test_a_file_of_many_ranges(spark, tmp_path):
+    contents = {"long one.bin": bytes(range(256)) * 40 + b"end", "even 100%25.bin": b"x" * 2000}
+    for name, data in contents.items():
+        (tmp_path / name).write_bytes(data)
+    (tmp_path / "empty.bin").write_bytes(b"")
+    rows = warehouse.source_digests(spark, str(tmp_path), range_bytes=1000).collect()
+    assert len(rows) == len(contents)
+    for r in rows:
+        data = next(d for n, d in contents.items() if r["path"].endswith("/" + n))
+        parts = [hashlib.sha256(data[i : i + 1000]).hexdigest() for i in range(0, len(data), 1000)]
+        want = parts[0] if len(parts) == 1 else hashlib.sha256(",".join(parts).encode()).hexdigest()
+        assert (r["bytes"], r["sha256"]) == (len(data), want)
+
+
 def test_digests(spark, tmp_path):
     (tmp_path / "x.bin").write_bytes(b"abc")
     row = warehouse.source_digests(spark, str(tmp_path)).first()
@@ -195,6 +210,19 @@ def test_views(spark, seven_packs):
         views.rank_opportunity_spaces(seven_packs, rank_by="space_id")
 
 
+def test_names_that_nothing_answers_to(spark, seven_packs, packs):
+    assert views.require_company(seven_packs, " nord") == "NORDA"
+    for view in (views.competitor_profile, views.competitor_strongholds, views.competitor_brands):
+        with pytest.raises(views.NotFound, match="nobody"):
+            view(seven_packs, "nobody")
+    assert views.rank_opportunity_spaces(seven_packs, "segment", min_value=1e9).count() == 0
+    with pytest.raises(views.NotFound, match="level segment"):
+        views.rank_opportunity_spaces(seven_packs, "segment", min_value=1e9, strict=True)
+    views.require_focal(seven_packs)
+    with pytest.raises(views.NotFound, match="focal"):
+        views.require_focal(Market.build(packs, "NOBODY*", score=LOOSE))
+
+
 def test_adhoc_sql_returns_all_rows_of_a_query(spark, seven_packs):
     views.register_views(seven_packs)
     assert views.adhoc_sql(spark, "SELECT * FROM space_facts").count() == 22
