@@ -82,57 +82,72 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.where(norm == 0.0, 1.0, norm)
 
 
+def _blocks(frame: DataFrame, ids: list[str], size: int) -> DataFrame:
+    """Rows of up to ``size`` vectors: their ids as arrays and the unit vectors as one value.
+
+    Made where the rows lie, from one Arrow batch at a time.
+    """
+    types = dict(frame.dtypes)
+    fields = ", ".join(f"{c} array<{types[c]}>" for c in ids)
+
+    def packed(batches):
+        for batch in batches:
+            for at in range(0, len(batch), size):
+                part = batch.iloc[at : at + size]
+                unit = _unit(np.stack(part["vector"].to_numpy()).astype(float))
+                yield pd.DataFrame(
+                    {**{c: [part[c].tolist()] for c in ids}, "width": [unit.shape[1]], "matrix": [unit.tobytes()]}
+                )
+
+    return frame.select(*ids, "vector").mapInPandas(packed, f"{fields}, width int, matrix binary")
+
+
 def dense_scores(
-    vectors: DataFrame, queries: DataFrame, k: int, vector_block: int = 20_000, query_block: int = 1_000
+    vectors: DataFrame,
+    queries: DataFrame,
+    k: int,
+    vector_block: int = 2_000,
+    query_block: int = 1_000,
+    query_parts: int = 8,
 ) -> DataFrame:
     """Exact cosine top k of (doc_id, chunk_no, vector) for (query_id, vector).
 
-    Both sides are dealt into blocks; each pair of blocks is one matrix product in one task
-    and hands on only its k best rows per query, so no list of pairs is ever formed.
+    Both sides are packed into blocks in the tasks that scan them. The query blocks are written,
+    so their known size decides how they come to the vector blocks: broadcast where they are
+    small, and the vectors then stay in their tasks; by ``query_parts`` parts otherwise. Each
+    pair of blocks is one matrix product and hands on only its k best rows per query.
     """
-    v_blocks = max(1, -(-vectors.count() // vector_block))
-    q_blocks = max(1, -(-queries.count() // query_block))
-
-    def dealt(n: int, *keys: str) -> Column:
-        return F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
-
-    left = vectors.select(
-        *CHUNK, "vector", dealt(v_blocks, *CHUNK).alias("vb"),
-        F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"),
-    )
-    right = queries.select(
-        "query_id", "vector", dealt(q_blocks, "query_id").alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1))).alias("vb"),
+    left = _blocks(vectors, CHUNK, vector_block)
+    asked = _blocks(queries, ["query_id"], query_block)
+    part = F.pmod(F.xxhash64("query_id", "matrix"), F.lit(query_parts)).cast("int")
+    right = stage(
+        asked.select("query_id", F.col("matrix").alias("asked"), F.col("width").alias("q_width"), part.alias("part")),
+        "query_blocks",
     )
-    id_type = dict(queries.dtypes)["query_id"]
-    doc_type = dict(vectors.dtypes)["doc_id"]
-
-    def product(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if v.empty or q.empty:
-            return pd.DataFrame({"query_id": [], "doc_id": [], "chunk_no": [], "score": []})
-        v = v.sort_values(CHUNK, ignore_index=True)
-        sims = np.round(
-            _unit(np.stack(q["vector"].to_numpy()).astype(float))
-            @ _unit(np.stack(v["vector"].to_numpy()).astype(float)).T,
-            9,
-        )
-        best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        take = best.ravel()
-        return pd.DataFrame(
-            {
-                "query_id": np.repeat(q["query_id"].to_numpy(), best.shape[1]),
-                "doc_id": v["doc_id"].to_numpy()[take],
-                "chunk_no": v["chunk_no"].to_numpy()[take],
-                "score": np.take_along_axis(sims, best, axis=1).ravel(),
-            }
-        )
-
-    return (
-        left.groupBy("vb", "qb")
-        .cogroup(right.groupBy("vb", "qb"))
-        .applyInPandas(
-            product, f"query_id {id_type}, doc_id {doc_type}, chunk_no int, score double"
-        )
+    each = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))))
+    types = {**dict(vectors.dtypes), **dict(queries.dtypes)}
+
+    def product(batches):
+        for pairs in batches:
+            for row in pairs.itertuples(index=False):
+                v = np.frombuffer(row.matrix).reshape(-1, row.width)
+                q = np.frombuffer(row.asked).reshape(-1, row.q_width)
+                order = np.lexsort((row.chunk_no, row.doc_id))
+                sims = np.round(q @ v[order].T, 9)
+                best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+                take = order[best.ravel()]
+                yield pd.DataFrame(
+                    {
+                        "query_id": np.repeat(np.asarray(row.query_id), best.shape[1]),
+                        "doc_id": np.asarray(row.doc_id)[take],
+                        "chunk_no": np.asarray(row.chunk_no)[take],
+                        "score": np.take_along_axis(sims, best, axis=1).ravel(),
+                    }
+                )
+
+    return each.join(right, "part").drop("part").mapInPandas(
+        product,
+        f"query_id {types['query_id']}, doc_id {types['doc_id']}, chunk_no int, score double",
     )
 
 

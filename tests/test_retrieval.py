@@ -198,3 +198,15 @@ def test_dense_blocks_against_brute_force(spark):
         order = [int(d) for d in np.argsort(-sims[i]) if sims[i][d] > 0][:5]
         got = sorted((r["position"], r["doc_id"]) for r in rows if r["query_id"] == i)
         assert [d for _, d in got] == order
+
+
+def test_dense_ranking_of_nothing_and_of_ties(spark):
+    schema = "doc_id string, chunk_no int, vector array<double>"
+    same = spark.createDataFrame([(f"d{i}", 0, [1.0, float(i // 8)]) for i in range(32)], schema)
+    asked = spark.createDataFrame([("q", [1.0, 0.0]), ("zero", [0.0, 0.0])], "query_id string, vector array<double>")
+    rows = retrieval.dense_rank(same, asked, 3, vector_block=5, query_block=1).collect()
+    got = {(r["query_id"], r["position"]): r["doc_id"] for r in rows}
+    assert [got["q", i] for i in (1, 2, 3)] == ["d0", "d1", "d2"]
+    assert [got["zero", i] for i in (1, 2, 3)] == ["d0", "d1", "d10"]
+    assert retrieval.dense_rank(same.limit(0), asked, 3).count() == 0
+    assert retrieval.dense_rank(same, asked.limit(0), 3).count() == 0
