@@ -9,7 +9,7 @@ import pytest
 from spacelens.config import RetrievalConfig
 from spacelens.operators import retrieval
 from spacelens.operators.chunks import chunk_documents
-from spacelens.operators.index import TextIndex
+from spacelens.operators.index import CHUNK, TextIndex, gram_counts, word_postings
 
 
 def reference_chunks(title, body, target, overlap, mark):
@@ -152,10 +152,12 @@ def test_search_gives_one_passage_per_document(spark, small_index):
 
 
 def test_scores_need_no_shuffle_of_query_and_passage(spark, small_index):
-    """Sums over a passage are made where its block is read; only the best rows are exchanged."""
+    """Counts and sums of a passage are made where its block is read; only the best rows move."""
     index, _ = small_index
     queries = spark.createDataFrame(QUERIES, "query_id long, text string")
     for scores in (
+        word_postings(index.chunks),
+        gram_counts(index.chunks, CHUNK),
         retrieval.bm25_scores(index, queries, RetrievalConfig()),
         retrieval.cosine_scores(index, queries),
     ):
