@@ -111,7 +111,8 @@ def test_null_values_and_keys_keep_their_rows(spark):
     rank = {r["name"]: r["r"] for r in ranking.rank_desc(df, ["g"], "v", "r").collect()}
     assert len(rank) == len(rows)
     assert [rank[n] for n in ("w", "y", "n000", "n199", "z", "x", "p", "q")] == [1, 2, 3, 3, 203, 204, 1, 2]
-    place = {r["name"]: r["n"] for r in ranking.positions_desc(df, ["g"], "v", ["name"], "n").collect()}
+    placed = with_positions(df, ["g"], [F.desc_nulls_last("v"), F.col("name")], "n")
+    place = {r["name"]: r["n"] for r in placed.collect()}
     assert [place[n] for n in ("w", "y", "n000", "n199", "z", "x", "p", "q")] == [1, 2, 3, 202, 203, 204, 1, 2]
     pct = {r["name"]: r["p"] for r in ranking.percentile_rank(df, ["g"], "v", "p").collect()}
     assert len(pct) == len(rows)
