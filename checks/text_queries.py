@@ -38,7 +38,8 @@ def text_index(spark, sf):
     words = ix.postings.groupBy(*index.CHUNK).agg(
         F.sum("tf").alias("length"), F.count(F.lit(1)).alias("terms")
     )
-    grams = ix.grams.join(ix.idf, "gram").groupBy(*index.CHUNK).agg(
+    counts = ix.grams.select(*index.CHUNK, F.inline("counts"))
+    grams = counts.join(ix.idf, "gram").groupBy(*index.CHUNK).agg(
         F.count(F.lit(1)).alias("grams"), F.sum(index.gram_weight()).alias("w")
     )
     scaled = grams.join(ix.norms, index.CHUNK).select(
