@@ -41,8 +41,11 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     def total(column, when):
         return F.coalesce(F.sum(F.when(when, F.col(column))), F.lit(0)).cast(money)
 
+    # Lines are moved once, as short rows: sums and prices of a part come from where its lines lie.
     sold = (
         spread(lines).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+        .drop("l_suppkey", "s_suppkey")
+        .repartition("l_partkey")
         .groupBy("l_partkey", "s_nationkey")
         .agg(
             *[total("v", F.col("y") == y).alias(f"value_t{i}") for i, y in enumerate(YEARS)],
