@@ -10,7 +10,7 @@ from spacelens.operators.derive import derive
 from spacelens.plans import views, warehouse
 from spacelens.plans.market import Market
 from spacelens.sources import facts as fs
-from spacelens.sources.stage import stage, stage_root
+from spacelens.sources.stage import SHUFFLES_GO, released, stage, stage_root
 
 
 def test_missing_columns_are_all_named(spark):
@@ -297,3 +297,15 @@ def test_signal_search(spark):
     rows = views.search_signals(views.signal_index(signals), signals, queries).orderBy("rank").collect()
     assert rows[0]["citation"] == "[S-01]" and rows[0]["publisher"] == "Pub"
     assert rows[0]["excerpt"].startswith("Lipids")
+
+
+def test_a_staged_table_gives_its_shuffle_files_back(spark):
+    before = spark.conf.get(SHUFFLES_GO, "false")
+    with pytest.raises(ValueError):
+        with released(spark):
+            assert spark.conf.get(SHUFFLES_GO) == "true"
+            raise ValueError
+    assert spark.conf.get(SHUFFLES_GO) == before
+    sums = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("n"))
+    one, again = stage(sums, "sums"), stage(sums, "sums")
+    assert sorted(one.collect()) == sorted(again.collect()) == sorted(sums.collect())
