@@ -28,9 +28,8 @@ GAMMA = (1 + ALPHA) / (1 - ALPHA)
 #: Smaller values share bucket 0.
 SMALLEST = 1e-4
 WINDOW = 8
-SPACE = " \t\n\x0b\f\r"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-LETTERS = UPPER + UPPER.lower()
+UPPER = "A-Z"
+LETTERS = "A-Za-z"
 SYMBOLS = "#*$%&|<>"
 
 
@@ -61,9 +60,12 @@ class RuleConfig:
         }
 
 
-def _removed(text: Column, characters: str) -> Column:
-    """How many characters of ``text`` are among ``characters``."""
-    return F.length(text) - F.length(F.translate(text, characters, ""))
+def _among(text: Column, characters: str) -> Column:
+    """How many characters of ``text`` are of this class of ASCII characters.
+
+    The stretches of others are cut out; ``translate`` would make a string of every character.
+    """
+    return F.octet_length(F.regexp_replace(text, f"[^{characters}]+", ""))
 
 
 def _cheap(df: DataFrame, text: Column) -> DataFrame:
@@ -76,12 +78,12 @@ def _cheap(df: DataFrame, text: Column) -> DataFrame:
     df = df.withColumns(
         {
             "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(F.translate(text, SPACE, "")).cast("long"),
-            "n_symbols": _removed(text, SYMBOLS).cast("long"),
+            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+            "n_symbols": _among(text, SYMBOLS).cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_lines": F.size("_lines"),
-            "n_upper": _removed(text, UPPER),
-            "n_letters": _removed(text, LETTERS),
+            "n_upper": _among(text, UPPER),
+            "n_letters": _among(text, LETTERS),
             "n_echo": F.size(
                 F.filter("_words", lambda w, i: (i > 0) & (w == F.get("_words", i - 1)))
             ),

@@ -81,3 +81,17 @@ def test_sketch_quantiles_are_within_their_error(spark):
 def test_keeps_columns_and_stands_empty_tables(messy, no_docs):
     assert ar.keep_good(messy).columns == messy.columns
     assert ar.keep_good(no_docs).count() == 0
+
+
+def test_characters_are_counted_by_stretches(spark, messy):
+    """No measure looks up every character of a text; the counts are those of ASCII classes."""
+    plan = ar.judged(messy)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace(" in plan and "translate(" not in plan
+    texts = ["", "AbZz[]`@{ É Äß \U0001f389Q", "#*$%&|<>^-]\\[ # *", "é#é\u00a0A\x00|\u2028$", "\t \n", "ABC abc"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = ar._cheap(rows, F.col("text")).select("text", "n_upper", "n_letters", "n_symbols", "word_chars").collect()
+    for text, *n in got:
+        letters = [c for c in text if c.isascii() and c.isalpha()]
+        symbols = sum(c in ar.SYMBOLS for c in text)
+        assert n == [sum(c.isupper() for c in letters), len(letters), symbols, counts(text)[1]]
+    assert len(got) == len(texts)
