@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spacelens.llm.words import text_chunks
+from spacelens.llm.words import giving_back, text_chunks
 
 UNKNOWN = "und"
 
@@ -253,7 +253,7 @@ def predict(docs: DataFrame, model: ByteCnn, carry: list[str] | None = None) ->
             arrays = [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, [*carry, *made])
 
-    return given.mapInArrow(scored, schema)
+    return given.mapInArrow(giving_back(scored), schema)
 
 
 def identified(docs: DataFrame, trained_on: Column, config: CnnConfig = CnnConfig(), least: float = 0.5) -> DataFrame:

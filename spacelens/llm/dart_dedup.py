@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spacelens.llm.words import byte_codes, mixed, packed, span_hashes, text_chunks, word_spans
+from spacelens.llm.words import byte_codes, giving_back, mixed, packed, span_hashes, text_chunks, word_spans
 from spacelens.sources.stage import stage
 
 
@@ -194,7 +194,7 @@ def signatures(docs: DataFrame, config: DartConfig) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "node", "n", "bands", "sketch"])
 
     schema = f"doc_id {id_type}, node long, n int, bands array<long>, sketch array<long>"
-    return given.mapInArrow(signed, schema)
+    return given.mapInArrow(giving_back(signed), schema)
 
 
 def node_map(nodes: DataFrame, bits: int) -> np.ndarray:
@@ -226,12 +226,12 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame, config: DartConfig) -> Da
             maybe = pa.array((bits[place >> 6] >> (place & 63)) & 1 == 1)
             batch = batch.filter(maybe)
             sets = []
-            for _, data, offsets in text_chunks(batch.column(2)):
+            for _, data, offsets in text_chunks(batch.column(2), 1_000_000):
                 sets += shingles(data, offsets, config.shingle)
             values = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), values], ["node", "ident", "elements"])
 
-    sets = given.mapInArrow(split, "node long, ident string, elements array<long>")
+    sets = given.mapInArrow(giving_back(split), "node long, ident string, elements array<long>")
     return sets.join(wanted, ["node", "ident"]).select("node", "elements").dropDuplicates(["node"])
 
 
@@ -255,7 +255,7 @@ def verified(pairs: DataFrame, sets: DataFrame, config: DartConfig) -> DataFrame
             mask = pa.array(close)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
-    return joined.mapInArrow(checked, "a long, b long")
+    return joined.mapInArrow(giving_back(checked), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -400,7 +400,7 @@ def open_links(met: DataFrame, labels: DataFrame, facts: DataFrame, sets: DataFr
             columns += [pa.array(x[live]) for x in (node, part, comp)]
             yield pa.RecordBatch.from_arrays(columns, names=[*cell, "node", "part", "comp"])
 
-    live = groups.mapInArrow(possible, "key long, ca int, cb int, node long, part int, comp long")
+    live = groups.mapInArrow(giving_back(possible), "key long, ca int, cb int, node long, part int, comp long")
     live = stage(live, "dedup-live")
     held = F.collect_list(F.struct("node", "part", "comp", "elements")).alias("members")
     groups = live.join(sets, "node").groupBy(*cell).agg(held)
@@ -422,7 +422,7 @@ def open_links(met: DataFrame, labels: DataFrame, facts: DataFrame, sets: DataFr
             a, b = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return groups.mapInArrow(linked, "a long, b long").distinct()
+    return groups.mapInArrow(giving_back(linked), "a long, b long").distinct()
 
 
 def node_components(docs: DataFrame, signed: DataFrame, config: DartConfig) -> DataFrame | None:

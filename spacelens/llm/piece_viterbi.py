@@ -31,10 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from spacelens.llm.words import giving_back
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Units remembered by a task.
-REMEMBERED = 400_000
+#: Units remembered by a task, about 300 bytes each, and steps by failure links.
+REMEMBERED = 100_000
+FOLLOWED = 200_000
+#: A batch of results ends with the row that reaches as many ids or characters.
+BATCH_IDS = 500_000
+BATCH_CHARS = 2_000_000
 #: An unknown character costs this much more than the worst piece.
 UNKNOWN_PENALTY = 10.0
 
@@ -110,13 +116,17 @@ class Automaton:
                 self.fail[after] = back = self.step[back].get(c, 0)
                 self.link[after] = back if self.ends[back] else self.link[back]
         self.outputs: list[tuple | None] = [None] * len(self.step)
+        self.followed = 0
 
     def follow(self, state: int, c: str) -> int:
-        """The state after ``c`` by way of failure links; kept as a step for the next time."""
+        """The state after ``c`` by way of failure links; some are kept as steps for the next time."""
         back = state
         while back and c not in self.step[back]:
             back = self.fail[back]
-        self.step[state][c] = after = self.step[back].get(c, 0)
+        after = self.step[back].get(c, 0)
+        if self.followed < FOLLOWED:
+            self.step[state][c] = after
+            self.followed += 1
         return after
 
     def outputs_of(self, state: int) -> tuple:
@@ -224,31 +234,43 @@ class Encoder:
         return text[1:] if self.vocabulary.prefix and text.startswith(" ") else text
 
 
+def encoded_rows(encoder: Encoder, texts: pa.Array):
+    """(first row, end, piece ids, round trips) of stretches of rows with a bounded number of ids."""
+    first, size = 0, 0
+    flat, offsets, same = array("i"), [0], []
+    for end, value in enumerate(texts, 1):
+        text = value.as_py() or ""
+        ids = encoder.encode(text)
+        flat.extend(ids)
+        offsets.append(len(flat))
+        same.append(encoder.decode(ids) == text)
+        size += len(text)
+        if len(flat) >= BATCH_IDS or size >= BATCH_CHARS or end == len(texts):
+            values = np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(np.array(offsets, np.int32)), pa.array(values))
+            yield first, end, ids, pa.array(same, pa.bool_())
+            first, size = end, 0
+            flat, offsets, same = array("i"), [0], []
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, carry: list[str] | None = None) -> DataFrame:
     """``carry`` (all columns by default), piece_ids, and round_trip: whether they decode to the text."""
     made = ("piece_ids", "round_trip")
     carry = [c for c in (carry or docs.columns) if c not in made]
     schema = T.StructType([docs.schema[c] for c in carry])
     schema = schema.add("piece_ids", T.ArrayType(T.IntegerType(), False)).add("round_trip", "boolean")
-    given = docs.select(*[f"`{c}`" for c in carry], docs["text"].alias("__text"))
+    # A text that is carried anyway goes to the tasks once.
+    place = carry.index("text") if "text" in carry else len(carry)
+    given = docs.select(*[f"`{c}`" for c in carry], *([] if place < len(carry) else [docs["text"].alias("__text")]))
 
     def encoded(batches):
         encoder = Encoder(vocabulary)
         for batch in batches:
-            flat, offsets, same = array("i"), [0], []
-            for value in batch.column(batch.num_columns - 1):
-                text = value.as_py()
-                ids = encoder.encode(text)
-                flat.extend(ids)
-                offsets.append(len(flat))
-                same.append(encoder.decode(ids) == (text or ""))
-            ids = pa.ListArray.from_arrays(
-                pa.array(np.array(offsets, np.int32)), pa.array(np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32))
-            )
-            arrays = [*batch.columns[:-1], ids, pa.array(same, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(arrays, [*carry, *made])
+            for first, end, *found in encoded_rows(encoder, batch.column(place)):
+                arrays = [*batch.slice(first, end - first).columns[: len(carry)], *found]
+                yield pa.RecordBatch.from_arrays(arrays, [*carry, *made])
 
-    return given.mapInArrow(encoded, schema)
+    return given.mapInArrow(giving_back(encoded), schema)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "piece_ids", into: str = "text") -> DataFrame:
@@ -263,4 +285,4 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "piece_ids", i
             texts = [None if x is None else encoder.decode(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*carry, into])
 
-    return given.mapInArrow(decoded, schema)
+    return given.mapInArrow(giving_back(decoded), schema)

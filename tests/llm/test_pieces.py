@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from spacelens.llm import piece_viterbi as pv
+from spacelens.llm import words
 
 
 def small(scores=None):
@@ -114,3 +116,42 @@ def test_normalising_models_are_refused(tmp_path):
     path.write_bytes(model.SerializeToString())
     with pytest.raises(ValueError):
         pv.read_vocabulary(str(path))
+
+
+def test_results_go_in_batches_of_bounded_size(monkeypatch):
+    encoder = pv.Encoder(small())
+    rows = ["abc" * (i % 7) if i % 5 else None for i in range(60)] + ["ab" * 50]
+    want = [list(encoder.encode(t)) for t in rows]
+    for name in ("BATCH_IDS", "BATCH_CHARS"):
+        monkeypatch.setattr(pv, name, 12)
+        found = list(pv.encoded_rows(encoder, pa.array(rows, pa.string())))
+        monkeypatch.undo()
+        assert len(found) > 5 and found[0][0] == 0 and found[-1][1] == len(rows)
+        assert all(a[1] == b[0] for a, b in zip(found, found[1:]))
+        assert [ids for _, _, x, _ in found for ids in x.to_pylist()] == want
+        assert all(len(x.flatten()) < 12 + len(x[-1]) for _, _, x, _ in found)
+        assert all(all(same.to_pylist()) for *_, same in found)
+
+
+def test_a_carried_text_goes_to_the_tasks_once(messy):
+    def sent(docs, carry=None):
+        return pv.encode(docs, small(), carry)._jdf.queryExecution().optimizedPlan().toString()
+
+    assert "__text" not in sent(messy) and "__text" in sent(messy, ["doc_id"])
+
+
+def test_steps_kept_are_bounded(monkeypatch):
+    monkeypatch.setattr(pv, "FOLLOWED", 3)
+    encoder = pv.Encoder(small())
+    before = sum(map(len, encoder.automaton.step))
+    assert encoder.decode(encoder.encode("abcabcab cb ab ca bb cc")) == "abcabcab cb ab ca bb cc"
+    assert sum(map(len, encoder.automaton.step)) == before + 3
+
+
+def test_memory_goes_back_after_a_tasks_batches(monkeypatch):
+    calls = []
+    monkeypatch.setattr(words, "give_back", lambda: calls.append(1))
+    work = words.giving_back(lambda batches: (2 * b for b in batches))
+    at = work([1, 2])
+    assert next(at) == 2 and not calls
+    assert list(at) == [4] and calls == [1]
