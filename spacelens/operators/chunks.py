@@ -2,40 +2,71 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spacelens.config import RetrievalConfig
-from spacelens.functions.text import squash, word_count
-from spacelens.sources.facts import strip
 
 
-def _cuts(counts: Column, config: RetrievalConfig) -> Column:
-    """One struct per passage: its first paragraph, the words before that, the words carried over.
+#: White space as ``strip`` has it, and line ends before which it stops too.
+_BLANKS = b" \t\n\x0b\f\r"
+_LINE_ENDS = tuple(c.encode() for c in "\u0085\u2028\u2029")
 
-    One fold over the paragraphs' word counts; the list grows at passage starts only.
-    """
-    overlap, target = F.lit(config.overlap_words), F.lit(config.chunk_words)
-    none = F.array().cast("array<struct<at: int, before: int, carry: int>>")
-    zero = F.struct(
-        F.lit(0).alias("n"), F.lit(0).alias("words"), F.lit(0).alias("held"), none.alias("cuts")
-    )
 
-    def step(state: Column, words: Column) -> Column:
-        held, n = state["held"], state["n"]
-        cut = (n > 0) & (held + words > target)
-        kept = F.when(cut, F.least(held, overlap)).otherwise(0)
-        start = F.struct(n.alias("at"), state["words"].alias("before"), kept.alias("carry"))
-        return F.struct(
-            (n + 1).alias("n"),
-            (state["words"] + words).alias("words"),
-            F.when(cut, kept + words).otherwise(held + words).alias("held"),
-            F.when(cut | (n == 0), F.concat(state["cuts"], F.array(start)))
-            .otherwise(state["cuts"])
-            .alias("cuts"),
-        )
+def _stripped(paragraph: bytes) -> bytes:
+    """As ``strip``, whose pattern also ends before a last line end."""
+    for end in _LINE_ENDS:
+        if paragraph.endswith(end):
+            return paragraph[: -len(end)].strip(_BLANKS) + end
+    return paragraph.strip(_BLANKS)
+
+
+def _passages(paragraphs: list[bytes], target: int, overlap: int) -> list[bytes]:
+    """Whole paragraphs up to ``target`` words, led by the last ``overlap`` words before them."""
+    out: list[bytes] = []
+    words: list[bytes] = []
+    own: list[bytes] = []
+    held = 0
+    for paragraph in map(_stripped, paragraphs):
+        if not paragraph:
+            continue
+        # Splits at the blanks of ``squash``, so this counts as ``word_count`` does.
+        more = paragraph.split()
+        if own and held + len(more) > target:
+            out.append(b"\n\n".join(own))
+            held = min(held, overlap)
+            tail = b" ".join(words[len(words) - held :])
+            own = [tail] if tail else []
+            words = words[len(words) - held :]
+        own.append(paragraph)
+        words += more
+        held += len(more)
+    if own:
+        out.append(b"\n\n".join(own))
+    return out
+
 
-    return F.aggregate(counts, zero, step, lambda s: s["cuts"])
+def _cut(config: RetrievalConfig):
+    """The function from lists of paragraphs to lists of (chunk_no, text)."""
+    target, overlap = config.chunk_words, config.overlap_words
+    kind = pa.list_(pa.struct([("chunk_no", pa.int32()), ("text", pa.string())]))
+
+    def cut(paragraphs: pa.Array) -> pa.Array:
+        bounds = paragraphs.offsets.to_numpy() - paragraphs.offsets[0].as_py()
+        flat = paragraphs.flatten().cast(pa.binary())
+        found: list[list[bytes]] = []
+        for start, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            found.append(_passages(flat.slice(start, end - start).to_pylist(), target, overlap))
+        sizes = np.array([len(x) for x in found], dtype=np.int64)
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        number = np.arange(int(offsets[-1])) - np.repeat(offsets[:-1], sizes)
+        texts = pa.array([t for x in found for t in x], pa.binary()).view(pa.string())
+        pairs = pa.StructArray.from_arrays([pa.array(number, pa.int32()), texts], fields=list(kind.value_type))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pairs)
+
+    return F.arrow_udf(cut, "array<struct<chunk_no: int, text: string>>")
 
 
 def chunk_documents(
@@ -49,31 +80,10 @@ def chunk_documents(
     of the passage before it; the title goes in front. A document without a body gives its
     title.
     """
-    pieces = documents.withColumn(
-        "_p",
-        F.filter(
-            F.transform(F.split(F.coalesce("body", F.lit("")), paragraph), strip), lambda p: p != ""
-        ),
-    )
     # Passages are put together again inside the row, so no shuffle happens.
-    bounds = pieces.withColumns(
-        {
-            "_cuts": _cuts(F.transform("_p", word_count), config),
-            "_words": F.filter(F.split(squash(F.array_join("_p", " ")), " "), lambda w: w != ""),
-        }
-    )
-
-    def passage(cut: Column, k: Column) -> Column:
-        end = F.coalesce(F.get("_cuts", k + 1)["at"], F.size("_p"))
-        tail = F.array_join(F.slice("_words", cut["before"] - cut["carry"] + 1, cut["carry"]), " ")
-        own = F.slice("_p", cut["at"] + 1, end - cut["at"])
-        return F.struct(
-            k.alias("chunk_no"),
-            F.array_join(F.filter(F.concat(F.array(tail), own), lambda t: t != ""), "\n\n")
-            .alias("text"),
-        )
-
-    out = bounds.select("doc_id", "title", F.inline_outer(F.transform("_cuts", passage)))
+    pieces = F.split(F.coalesce("body", F.lit("")), paragraph)
+    cut = documents.select("doc_id", "title", _cut(config)(pieces).alias("_passages"))
+    out = cut.select("doc_id", "title", F.inline_outer("_passages"))
     return out.select(
         "doc_id",
         F.coalesce("chunk_no", F.lit(0)).alias("chunk_no"),

@@ -6,10 +6,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spacelens.functions.text import squash, tokens
+from spacelens.functions.text import STOP_WORDS
 from spacelens.sources.stage import stage, stage_by
 
 CHUNK = ["doc_id", "chunk_no"]
@@ -19,20 +20,77 @@ CHUNK = ["doc_id", "chunk_no"]
 POINT_BITS = 21
 #: Characters counted at once in a task.
 SLICE = 1 << 17
+#: Grams whose weights are sent whole, about 50 bytes each.
+SENT_GRAMS = 1 << 20
+#: Bytes whose terms are counted at once in a task.
+TERM_SLICE = 1 << 20
+#: True at the bytes that terms consist of.
+_TERM = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8))
+
+
+def _term_runs(texts: pa.Array, lists: np.ndarray):
+    """(list, number in the dictionary, tf, length) and the dictionary of the terms of lower-case
+    texts, the ``lists`` of which ascend. ``length`` counts the terms of a text; of texts in one list
+    that hold a term, the longest one's is taken.
+    """
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    inside = _TERM[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    first = inside & (edge[:-1] | ~np.concatenate([[False], inside[:-1]])[: len(data)])
+    starts = np.flatnonzero(first)
+    # Bytes inside terms follow each other; a term ends where the next one starts.
+    bounds = np.append(np.cumsum(inside)[starts] - 1, inside.sum()).astype(np.int64)
+    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(data[inside]))
+    coded = words.dictionary_encode()
+    stop = pc.is_in(coded.dictionary, pa.array(STOP_WORDS, pa.large_string())).to_numpy(zero_copy_only=False)
+    code = coded.indices.to_numpy().astype(np.int64)
+    kept = ~stop[code]
+    code = code[kept]
+    text = np.searchsorted(offsets, starts[kept], "right") - 1
+    length = np.bincount(text, minlength=len(texts))
+    size, many = max(len(stop), 1), max(len(texts), 1)
+    keys = np.sort((lists[text] * size + code) * many + text)
+    term = keys // many
+    new = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])[: len(keys)])
+    tf = np.diff(np.append(new, len(keys)))
+    longest = np.maximum.reduceat(length[keys % many], new) if len(new) else new
+    return term[new] // size, term[new] % size, tf, longest, coded.dictionary
+
+
+def _term_lists(texts: pa.Array) -> pa.Array:
+    """Lists of lower-case texts to lists of (term, tf, length), counted over all texts of a list."""
+    kind = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int64()), ("length", pa.int32())]))
+    parts, at = [], 0
+    bounds = texts.offsets.to_numpy() - texts.offsets[0].as_py()
+    flat = texts.flatten().cast(pa.large_string())
+    sizes = np.concatenate([[0], np.cumsum(pc.binary_length(flat).to_numpy(zero_copy_only=False))])
+    while at < len(texts):
+        # Whole lists, up to TERM_SLICE bytes at once, one list at least.
+        to = max(at + 1, int(np.searchsorted(sizes[bounds], sizes[bounds[at]] + TERM_SLICE, "right")) - 1)
+        own = flat.slice(bounds[at], bounds[to] - bounds[at])
+        rows = np.repeat(np.arange(to - at), np.diff(bounds[at : to + 1]))
+        row, code, tf, length, terms = _term_runs(own, rows)
+        offsets = np.searchsorted(row, np.arange(to - at + 1)).astype(np.int32)
+        values = [terms.take(pa.array(code)).cast(pa.string()), pa.array(tf, pa.int64()), pa.array(length, pa.int32())]
+        found = pa.StructArray.from_arrays(values, fields=list(kind.value_type))
+        parts.append(pa.ListArray.from_arrays(pa.array(offsets), found))
+        at = to
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
 
 def word_postings(chunks: DataFrame) -> DataFrame:
     """(doc_id, chunk_no, term, tf, length): one row per distinct term of a passage.
 
-    Over texts that lie in blocks by their keys the exploded rows stay where they are: counting by
-    (keys, term) needs no shuffle.
+    The terms are those of ``tokens``. Texts that lie in blocks by their keys stay where they are, and
+    a passage is counted in the task that reads it: only distinct terms become rows.
     """
-    each = chunks.select(*CHUNK, tokens("text").alias("_i"))
-    return (
-        each.select(*CHUNK, F.size("_i").alias("length"), F.explode("_i").alias("term"))
-        .groupBy(*CHUNK, "term")
-        .agg(F.count(F.lit(1)).alias("tf"), F.max("length").alias("length"))
-    )
+    counted = F.arrow_udf(_term_lists, "array<struct<term: string, tf: bigint, length: int>>")
+    # The texts of one key, mostly one.
+    each = chunks.groupBy(*CHUNK).agg(F.collect_list(F.lower("text")).alias("_t"))
+    return each.select(*CHUNK, F.inline(counted("_t")))
 
 
 def _gram_runs(rows: np.ndarray, points: np.ndarray, lengths: np.ndarray):
@@ -78,11 +136,12 @@ def _gram_runs(rows: np.ndarray, points: np.ndarray, lengths: np.ndarray):
 
 
 def _gram_lists(texts: pa.Array) -> pa.Array:
-    """Lists of squashed texts to lists of (gram, tf), counted over all texts of a list."""
+    """Lists of lower-case texts to lists of (gram, tf), counted over all texts of a list, squashed."""
     kind = pa.list_(pa.struct([("gram", pa.int64()), ("tf", pa.int64())]))
     parts, at = [], 0
     bounds = texts.offsets.to_numpy() - texts.offsets[0].as_py()
-    flat = texts.flatten().to_pylist()
+    # Splits at the blanks of ``squash``.
+    flat = [b" ".join(t.split()).decode("utf-8", "surrogatepass") for t in texts.flatten().cast(pa.binary()).to_pylist()]
     sizes = np.cumsum([0] + [len(t) for t in flat])
     while at < len(texts):
         # Whole lists, up to SLICE characters at once, one list at least.
@@ -107,9 +166,8 @@ def gram_vectors(texts: DataFrame, keys: list[str]) -> DataFrame:
     in the task that reads it, so no table of grams grows with a block.
     """
     counted = F.arrow_udf(_gram_lists, "array<struct<gram: bigint, tf: bigint>>")
-    clean = texts.select(*keys, squash(F.lower("text")).alias("_t"))
     # The texts of one key, mostly one.
-    each = clean.groupBy(*keys).agg(F.collect_list("_t").alias("_t"))
+    each = texts.groupBy(*keys).agg(F.collect_list(F.lower("text")).alias("_t"))
     return each.select(*keys, counted("_t").alias("counts"))
 
 
@@ -148,6 +206,11 @@ def gram_norms(counts: DataFrame, idf: DataFrame, keys: list[str]) -> DataFrame:
     return sums.withColumn("norm", F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0))
 
 
+def beside(idf: DataFrame) -> DataFrame:
+    """A written table of grams, sent whole to the rows it meets if it has few; those stay in place."""
+    return F.broadcast(idf) if idf.count() <= SENT_GRAMS else idf
+
+
 @dataclass
 class TextIndex:
     """Written index tables. Queries join to them by term or gram, never scan passages.
@@ -175,6 +238,6 @@ class TextIndex:
         grams = stage_by(gram_vectors(chunks, CHUNK), "gram_vectors", CHUNK, blocks)
         counts = grams.select(*CHUNK, F.inline("counts"))
         idf = stage(gram_idf(counts, chunks), "gram_idf")
-        norms = stage_by(gram_norms(counts, idf, CHUNK), "gram_norms", CHUNK, blocks)
+        norms = stage_by(gram_norms(counts, beside(idf), CHUNK), "gram_norms", CHUNK, blocks)
         stats = stage(word_stats(chunks, postings), "text_stats")
         return cls(chunks, postings, terms, stats, grams, idf, norms)

@@ -4,12 +4,18 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from spacelens.config import RetrievalConfig
+from spacelens.functions.text import squash, tokens
+from spacelens.operators import chunks as chunk_module
+from spacelens.operators import index as index_module
 from spacelens.operators import retrieval
 from spacelens.operators.chunks import chunk_documents
 from spacelens.operators.index import CHUNK, TextIndex, gram_counts, word_postings
+from spacelens.sources.facts import strip
 
 
 def reference_chunks(title, body, target, overlap, mark):
@@ -212,3 +218,69 @@ def test_dense_ranking_of_nothing_and_of_ties(spark):
     assert [got["zero", i] for i in (1, 2, 3)] == ["d0", "d1", "d10"]
     assert retrieval.dense_rank(same.limit(0), asked, 3).count() == 0
     assert retrieval.dense_rank(same, asked.limit(0), 3).count() == 0
+
+
+def test_postings_are_counted_where_a_passage_is_read(spark):
+    """Against brute force, with repeated and null keys, null texts and terms at the ends of texts."""
+    rows = [
+        (1, 0, "The apple, the APPLE pie-2"), (1, 0, "apple"), (1, 1, "end"), (2, 0, "start"), (2, 1, None),
+        (3, 0, ""), (3, 1, "of the and"), (None, 0, "café İx K9"), (None, 0, "x caf"), (4, None, "z " * 30),
+    ]
+    chunks = spark.createDataFrame(rows, "doc_id long, chunk_no int, text string").repartition(1)
+    counted = word_postings(chunks)
+    each = chunks.select("doc_id", "chunk_no", tokens("text").alias("t"))
+    plain = each.select("doc_id", "chunk_no", F.size("t").alias("length"), F.explode("t").alias("term"))
+    want = plain.groupBy("doc_id", "chunk_no", "term").agg(F.count("term").alias("tf"), F.max("length").alias("length"))
+    assert counted.dtypes == want.dtypes
+    assert sorted(map(repr, counted.collect())) == sorted(map(repr, want.collect()))
+    assert "apple" in {r["term"] for r in counted.collect()}
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan and "Generate inline" in plan
+
+
+def test_terms_of_many_slices_are_whole(monkeypatch):
+    monkeypatch.setattr(index_module, "TERM_SLICE", 7)
+    texts = [["a1 b1", "b1"], [], ["c1"], ["b1 b1 the b1", "", "d1"], [""]]
+    sliced = pa.array([["skip"], *texts, ["skip"]]).slice(1, 5)
+    got = [{t["term"]: (t["tf"], t["length"]) for t in x} for x in index_module._term_lists(sliced).to_pylist()]
+    assert got == [{"a1": (1, 2), "b1": (2, 2)}, {}, {"c1": (1, 1)}, {"b1": (3, 3), "d1": (1, 1)}, {}]
+
+
+def test_few_gram_weights_are_sent_whatever_the_threshold(spark, monkeypatch):
+    """The rows of grams are not moved to meet the weights, unless there are too many of those."""
+    grams = spark.createDataFrame([(1, 0, 5, 2), (1, 0, 6, 1), (2, 0, 5, 1)], "doc_id long, chunk_no int, gram long, tf long")
+    idf = spark.createDataFrame([(5, 0.5), (6, 1.0)], "gram long, idf double")
+
+    def plan():
+        norms = index_module.gram_norms(grams, index_module.beside(idf), CHUNK)
+        return norms._jdf.queryExecution().executedPlan().toString()
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastHashJoin" in plan()
+        monkeypatch.setattr(index_module, "SENT_GRAMS", 1)
+        assert "BroadcastHashJoin" not in plan()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_paragraphs_are_stripped_as_the_pattern_does(spark):
+    odd = ["", " ", "a", " \t a b \r\n", "a  ", "a \u0085\n", " ", "   ", "a  ", "\x0ba\x0c",
+           "\x1ca ", " a \r\u0085", "a \u0085 ", " \u0085 "]
+    rows = spark.createDataFrame(list(enumerate(odd)), "i int, s string").select("i", strip("s").alias("s")).collect()
+    assert [chunk_module._stripped(x.encode()).decode() for x in odd] == [r["s"] for r in sorted(rows)]
+
+
+def test_grams_are_counted_over_squashed_texts(spark):
+    rows = [(1, " Ab \t\n cd "), (2, " x  y"), (3, " "), (4, None), (5, "\x1cab\x0bc")]
+    texts = spark.createDataFrame(rows, "k long, text string")
+    clean = texts.select("k", squash(F.lower("text")).alias("t")).collect()
+    want = {}
+    for k, t in clean:
+        pieces = [t[i : i + 3] for i in range(len(t) - 2)] if t and len(t) > 2 else [t] if t else []
+        for g in pieces:
+            points = [ord(c) + 1 for c in g] + [0] * (3 - len(g))
+            code = (points[0] << 42) | (points[1] << 21) | points[2]
+            want[k, code] = want.get((k, code), 0) + 1
+    assert {(r["k"], r["gram"]): r["tf"] for r in gram_counts(texts, ["k"]).collect()} == want
