@@ -1,5 +1,6 @@
 import hashlib
 import json
+from contextlib import contextmanager
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from spacelens.operators.derive import derive
 from spacelens.plans import views, warehouse
 from spacelens.plans.market import Market
 from spacelens.sources import facts as fs
+from spacelens.sources import stage as stage_module
 from spacelens.sources.stage import SHUFFLES_GO, released, stage, stage_root
 
 
@@ -309,3 +311,21 @@ def test_a_staged_table_gives_its_shuffle_files_back(spark):
     sums = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("n"))
     one, again = stage(sums, "sums"), stage(sums, "sums")
     assert sorted(one.collect()) == sorted(again.collect()) == sorted(sums.collect())
+
+
+def test_blocks_give_their_shuffle_back(spark, monkeypatch):
+    """The shuffle that deals rows into blocks is held no longer than the table's writing takes."""
+    inside = []
+    plain = stage_module.released
+
+    @contextmanager
+    def seen(session):
+        with plain(session):
+            inside.append(session.conf.get(SHUFFLES_GO))
+            yield
+
+    monkeypatch.setattr(stage_module, "released", seen)
+    before = spark.conf.get(SHUFFLES_GO, "false")
+    rows = spark.range(100).withColumnRenamed("id", "k").repartition(4, "k")
+    assert stage_module.stage_by(rows, "blocks", ["k"], 4).count() == 100
+    assert inside == ["true"] and spark.conf.get(SHUFFLES_GO, "false") == before
